@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import byte_bpe, mixing, url_filters
+from . import byte_bpe, mixing, quality_rules, url_filters
 
 QUERIES = {
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
     "op10_url_filters": url_filters.op10_url_filters,
 }
