@@ -1,14 +1,17 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import byte_bpe, mixing, quality_rules, url_filters
+from . import byte_bpe, flac, mixing, quality_rules, url_filters, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op5_flac": flac.op5_flac,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }
