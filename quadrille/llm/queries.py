@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import byte_bpe, flac, mixing, quality_rules, url_filters, warc
+from . import byte_bpe, flac, mixing, quality_knn, quality_rules, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_quality_knn": quality_knn.op2_quality_knn,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_flac": flac.op5_flac,
     "op6_quality_rules": quality_rules.op6_quality_rules,
