@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import byte_bpe, flac, mixing, quality_knn, quality_rules, substring_dedup, url_filters, warc
+from . import byte_bpe, flac, mixing, quality_knn, quality_rules, substring_dedup, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_flac": flac.op5_flac,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filters": url_filters.op10_url_filters,
 }
