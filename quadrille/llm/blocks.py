@@ -20,7 +20,7 @@ from .common import steps, stored, text_bytes
 BLOCK_BYTES = 6 << 20
 #: Stands for a null id, after all others.
 NO_ID = np.iinfo(np.int64).max
-SCHEMA = "block bigint, ids binary, offsets binary, data binary"
+SCHEMA = "block bigint, ids binary, offsets binary, data binary, extra binary"
 
 
 @dataclass
@@ -36,8 +36,9 @@ class Block:
             yield a, b, self.raw[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored table of blocks. Null texts are empty, null ids become NO_ID; ids must be integers."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The stored table of blocks. Null texts are empty, null ids become NO_ID; ids must be integers. Columns in
+    ``carry`` go along as an Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,11 +48,25 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 order = np.argsort(all_ids[a:b], kind="stable") + a
                 parts = [raw[offsets[i] : offsets[i + 1]] for i in order]
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-                values = [[uuid.uuid4().int >> 65], [all_ids[order].tobytes()], [ends.tobytes()], [np.concatenate(parts).tobytes()]]
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "ids", "offsets", "data"])
+                values = [[uuid.uuid4().int >> 65], [all_ids[order].tobytes()], [ends.tobytes()], [np.concatenate(parts).tobytes()], [_stream(batch, order)]]
+                kinds = [pa.int64(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "ids", "offsets", "data", "extra"])
 
-    return stored(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, SCHEMA), "blocks")
+    return stored(docs.select(F.col(id_col).cast("long"), text_col, *carry).mapInArrow(run, SCHEMA), "blocks")
+
+
+def _stream(batch: pa.RecordBatch, order: np.ndarray) -> bytes | None:
+    if batch.num_columns < 3:
+        return None
+    own = pa.Table.from_batches([batch]).select(range(2, batch.num_columns)).take(pa.array(order))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, own.schema) as out:
+        out.write_table(own)
+    return sink.getvalue().to_pybytes()
+
+
+def carried(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
 
 def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:

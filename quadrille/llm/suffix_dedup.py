@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .blocks import Block, null_ids, pack, unpacked
+from .blocks import Block, carried, null_ids, pack, unpacked
 from .common import mixed, stored
 
 LENGTH = 100
@@ -398,25 +398,31 @@ def _window_runs(windows: dict[bytes, list[tuple]], parts: int) -> Iterator[tupl
         yield part, 0, front_coded(keys, np.array([e for _, e in own], ENTRY), LENGTH)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Per document: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` the text left.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256, with ``with_text`` the text left, and the
+    columns in ``carry``.
 
     A byte goes if a string of LENGTH bytes over it also starts earlier: in a document of a smaller id, or earlier
     in the same row. Rows of equal id do not remove from each other; null ids come last. Null, empty and shorter
     texts keep all; an empty table gives an empty one; every input row gives one row. The text left keeps every
     character of which a byte stays.
     """
-    blocks = pack(docs, id_col, text_col)
+    if carry and {id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"} & {*carry}:
+        raise ValueError(f"columns that the result has itself can't be carried: {carry}")
+    blocks = pack(docs, id_col, text_col, carry)
     spans = spans_of(blocks).groupBy("block").agg(F.collect_list("data").alias("spans"))
-    fields = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
+    fields = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def remove(batches):
         for batch in batches:
             for i, block in unpacked(batch):
-                found = [np.frombuffer(zlib.decompress(d), SPAN) for d in batch.column(4)[i].as_py() or ()]
-                yield _result(block, np.concatenate(found) if found else np.zeros(0, SPAN), with_text)
+                found = [np.frombuffer(zlib.decompress(d), SPAN) for d in batch.column(5)[i].as_py() or ()]
+                out = _result(block, np.concatenate(found) if found else np.zeros(0, SPAN), with_text)
+                for name, column in zip(carry, carried(batch.column(4)[i].as_py()).columns if carry else (), strict=True):
+                    out = out.append_column(name, column.combine_chunks())
+                yield out
 
-    return blocks.join(spans, "block", "left").select("block", "ids", "offsets", "data", "spans").mapInArrow(remove, fields).withColumnRenamed("doc", id_col)
+    return blocks.join(spans, "block", "left").select("block", "ids", "offsets", "data", "extra", "spans").mapInArrow(remove, fields).withColumnRenamed("doc", id_col)
 
 
 def _result(block: Block, spans: np.ndarray, with_text: bool) -> pa.RecordBatch:
