@@ -183,7 +183,10 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text"
     for i, rule in reversed(list(enumerate(rules, 1))):
         hit = F.when(rule.column(), F.lit(i)).otherwise(hit)
     d = d.withColumns({"base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")), "rule": hit})
-    return d.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop("_n_lines", "_n_distinct", "_n_upper", "_n_bang", *FEATURES)
+    # The ever true test of a row number keeps a filter on ``kept`` above this projection; pushed below, it would
+    # compute every statistic once more for each place where the condition mentions it.
+    computed = F.monotonically_increasing_id() >= 0
+    return d.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull() & computed).drop("_n_lines", "_n_distinct", "_n_upper", "_n_bang", *FEATURES)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
