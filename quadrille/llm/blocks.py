@@ -1,6 +1,6 @@
 """Documents packed in blocks of a few megabytes, for operators that go over the same texts more than once.
 
-A block is one row: ids, offsets and the joined UTF-8 bytes of its documents, in order of id. The table is stored in
+A block is one row: ids, offsets and the joined UTF-8 bytes (compressed) of its documents, in order of id. The table is stored in
 the shared folder, so a second pass meets the same documents in the same places.
 """
 
@@ -12,12 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import steps, stored, text_bytes
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Stands for a null id, after all others.
 NO_ID = np.iinfo(np.int64).max
 SCHEMA = "block bigint, ids binary, offsets binary, data binary, extra binary"
@@ -48,7 +49,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
                 order = np.argsort(all_ids[a:b], kind="stable") + a
                 parts = [raw[offsets[i] : offsets[i + 1]] for i in order]
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-                values = [[uuid.uuid4().int >> 65], [all_ids[order].tobytes()], [ends.tobytes()], [np.concatenate(parts).tobytes()], [_stream(batch, order)]]
+                values = [[uuid.uuid4().int >> 65], [all_ids[order].tobytes()], [ends.tobytes()], [zstandard.compress(np.concatenate(parts).tobytes(), 3)], [_stream(batch, order)]]
                 kinds = [pa.int64(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "ids", "offsets", "data", "extra"])
 
@@ -73,7 +74,7 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
     """The blocks of an Arrow batch of the table, with their rows."""
     for i in range(batch.num_rows):
         block, ids, offsets, data = (batch.column(k)[i] for k in range(4))
-        yield i, Block(block.as_py(), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(offsets.as_buffer(), np.int64), np.frombuffer(data.as_buffer(), np.uint8) if len(data.as_buffer()) else np.zeros(0, np.uint8))
+        yield i, Block(block.as_py(), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(offsets.as_buffer(), np.int64), np.frombuffer(zstandard.decompress(data.as_buffer()), np.uint8))
 
 
 def null_ids(ids: np.ndarray) -> pa.Array:

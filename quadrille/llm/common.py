@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 #: Text bytes that a vectorised step handles at once; bounds the memory of a Python worker.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +42,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark delete shuffle files of finished queries now; it does so when the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column as one array, with n + 1 offsets; a null counts as empty."""
     if column.null_count:

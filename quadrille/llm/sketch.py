@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import release
+
 ROWS = 2
 #: Bits of a cell number; a bitmap is ROWS * 2 ** CELL_BITS / 8 bytes (64 MB), the same for any input.
 CELL_BITS = 28
@@ -89,6 +91,7 @@ def merge(reports: DataFrame) -> np.ndarray:
     bits = np.zeros((n, (1 << _LOCAL) // 8), np.uint8)
     for r in rows:
         bits[r["shard"]] = np.frombuffer(r["bits"], np.uint8)
+    release(reports)
     return bits.reshape(ROWS, -1)
 
 

@@ -22,7 +22,7 @@ from .common import STEP_BYTES, gram_hashes, word_hashes, words_of
 
 WINDOW = 13
 #: Blocks of text whose window entries meet in one group of the exchange.
-BLOCKS_PER_SHARD = 6
+BLOCKS_PER_SHARD = 10
 
 
 class _Windows:

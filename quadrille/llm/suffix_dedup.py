@@ -325,7 +325,7 @@ def spans_of(blocks: DataFrame) -> DataFrame:
                 if len(kept):
                     yield pa.RecordBatch.from_arrays([pa.array([k.ljust(KEY, b"\0") for k in keys_of(raw, at[kept], first[kept], last[kept]).tolist()], pa.binary())], names=["key"])
 
-    parts = max(16, blocks.count() // 2)
+    parts = max(16, blocks.count() // 4)
     rows = blocks.mapInArrow(sample, "key binary").orderBy(F.xxhash64("key")).limit(SAMPLE_KEYS).collect()
     known = sorted(bytes(r["key"]) for r in rows)
     edges = np.array(sorted({known[len(known) * i // parts] for i in range(1, parts)}) if known else [], f"S{KEY}")
