@@ -33,6 +33,8 @@ PIECE = 4096
 CELL_BITS = 20
 CELL_SHARDS = 16
 STEP = 1 << 18
+#: Bits of the filter on texts that have proposed links.
+FILTER_BITS = 26
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,6 +325,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _maybe_in(named: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows (node, text) of ``named`` whose node may be in ``needed``, none of those left out: a test of FILTER_BITS
+    bits (8 MB for any input) before the texts are shuffled for the exact join."""
+    h = F.xxhash64("node")
+    word = F.shiftrightunsigned(h, 64 - FILTER_BITS + 6).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 64 - FILTER_BITS).bitwiseAND(63).cast("int"))
+    found = needed.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    sent = named.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).to_numpy().view(np.uint64)
+            hit = sent.value[x >> np.uint64(64 - FILTER_BITS + 6)] >> (x >> np.uint64(64 - FILTER_BITS) & np.uint64(63)) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (1, 2)], names=["node", "text"]).filter(pa.array(hit.astype(bool)))
+
+    return named.select(h.alias("h"), "node", "text").mapInArrow(keep, "node binary, text string")
+
+
 def _members(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     """(id, node, label) of every row: its text's name and the label of its class."""
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", node("text"))
@@ -330,7 +352,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     signed = stored(signatures(named.select("node", "text"), idf), "signatures")
     links = stored(candidates(signed.dropDuplicates(["node"])), "candidates")
     needed = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
-    texts = stored(named.groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi"), "texts")
+    texts = stored(_maybe_in(named, needed).groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi"), "texts")
     labels = components(stored(verified(links, texts, idf, least), "verified"))
     return stored(named.select("id", "node").join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label")), "members")
 
