@@ -170,7 +170,7 @@ class Engine:
             case "delete":
                 quads = self._without(quads, from_triples(self.spark, [(getattr(x, "value", None), t) for x, t in u.delete]))
             case "clear" | "drop":
-                quads = quads.where(~inside(u.target))
+                quads = quads.where(~F.coalesce(inside(u.target), F.lit(False)))
             case "load":
                 try:
                     self.load(u.source, u.target)

@@ -48,7 +48,7 @@ TABLE_QUERIES: dict[str, tuple[str, str | None]] = {
     "bind": ("SELECT ?k ?net WHERE { ?l :l_linenumber ?k ; :l_extendedprice ?p ; :l_discount ?d BIND(?p * (1 - ?d) AS ?net) FILTER(?net < 1000) }", "select cast(l_linenumber as bigint) as k, l_extendedprice * (1 - l_discount) as net from lineitem where l_extendedprice * (1 - l_discount) < 1000"),
     "values": ("SELECT ?n ?r WHERE { VALUES ?r { \"ASIA\" \"EUROPE\" } ?x :r_name ?r . ?y :n_regionkey ?x ; :n_name ?n }", "select n_name as n, r_name as r from nation join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE')"),
     "values_undef": ("SELECT ?k ?r WHERE { ?n :n_nationkey ?k ; :n_regionkey ?x . ?x :r_name ?r } VALUES (?k ?r) { (1 UNDEF) (UNDEF \"ASIA\") (2 \"AFRICA\") }", "select cast(n_nationkey as bigint) as k, r_name as r from nation join region on n_regionkey = r_regionkey join (values (1, null), (null, 'ASIA'), (2, 'AFRICA')) v(a, b) on (a is null or a = n_nationkey) and (b is null or b = r_name)"),
-    "subselect": ("SELECT ?name ?total WHERE { ?c :c_name ?name { SELECT ?c (SUM(?t) AS ?total) WHERE { ?o :o_custkey ?c ; :o_totalprice ?t } GROUP BY ?c HAVING(COUNT(*) > 15) } }", "select c_name as name, total from customer join (select o_custkey, sum(o_totalprice) as total from orders group by o_custkey having count(*) > 15) on c_custkey = o_custkey"),
+    "subselect": ("SELECT ?name ?total WHERE { ?c :c_name ?name { SELECT ?c (ROUND(SUM(?t) * 100) / 100 AS ?total) WHERE { ?o :o_custkey ?c ; :o_totalprice ?t } GROUP BY ?c HAVING(COUNT(*) > 15) } }", "select c_name as name, total from customer join (select o_custkey, floor(sum(o_totalprice) * 100 + 0.5) / 100 as total from orders group by o_custkey having count(*) > 15) on c_custkey = o_custkey"),
     "subselect_limit": ("SELECT ?n ?r WHERE { ?x :n_regionkey ?y ; :n_name ?n { SELECT ?y ?r WHERE { ?y :r_name ?r } ORDER BY ?r LIMIT 2 } }", "select n_name as n, r_name as r from nation join (select * from region order by r_name limit 2) on n_regionkey = r_regionkey"),
     "graph_named": (f"SELECT ?n WHERE {{ GRAPH <{BASE}nation> {{ ?x :n_name ?n }} }}", "select n_name as n from nation"),
     "graph_variable": ("SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?x :r_name ?n1 } } GROUP BY ?g", f"select '{BASE}region' as g, count(*) as n from region"),
@@ -75,7 +75,7 @@ TABLE_QUERIES: dict[str, tuple[str, str | None]] = {
     "hashes": ("SELECT ?k (MD5(?n) AS ?m) (SHA1(?n) AS ?s) (SHA256(?n) AS ?t) WHERE { ?x :n_nationkey ?k ; :n_name ?n }", "select cast(n_nationkey as bigint) as k, md5(n_name) as m, sha1(n_name) as s, sha256(n_name) as t from nation"),
     "hash_lengths": ("SELECT ?k (STRLEN(SHA224(?n)) AS ?a) (STRLEN(SHA384(?n)) AS ?b) (STRLEN(SHA512(?n)) AS ?c) WHERE { ?x :n_nationkey ?k ; :n_name ?n }", "select cast(n_nationkey as bigint) as k, cast(56 as bigint) as a, cast(96 as bigint) as b, cast(128 as bigint) as c from nation"),
     "numeric_functions": ("SELECT ?k (ABS(?b) AS ?a) (CEIL(?b) AS ?c) (FLOOR(?b) AS ?f) (ROUND(?b) AS ?r) WHERE { ?x :c_custkey ?k ; :c_acctbal ?b }", "select c_custkey as k, abs(c_acctbal) as a, ceil(c_acctbal) as c, floor(c_acctbal) as f, floor(c_acctbal + 0.5) as r from customer"),
-    "date_parts": ("SELECT ?k (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (DAY(?d) AS ?dd) (HOURS(?d) AS ?h) (MINUTES(?d) AS ?mi) (xsd:double(SECONDS(?d)) AS ?s) WHERE { ?e :event_id ?k ; :ts ?d }", "select event_id as k, year(ts) as y, month(ts) as m, day(ts) as dd, hour(ts) as h, minute(ts) as mi, second(ts) + (microsecond(ts) % 1000000) / 1000000.0::double as s from events"),
+    "date_parts": ("SELECT ?k (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (DAY(?d) AS ?dd) (HOURS(?d) AS ?h) (MINUTES(?d) AS ?mi) (xsd:double(SECONDS(?d)) AS ?s) WHERE { ?e :event_id ?k ; :ts ?d }", "select event_id as k, year(ts) as y, month(ts) as m, day(ts) as dd, hour(ts) as h, minute(ts) as mi, cast(strftime(ts, '%S.%f') as double) as s from events"),
     "tz_timezone": ("SELECT ?k (TZ(?d) AS ?z) (STR(TIMEZONE(?d)) AS ?t) WHERE { ?e :event_id ?k ; :ts ?d }", "select event_id as k, 'Z' as z, 'PT0S' as t from events"),
     "unixtime": ("SELECT ?k (TO_UNIXTIME(?d) AS ?t) WHERE { ?o :o_orderkey ?k ; :o_orderdate ?d }", "select o_orderkey as k, cast(floor(epoch(o_orderdate)) as bigint) as t from orders"),
     "date_filter": ("SELECT ?k WHERE { ?o :o_orderkey ?k ; :o_orderdate ?d FILTER(?d >= \"1995-01-01T00:00:00Z\"^^xsd:dateTime && ?d < \"1995-07-01T00:00:00Z\"^^xsd:dateTime) }", "select o_orderkey as k from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1995-07-01'"),
@@ -83,7 +83,7 @@ TABLE_QUERIES: dict[str, tuple[str, str | None]] = {
     # groups
     "count_forms": ("SELECT (COUNT(*) AS ?n) (COUNT(?s) AS ?a) (COUNT(DISTINCT ?s) AS ?d) WHERE { ?c :c_mktsegment ?s }", "select count(*) as n, count(c_mktsegment) as a, count(distinct c_mktsegment) as d from customer"),
     "count_distinct_star": ("SELECT (COUNT(DISTINCT *) AS ?n) WHERE { ?o :o_orderstatus ?s ; :o_custkey ?c }", "select count(*) as n from (select distinct o_orderkey, o_orderstatus, o_custkey from orders)"),
-    "sum_avg_min_max": ("SELECT ?f (SUM(?z) AS ?sum) (xsd:double(AVG(?z)) AS ?avg) (MIN(?z) AS ?min) (MAX(?z) AS ?max) WHERE { ?p :p_brand ?f ; :p_size ?z } GROUP BY ?f", "select p_brand as f, cast(sum(p_size) as bigint) as sum, round(avg(p_size), 6) as avg, cast(min(p_size) as bigint) as min, cast(max(p_size) as bigint) as max from part group by p_brand"),
+    "sum_avg_min_max": ("SELECT ?f (SUM(?z) AS ?sum) (ROUND(xsd:double(AVG(?z)) * 1000) / 1000 AS ?avg) (MIN(?z) AS ?min) (MAX(?z) AS ?max) WHERE { ?p :p_brand ?f ; :p_size ?z } GROUP BY ?f", "select p_brand as f, cast(sum(p_size) as bigint) as sum, floor(avg(p_size) * 1000 + 0.5) / 1000 as avg, cast(min(p_size) as bigint) as min, cast(max(p_size) as bigint) as max from part group by p_brand"),
     "aggregate_empty": ("SELECT (COUNT(*) AS ?n) (SUM(?s) AS ?t) WHERE { ?p :p_size ?s FILTER(?s > 1000) }", "select cast(0 as bigint) as n, cast(0 as bigint) as t"),
     "group_concat": ("SELECT ?r (GROUP_CONCAT(?n; SEPARATOR=\"|\") AS ?names) WHERE { ?x :n_regionkey ?y ; :n_name ?n . ?y :r_name ?r } GROUP BY ?r", "select r_name as r, string_agg(n_name, '|' order by n_name) as names from nation join region on n_regionkey = r_regionkey group by r_name"),
     "group_concat_distinct": ("SELECT (GROUP_CONCAT(DISTINCT ?s; SEPARATOR=\",\") AS ?all) WHERE { ?c :c_mktsegment ?s }", "select string_agg(s, ',' order by s) as \"all\" from (select distinct c_mktsegment as s from customer)"),

@@ -57,16 +57,20 @@ def read_ntriples(spark: SparkSession, path: str, graph: str | None = None) -> D
 
 def parse_turtle(text: str, base: str | None = None) -> list[Triple]:
     """Triples of a Turtle document: directives, property and object lists, collections and blank nodes."""
-    if "@prefix" in text or "@base" in text:
-        import re
-
-        text = re.sub(r"(?m)^\s*@(prefix|base)\s+(.*?>)\s*\.", lambda m: f"{m[1].upper()} {m[2]}", text)
     p = _Parser(text, base)
     out: list[Triple] = []
     while p.i < len(p.tokens):
         p.prologue()
         if p.i >= len(p.tokens):
             break
+        if p.kind() == "lang" and p.value() in ("@prefix", "@base"):
+            if p.take() == "@base":
+                p.base = p.iri().value
+            else:
+                prefix = p.take()[:-1]
+                p.prefixes[prefix] = p.iri().value
+            p.need(".")
+            continue
         found = p.triples(blank=False)
         if not found:
             p.fail("triples")
