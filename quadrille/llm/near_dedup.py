@@ -193,14 +193,14 @@ def _proposals(nodes: list[bytes], sig: np.ndarray, carried: list[int]) -> tuple
             partners, agree = partners.copy(), agree.copy()
             partners[better], agree[better] = old_p, old_a
 
-    pool, leaders, links = np.arange(n), [], set()
+    pool, leaders, links = np.arange(len(carried), n), list(carried), set()
     fixed = list(carried)
-    pool = pool[len(carried) :]
     while len(pool):
-        lead = fixed.pop(0) if fixed else int(pool[0])
-        if pool[0] == lead:
-            pool = pool[1:]
-        leaders.append(lead)
+        if fixed:
+            lead = fixed.pop(0)
+        else:
+            lead, pool = int(pool[0]), pool[1:]
+            leaders.append(lead)
         agree = (sig[pool] == sig[lead]).sum(1, dtype=np.int16)
         strong = agree >= SETTLED
         links.update((lead, int(x)) for x in pool[strong])
@@ -365,7 +365,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     class_id, and an empty table gives an empty one.
     """
     members = _members(docs, id_col, text_col, least)
-    names = members.groupBy("label").agg(F.min("id").alias("class_id"))
+    # Stored, so that the join has a shuffle of its own on both sides, which Spark can split where a class is large.
+    names = stored(members.groupBy("label").agg(F.min("id").alias("class_id")), "class-names")
     return members.join(names, "label").select(F.col("id").alias(id_col), "class_id")
 
 

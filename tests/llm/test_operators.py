@@ -150,6 +150,26 @@ def test_near_dedup_chain_and_hot_group(spark):
     assert all(cls[5000 + i] == 5000 + i for i in range(20))
 
 
+def test_bucket_pieces_keep_their_leaders():
+    rng = np.random.default_rng(1)
+    centres = rng.integers(0, 256, (5, near_dedup.SAMPLES), dtype=np.uint8)
+    names = [bytes([i]) for i in range(40)]
+    own = np.arange(40) % 5
+    sig = centres[own].copy()
+    sig[:, 0] = np.arange(40)
+    links, leaders = near_dedup._proposals(names[:20], sig[:20], [])
+    assert leaders == [0, 1, 2, 3, 4] and links == {(i % 5, i) for i in range(5, 20)}
+    kept = leaders + list(range(20, 40))
+    links, again = near_dedup._proposals([names[i] for i in kept], sig[kept], list(range(5)))
+    assert again == [0, 1, 2, 3, 4] and links == {(k % 5, 5 + k) for k in range(20)}
+    links, again = near_dedup._proposals(names[:6], sig[:6], list(range(5)))
+    assert again == [0, 1, 2, 3, 4] and links == {(0, 5)}
+    near = centres[:1].repeat(4, 0)
+    near[1, :10], near[2, :10], near[3, 10:20] = 1, 1, 2
+    links, _ = near_dedup._proposals(names[:4], near, [])
+    assert (1, 2) in links and {(0, 1), (0, 2), (0, 3)} <= links
+
+
 def test_weighted_samples_agree_as_often_as_texts_are_alike():
     rng = np.random.default_rng(1)
     shingle = rng.integers(0, 1 << 48, 400, dtype=np.uint64)
