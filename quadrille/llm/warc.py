@@ -107,6 +107,8 @@ def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     narrow = pages.where(F.octet_length(payload) >= least).select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_sha"))
     firsts = narrow.groupBy("_sha").agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null").drop("_n")
+    # Stored, so that the join has a shuffle of its own on both sides, which Spark can split at a hot digest.
+    firsts = stored(firsts, "warc-firsts")
     links = narrow.join(firsts, "_sha").where("_id is null or _id <> _first").select("_id", "_sha", "_first").distinct()
     keyed = pages.withColumn("_sha_own", F.when(F.octet_length(payload) >= least, F.sha1(payload)))
     return keyed.join(links, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha")), "left").select(*pages.columns, F.col("_first").alias("refers_to"))
