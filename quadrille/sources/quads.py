@@ -32,9 +32,11 @@ def from_triples(spark: SparkSession, quads: list) -> DataFrame:
 
 
 def _unescaped(c):
-    for code, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\'", "'")):
-        c = F.replace(c, F.lit(code), F.lit(char))
-    return F.replace(c, F.lit("\\\\"), F.lit("\\"))
+    """The text of an escaped literal. Its escapes are those of a JSON string, besides \\' and the 8-digit form."""
+    plain = F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
+    read = F.get_json_object(F.concat(F.lit('{"v":"'), F.regexp_replace(plain, "\t", r"\\t"), F.lit('"}')), "$.v")
+    wrong = F.raise_error(F.concat(F.lit("escapes that only read_turtle reads: "), F.substring(c, 1, 200))).cast("string")
+    return F.when(c.contains("\\"), F.coalesce(read, wrong)).otherwise(c)
 
 
 def read_ntriples(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
@@ -47,8 +49,7 @@ def read_ntriples(spark: SparkSession, path: str, graph: str | None = None) -> D
     blank = lambda c: F.concat(file, F.lit("."), c)
     none = F.lit(None).cast("string")
     make = lambda kind, lex, lang=none, dt=none: F.struct(F.lit(kind).cast("tinyint").alias("kind"), lex.alias("lex"), lang.alias("lang"), dt.alias("dt"))
-    escaped = F.when(part(6).contains("\\u") | part(6).contains("\\U"), F.raise_error(F.lit("numeric escapes are read by read_turtle"))).otherwise(part(6))
-    literal = make(LITERAL, _unescaped(escaped), F.nullif(part(7), F.lit("")), F.nullif(F.nullif(part(8), F.lit("")), F.lit(XSD + "string")))
+    literal = make(LITERAL, _unescaped(part(6)), F.nullif(part(7), F.lit("")), F.nullif(F.nullif(part(8), F.lit("")), F.lit(XSD + "string")))
     subject = F.when(part(2) != "", make(BLANK, blank(part(2)))).otherwise(make(IRI, part(1)))
     value = F.when(part(5) != "", make(BLANK, blank(part(5)))).when(F.col("value").rlike(r"^\s*(?:<[^>]*>|_:\S+)\s+<[^>]*>\s+\""), literal).otherwise(make(IRI, part(4)))
     name = F.when(part(9) != "", part(9)).when(part(10) != "", part(10)).otherwise(F.lit(graph))

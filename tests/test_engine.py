@@ -139,6 +139,10 @@ def test_updates(spark):
 def test_files_and_command_line(spark, tmp_path, capsys):
     (tmp_path / "d.nt").write_text('<http://e/a> <http://e/p> "x\\ty"@en . # end\n\n_:b <http://e/p> <http://e/a> <http://e/g> .\n<http://e/a> <http://e/n> "5"^^<http://www.w3.org/2001/XMLSchema#integer> .\n')
     (tmp_path / "d.ttl").write_text("@prefix : <http://e/> . :z :n 7 ; :l ( :a ) .")
+    (tmp_path / "esc.nt").write_text(r'<http://e/w> <http://e/t> "caf\u00e9 \\t \"q\" it\'s\n" .' + "\n")
+    esc = Engine(spark, warn=False)
+    esc.load(str(tmp_path / "esc.nt"))
+    assert esc.prepare(P + "SELECT ?t { :w :t ?t }").dataframe().first().t == "café \\t \"q\" it's\n"
     e = Engine(spark, warn=False)
     e.load(str(tmp_path / "d.nt"))
     e.load(str(tmp_path / "d.ttl"))
