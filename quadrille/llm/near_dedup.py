@@ -2,9 +2,10 @@
 
 Document frequencies of five-word shingles come from a merged count sketch over all documents. A consistent weighted
 sample of each text's shingles agrees between two texts with the probability of their weighted Jaccard similarity;
-BANDS groups of ROWS samples make buckets. Buckets propose links along their strongest estimated agreements, a few
-per member; every proposal is verified by the exact weighted Jaccard similarity of both whole texts. Classes are the
-connected components of verified links. Nodes are distinct texts, so exact copies cost one row each.
+BANDS groups of ROWS samples make buckets. Buckets first propose links along their strongest estimated agreements, a
+few per member; every proposal is verified by the exact weighted Jaccard similarity of both whole texts, and classes are
+the connected components of verified links. What the few left out is tested next: all pairs of a bucket that are still
+of different classes. Nodes are distinct texts, so exact copies cost one row each.
 """
 
 from __future__ import annotations
@@ -25,8 +26,15 @@ BANDS, ROWS = 14, 3
 SAMPLES = BANDS * ROWS
 #: Agreeing samples from which a pair is verified (an estimate of 0.5), and from which one link settles a member.
 LEAST_AGREE, SETTLED = SAMPLES // 2, 38
-#: Proposals each unsettled member of a bucket keeps, the best first.
+#: Proposals each unsettled member of a bucket keeps at first, the best first; ``linked`` tests the rest.
 BEST = 3
+#: Pairs between classes that a member of a bucket keeps in the first pass over the rest; REST_GROWTH times more in each
+#: further one, until none had more.
+REST, REST_GROWTH = 256, 16
+#: Further samples of texts that have proposed links, and agreeing samples of all from which a pair of the rest is
+#: verified (an estimate of 0.72, 4.5 standard deviations below SIMILARITY).
+FINE = 470
+LEAST_FINE = round(0.72 * (SAMPLES + FINE))
 #: Members of a bucket that are compared at once; larger buckets go on in pieces with the leaders met so far.
 PIECE = 4096
 #: Cells of the document frequency sketch, the same for any input.
@@ -116,19 +124,20 @@ def _quantiles(which: str) -> np.ndarray:
 _GAMMA, _LOG_GAMMA = _quantiles("plain"), _quantiles("log")
 _ONE_BY_GAMMA = 1 / _GAMMA
 _SEEDS = np.random.default_rng(4).integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
+_FINE_SEEDS = np.random.default_rng(5).integers(1, 1 << 63, FINE, dtype=np.uint64)
 
 
-def samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(documents that have shingles, their SAMPLES consistent weighted samples as 32-bit names)."""
+def samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, seeds: np.ndarray = _SEEDS) -> tuple[np.ndarray, np.ndarray]:
+    """(documents that have shingles, their consistent weighted samples, one for each seed, as 32-bit names)."""
     if not len(doc):
-        return doc, np.zeros((0, SAMPLES), np.uint32)
+        return doc, np.zeros((0, len(seeds)), np.uint32)
     new = np.ones(len(doc), bool)
     new[1:] = doc[1:] != doc[:-1]
     at = np.flatnonzero(new)
-    out = np.empty((len(at), SAMPLES), np.uint32)
+    out = np.empty((len(at), len(seeds)), np.uint32)
     log_w = np.log(weight).astype(np.float32)
     low = np.uint64(0xFFF)
-    for j, seed in enumerate(_SEEDS):
+    for j, seed in enumerate(seeds):
         x = shingle ^ seed
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
@@ -177,15 +186,30 @@ def signatures(texts: DataFrame, idf) -> DataFrame:
     return texts.mapInArrow(run, "node binary, signature binary, bands array<bigint>")
 
 
-def _proposals(nodes: list[bytes], sig: np.ndarray, carried: list[int]) -> tuple[set[tuple[int, int]], list[int]]:
+def finer(signed: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(node, signature, bands) of ``signed`` for all ``texts`` (node, text), with FINE more bytes of signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, raw, offsets in _parts(batch.column(1)):
+                doc, shingle, count = shingles(raw, offsets)
+                own, names = samples(doc, shingle, count * idf.value[_cells(shingle)], _FINE_SEEDS)
+                fine = pa.array([s.tobytes() for s in (names & np.uint32(0xFF)).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(own)), fine], names=["node", "fine"])
+
+    more = texts.mapInArrow(run, "node binary, fine binary")
+    return signed.join(more, "node").select("node", F.concat("signature", "fine").alias("signature"), "bands")
+
+
+def _proposals(nodes: list[bytes], sig: np.ndarray, carried: list[int], keep: int = BEST) -> tuple[set[tuple[int, int]], list[int]]:
     """Links (index pairs) that a bucket proposes, and its leaders. ``carried`` are leaders of earlier pieces, among
     the first members here."""
     n = len(nodes)
-    best = np.full((n, BEST), -1, np.int64)
-    agreed = np.zeros((n, BEST), np.int16)
+    best = np.full((n, keep), -1, np.int64)
+    agreed = np.zeros((n, keep), np.int16)
 
     def offer(members: np.ndarray, partners: np.ndarray, agree: np.ndarray):
-        for slot in range(BEST):
+        for slot in range(keep):
             better = agree > agreed[members, slot]
             m = members[better]
             old_p, old_a = best[m, slot].copy(), agreed[m, slot].copy()
@@ -220,8 +244,8 @@ def _proposals(nodes: list[bytes], sig: np.ndarray, carried: list[int]) -> tuple
     return links, leaders
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct proposed links (a, b) of nodes, a < b, from all buckets; at most BEST + 1 a member and bucket."""
+def candidates(signed: DataFrame, keep: int = BEST) -> DataFrame:
+    """Distinct proposed links (a, b) of nodes, a < b, from all buckets; at most ``keep`` + 1 a member and bucket."""
     members = signed.where(F.size("bands") > 0).select(F.posexplode("bands").alias("band", "bucket"), "node", "signature").select("bucket", "node", "signature")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +254,7 @@ def candidates(signed: DataFrame) -> DataFrame:
         current, carried = None, 0
 
         def links():
-            found, leaders = _proposals(nodes, sig, list(range(carried)))
+            found, leaders = _proposals(nodes, sig, list(range(carried)), keep)
             pairs = [(nodes[x], nodes[y]) if nodes[x] < nodes[y] else (nodes[y], nodes[x]) for x, y in found]
             a, b = zip(*pairs, strict=True) if pairs else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]), leaders
@@ -325,6 +349,98 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def between(signed: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, that share a bucket, agree on LEAST_FINE samples and have different labels: the
+    ``most`` strongest of each member, with ``capped`` where it had more. A node without a label is its own.
+
+    A bucket of several labels is dealt out in blocks of about PIECE members, and a group compares two blocks. Members
+    of the bucket's most frequent label stand in blocks of their own, which are never compared with each other.
+    """
+    own = signed.join(labels, "node", "left").withColumn("label", F.xxhash64(F.coalesce("label", "node")))
+    members = own.select(F.explode("bands").alias("bucket"), "node", "signature", "label")
+    sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / PIECE).cast("int")
+    several = several.select("bucket", F.col("main.label").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
+    block = F.when(F.col("label") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "others")).cast("int")
+    met = F.sequence(F.lit(0), F.when(F.col("label") == F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    dealt = members.join(several, "bucket").withColumn("block", block).withColumn("other", F.explode(met))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "signature", "label")
+    # A fixed number of partitions, as the work does not follow from the bytes.
+    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in (*batches, None):
+            if batch is None:
+                held, left = left, None
+            else:
+                held = pa.Table.from_batches([batch])
+                held = pa.concat_tables([left, held]) if left is not None else held
+            if held is None or not held.num_rows:
+                continue
+            bucket, x, y, block = (held.column(c).to_numpy() for c in ("bucket", "x", "y", "block"))
+            edges = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist()]
+            if batch is None:
+                edges.append(held.num_rows)
+            else:
+                left = held.slice(edges[-1])
+            label = held.column("label").to_numpy()
+            sig = np.frombuffer(b"".join(held.column("signature").to_pylist()), np.uint8).reshape(-1, SAMPLES + FINE)
+            found = [_across(sig[c:d], label[c:d], block[c:d], x[c], y[c], most, c) for c, d in zip(edges, edges[1:], strict=False)]
+            if found:
+                a, b, capped = (np.concatenate(z) for z in zip(*found, strict=True))
+                nodes = held.column("node").combine_chunks()
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b)), pa.array(capped)], names=["a", "b", "capped"])
+
+    pairs = dealt.mapInArrow(compare, "a binary, b binary, capped boolean")
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("capped").alias("capped"))
+
+
+def _across(sig: np.ndarray, label: np.ndarray, block: np.ndarray, x: int, y: int, most: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one group with different labels and LEAST_FINE or more agreeing samples, each with the member of block
+    ``x`` first and seen from it alone: (first, second, whether it had more than ``most``), counted from ``base``."""
+    own, others = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    firsts, seconds, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    step = max(1, (1 << 22) // (sig.shape[1] * max(1, len(others))))
+    for a in range(0, len(own), step):
+        rows = own[a : a + step]
+        agree = (sig[rows][:, None, :] == sig[others][None, :, :]).sum(2, dtype=np.int16)
+        agree[label[rows][:, None] == label[others][None, :]] = 0
+        if x == y:
+            agree[rows[:, None] >= others[None, :]] = 0
+        full = (agree >= LEAST_FINE).sum(1) > most
+        for r in np.flatnonzero(full):
+            agree[r, np.argsort(-agree[r], kind="stable")[most:]] = 0
+        i, j = np.nonzero(agree >= LEAST_FINE)
+        firsts.append(rows[i] + base)
+        seconds.append(others[j] + base)
+        more.append(full[i])
+    return np.concatenate(firsts), np.concatenate(seconds), np.concatenate(more)
+
+
+def linked(links: DataFrame, signed: DataFrame, texts: DataFrame, idf, least: float = SIMILARITY, most: int = REST) -> DataFrame:
+    """(node, label) of the classes that ``links`` and then all other pairs that share a bucket make.
+
+    ``signed`` (see ``finer``) has one row for each node of ``links``, ``texts`` their texts. A pass tests the pairs between different
+    classes that were not tested before; passes go on until no member had more pairs than it could keep.
+    """
+    tried = links
+    good = stored(verified(links, texts, idf, least), "verified")
+    labels = components(good)
+    while True:
+        pairs = stored(between(signed, labels, most), "between")
+        new = stored(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "candidates")
+        more = stored(verified(new, texts, idf, least), "verified")
+        if not more.isEmpty():
+            good = good.unionAll(more)
+            labels = components(good)
+        if pairs.where("capped").isEmpty():
+            return labels
+        tried, most = tried.unionAll(new), most * REST_GROWTH
+
+
 def _maybe_in(named: DataFrame, needed: DataFrame) -> DataFrame:
     """Rows (node, text) of ``named`` whose node may be in ``needed``, none of those left out: a test of FILTER_BITS
     bits (8 MB for any input) before the texts are shuffled for the exact join."""
@@ -350,10 +466,11 @@ def _members(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", node("text"))
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(docs, text_col))
     signed = stored(signatures(named.select("node", "text"), idf), "signatures")
-    links = stored(candidates(signed.dropDuplicates(["node"])), "candidates")
+    signed = signed.dropDuplicates(["node"])
+    links = stored(candidates(signed), "candidates")
     needed = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
     texts = stored(_maybe_in(named, needed).groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi"), "texts")
-    labels = components(stored(verified(links, texts, idf, least), "verified"))
+    labels = linked(links, stored(finer(signed, texts, idf), "signed"), texts, idf, least)
     return stored(named.select("id", "node").join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label")), "members")
 
 

@@ -150,6 +150,41 @@ def test_near_dedup_chain_and_hot_group(spark):
     assert all(cls[5000 + i] == 5000 + i for i in range(20))
 
 
+def test_near_dedup_tests_what_the_first_proposals_leave_out(spark, monkeypatch):
+    """Texts of similarities around 0.8, with one first proposal, few pairs a pass and small blocks: the classes are those
+    of all pairs."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "PIECE", 8)
+    rng = np.random.default_rng(3)
+    docs = {}
+    for i in range(60):
+        own = [f"w{k}" for k in range(300)]
+        for k in rng.choice(290, 1 + i % 4, replace=False):
+            own[k] = f"e{i}_{k}"
+        docs[i] = " ".join(own)
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    table = near_dedup.idf_table(df)
+    idf = spark.sparkContext.broadcast(table)
+    named = df.select(near_dedup.node().alias("node"), "text")
+    signed = near_dedup.signatures(named, idf)
+    links = near_dedup.candidates(signed, keep=1).limit(20)
+    links = near_dedup.stored(links, "few")
+    near = near_dedup.linked(links, near_dedup.stored(near_dedup.finer(signed, named, idf), "signed"), named, idf, most=2)
+    label = {bytes(r.node): bytes(r.label) for r in near.collect()}
+    names = {r.doc_id: bytes(r.node) for r in df.select("doc_id", near_dedup.node().alias("node")).collect()}
+    found = {i: label.get(n, n) for i, n in names.items()}
+    pairs = [(a, b) for a in docs for b in docs if a < b]
+    score = near_dedup.weighted_jaccard(*(pa.array([docs[p[k]] for p in pairs], pa.large_string()) for k in (0, 1)), table)
+    own = {i: i for i in docs}
+    for _ in docs:
+        for (a, b), s in zip(pairs, score, strict=True):
+            if s >= 0.8:
+                own[a] = own[b] = min(own[a], own[b])
+    assert 1 < len(set(own.values())) < len(docs)
+    assert {frozenset(i for i in docs if own[i] == c) for c in own.values()} == {frozenset(i for i in docs if found[i] == c) for c in found.values()}
+
+
 def test_bucket_pieces_keep_their_leaders():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 256, (5, near_dedup.SAMPLES), dtype=np.uint8)
