@@ -357,7 +357,7 @@ def between(signed: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     of the bucket's most frequent label stand in blocks of their own, which are never compared with each other.
     """
     own = signed.join(labels, "node", "left").withColumn("label", F.xxhash64(F.coalesce("label", "node")))
-    members = own.select(F.explode("bands").alias("bucket"), "node", "signature", "label")
+    members = own.select(F.explode("bands").alias("bucket"), "node", "label")
     sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     blocks = lambda n: F.ceil(n / PIECE).cast("int")
@@ -365,7 +365,9 @@ def between(signed: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     block = F.when(F.col("label") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "others")).cast("int")
     met = F.sequence(F.lit(0), F.when(F.col("label") == F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
     dealt = members.join(several, "bucket").withColumn("block", block).withColumn("other", F.explode(met))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "signature", "label")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "label")
+    # Signatures join last: they are long, and only members of buckets with several labels need theirs.
+    dealt = dealt.join(signed.select("node", "signature"), "node")
     # A fixed number of partitions, as the work does not follow from the bytes.
     parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
