@@ -1,11 +1,12 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-Document frequencies of five-word shingles come from a merged count sketch over all documents. A consistent weighted
-sample of each text's shingles agrees between two texts with the probability of their weighted Jaccard similarity;
-BANDS groups of ROWS samples make buckets. Buckets first propose links along their strongest estimated agreements, a
-few per member; every proposal is verified by the exact weighted Jaccard similarity of both whole texts, and classes are
+A merged count sketch over all documents gives rough document frequencies of five-word shingles, for candidates only. A
+consistent weighted sample of each text's shingles agrees between two texts with the probability of their weighted
+Jaccard similarity; BANDS groups of ROWS samples make buckets. Buckets first propose links along their strongest
+estimated agreements, a few per member. The shingles of texts with proposals are then counted exactly over all documents;
+with these frequencies every proposal is verified by the weighted Jaccard similarity of both whole texts, and classes are
 the connected components of verified links. What the few left out is tested next: all pairs of a bucket that are still
-of different classes. Nodes are distinct texts, so exact copies cost one row each.
+of different classes, with exact frequencies too. Nodes are distinct texts, so exact copies cost one row each.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ CELL_SHARDS = 16
 STEP = 1 << 18
 #: Bits of the filter on texts that have proposed links.
 FILTER_BITS = 26
+#: For exact counts: shingles that a task holds before it sends them, about those of a range of shingles, the least bits
+#: that name a range, and characters of the texts that ask together.
+HELD, RANGE_KEYS, RANGE_BITS, CHUNK_CHARS = 1 << 21, 1 << 21, 6, 1 << 21
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,8 +81,18 @@ def _parts(column: pa.Array):
             yield c, d, raw[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c]
 
 
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequency of what ``df`` of ``n`` documents have."""
+    return np.log((n + 1) / (np.minimum(df, n) + 1)) + 1
+
+
 def idf_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Inverse document frequency by cell, over all documents."""
+    """Rough inverse document frequency by cell, over all documents."""
+    return idf_of(*_sketch(docs, text_col)).astype(np.float32)
+
+
+def _sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    """(documents by cell, one for each of their shingles; number of documents)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << CELL_BITS, np.int64), 0
@@ -109,8 +123,114 @@ def idf_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     for r in rows:
         size = (1 << CELL_BITS) // CELL_SHARDS
         total[r["shard"] * size : (r["shard"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
-    n = rows[0]["n"] if rows else 0
-    return (np.log((n + 1) / (np.minimum(total, n) + 1)) + 1).astype(np.float32)
+    return total, rows[0]["n"] if rows else 0
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of their bytes, no more than the largest needs."""
+    wide = (int(values.max(initial=1)).bit_length() + 7) // 8
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return out.view("<u8").ravel()
+
+
+def _ranges(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(range, first, end, packed steps between shingles) of sorted distinct shingles, by their first ``bits`` bits."""
+    low = np.uint64(48 - bits)
+    own = key >> low
+    at = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint64(1)) != 0).tolist()
+    for a, b in zip(at, [*at[1:], len(key)], strict=True):
+        yield int(own[a]), a, b, _packed(np.diff(key[a:b], prepend=own[a] << low))
+
+
+def _keys(which: int, n: int, data: bytes, bits: int) -> np.ndarray:
+    return np.cumsum(_unpacked(data, n), dtype=np.uint64) + (np.uint64(which) << np.uint64(48 - bits))
+
+
+def weighed(texts: DataFrame, docs: DataFrame, text_col: str, n: int, incidences: int) -> DataFrame:
+    """``texts`` (node, text) with ``idf``: the exact inverse document frequency, over the ``n`` rows of ``docs``, of each
+    shingle of the text in the order of ``shingles``.
+
+    Texts ask in chunks for their distinct shingles; a range of shingles adds up what all documents have of those.
+    ``incidences`` (the sum of the sketch) and the length of the texts decide how many ranges and chunks there are.
+    """
+    bits = max(RANGE_BITS, (incidences // RANGE_KEYS).bit_length())
+    chunks = (texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // CHUNK_CHARS + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def sent():
+            key, times = np.unique(np.concatenate(held), return_counts=True)
+            rows = [(r, b - a, data, _packed(times[a:b])) for r, a, b, data in _ranges(key, bits)]
+            which, size, keys, counts = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["range", "size", "keys", "counts"])
+
+        for batch in batches:
+            for _, _, raw, offsets in _parts(batch.column(0)):
+                held.append(shingles(raw, offsets)[1])
+                size += len(held[-1])
+                if size >= HELD:
+                    yield sent()
+                    held, size = [], 0
+        if size:
+            yield sent()
+
+    def own_shingles(table: pa.Table):
+        return [(a, b, *shingles(raw, offsets)[:2]) for a, b, raw, offsets in _parts(table.column("text").combine_chunks())]
+
+    def ask(table: pa.Table) -> pa.Table:
+        parts = own_shingles(table)
+        key = np.unique(np.concatenate([p[3] for p in parts]))
+        rows = [(r, b - a, data) for r, a, b, data in _ranges(key, bits)]
+        which, size, keys = zip(*rows, strict=True) if rows else ((), (), ())
+        chunk = [table.column("chunk")[0].as_py()] * len(rows)
+        return pa.table({"range": pa.array(which, pa.int64()), "chunk": pa.array(chunk, pa.int64()), "size": pa.array(size, pa.int32()), "keys": pa.array(keys, pa.binary())})
+
+    def add(counted: pa.Table, asked: pa.Table) -> pa.Table:
+        wanted = [_keys(r, n, data, bits) for r, n, data in zip(*(asked.column(c).to_pylist() for c in ("range", "size", "keys")), strict=True)]
+        out = []
+        if wanted:
+            every = np.unique(np.concatenate(wanted))
+            df = np.zeros(len(every), np.int64)
+            for i in range(counted.num_rows):
+                r, n, data, times = (counted.column(c)[i].as_py() for c in ("range", "size", "keys", "counts"))
+                key = _keys(r, n, data, bits)
+                at = np.minimum(np.searchsorted(every, key), len(every) - 1)
+                hit = every[at] == key
+                df[at[hit]] += _unpacked(times, n)[hit].astype(np.int64)
+            out = [_packed(df[np.searchsorted(every, key)]) for key in wanted]
+        return pa.table({"chunk": asked.column("chunk").cast(pa.int64()), "range": asked.column("range").cast(pa.int64()), "size": asked.column("size").cast(pa.int32()), "df": pa.array(out, pa.binary())})
+
+    def answer(table: pa.Table, counted: pa.Table) -> pa.Table:
+        idf = [b""] * table.num_rows
+        if table.num_rows:
+            parts = own_shingles(table)
+            every = np.unique(np.concatenate([p[3] for p in parts]))
+            rows = sorted(zip(*(counted.column(c).to_pylist() for c in ("range", "size", "df")), strict=True))
+            weight = idf_of(np.concatenate([np.zeros(0, np.uint64), *(_unpacked(data, m) for _, m, data in rows)]).astype(np.int64), n)
+            for a, b, doc, key in parts:
+                own = weight[np.searchsorted(every, key)]
+                ends = np.searchsorted(doc, np.arange(b - a + 1))
+                for d in range(b - a):
+                    idf[a + d] = zlib.compress(own[ends[d] : ends[d + 1]].tobytes(), 1)
+        return pa.table({"node": table.column("node").cast(pa.binary()), "text": table.column("text").cast(pa.string()), "idf": pa.array(idf, pa.binary())})
+
+    dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks).cast("long")))
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "range bigint, chunk bigint, size int, keys binary")
+    counted = docs.select(text_col).mapInArrow(count, "range bigint, size int, keys binary, counts binary")
+    found = counted.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(add, "chunk bigint, range bigint, size int, df binary")
+    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(answer, "node binary, text string, idf binary")
+
+
+def _own_idf(column: pa.Array) -> np.ndarray:
+    """What ``weighed`` gave to each shingle of some texts."""
+    return np.frombuffer(b"".join(zlib.decompress(x) for x in column.to_pylist()))
 
 
 def _quantiles(which: str) -> np.ndarray:
@@ -187,13 +307,15 @@ def signatures(texts: DataFrame, idf) -> DataFrame:
 
 
 def finer(signed: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """(node, signature, bands) of ``signed`` for all ``texts`` (node, text), with FINE more bytes of signature."""
+    """(node, signature, bands) of ``signed`` for all ``texts`` (node, text), with FINE more bytes of signature. Texts that
+    have an ``idf`` (see ``weighed``) are sampled by it, others by the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, offsets in _parts(batch.column(1)):
                 doc, shingle, count = shingles(raw, offsets)
-                own, names = samples(doc, shingle, count * idf.value[_cells(shingle)], _FINE_SEEDS)
+                weight = _own_idf(batch.column(2).slice(a, b - a)) if batch.num_columns > 2 else idf.value[_cells(shingle)]
+                own, names = samples(doc, shingle, count * weight, _FINE_SEEDS)
                 fine = pa.array([s.tobytes() for s in (names & np.uint32(0xFF)).astype(np.uint8)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(own)), fine], names=["node", "fine"])
 
@@ -289,7 +411,8 @@ def candidates(signed: DataFrame, keep: int = BEST) -> DataFrame:
 
 
 def verified(links: DataFrame, texts: DataFrame, idf, least: float = SIMILARITY) -> DataFrame:
-    """``links`` (a, b) whose texts have a weighted Jaccard similarity of ``least`` or more, with ``similarity``."""
+    """``links`` (a, b) whose texts have a weighted Jaccard similarity of ``least`` or more, with ``similarity``. Texts that
+    have an ``idf`` (see ``weighed``) are weighted by it, others by the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,17 +422,20 @@ def verified(links: DataFrame, texts: DataFrame, idf, least: float = SIMILARITY)
             for a, b in steps(ends, 1 << 20):
                 for c in range(a, b, 30_000):
                     d = min(b, c + 30_000)
-                    scores[c:d] = weighted_jaccard(batch.column(2).slice(c, d - c), batch.column(3).slice(c, d - c), idf.value)
+                    left, right, *own = (x.slice(c, d - c) for x in batch.columns[2:])
+                    scores[c:d] = weighted_jaccard(left, right, idf.value, own)
             keep = pa.array(scores >= least - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(scores).filter(keep)], names=["a", "b", "similarity"])
 
-    x, y = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    both = links.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
+    more = texts.columns[1:]
+    x, y = texts.toDF("a", *(f"{c}_a" for c in more)), texts.toDF("b", *(f"{c}_b" for c in more))
+    both = links.join(x, "a").join(y, "b").select("a", "b", *(f"{c}_{k}" for c in more for k in "ab"))
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """The similarity of each pair of texts: sum of the smaller over sum of the larger TF-IDF weights; 0 without words."""
+def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray, own: list[pa.Array] | None = None) -> np.ndarray:
+    """The similarity of each pair of texts: sum of the smaller over sum of the larger TF-IDF weights; 0 without words.
+    ``own`` are the columns of both sides that ``weighed`` made; without them ``idf`` by cell counts."""
     keys, counts = [], []
     for column in (left, right):
         raw, offsets = text_bytes(column)
@@ -327,7 +453,7 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.nda
     size = np.diff(np.append(at, len(key)))
     high = np.maximum.reduceat(count, at)
     low = np.where(size == 2, np.minimum.reduceat(count, at), 0)
-    weight = idf[_cells(key[at] & np.uint64((1 << 48) - 1))].astype(np.float64)
+    weight = np.concatenate([_own_idf(c) for c in own])[order[at]] if own else idf[_cells(key[at] & np.uint64((1 << 48) - 1))].astype(np.float64)
     pair = (key[at] >> np.uint64(48)).astype(np.int64)
     top, bottom = np.bincount(pair, low * weight, len(left)), np.bincount(pair, high * weight, len(left))
     return top / np.maximum(bottom, 1e-12)
@@ -466,12 +592,14 @@ def _maybe_in(named: DataFrame, needed: DataFrame) -> DataFrame:
 def _members(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     """(id, node, label) of every row: its text's name and the label of its class."""
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", node("text"))
-    idf = docs.sparkSession.sparkContext.broadcast(idf_table(docs, text_col))
+    total, n = _sketch(docs, text_col)
+    idf = docs.sparkSession.sparkContext.broadcast(idf_of(total, n).astype(np.float32))
     signed = stored(signatures(named.select("node", "text"), idf), "signatures")
     signed = signed.dropDuplicates(["node"])
     links = stored(candidates(signed), "candidates")
     needed = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
     texts = stored(_maybe_in(named, needed).groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi"), "texts")
+    texts = stored(weighed(texts, docs, text_col, n, int(total.sum())), "weighed")
     labels = linked(links, stored(finer(signed, texts, idf), "signed"), texts, idf, least)
     return stored(named.select("id", "node").join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label")), "members")
 

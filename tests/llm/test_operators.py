@@ -185,6 +185,42 @@ def test_near_dedup_tests_what_the_first_proposals_leave_out(spark, monkeypatch)
     assert {frozenset(i for i in docs if own[i] == c) for c in own.values()} == {frozenset(i for i in docs if found[i] == c) for c in found.values()}
 
 
+def test_near_dedup_verifies_with_exact_document_frequencies(spark):
+    """Rare shingles that share a sketch cell with those of a frequent text keep their own weight: one pair is linked that
+    the sketch parts, another is not that it links."""
+    import pyarrow as pa
+
+    def shingled(text):
+        return near_dedup.shingles(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[1]
+
+    filler = " ".join(f"f{i}" for i in range(20_000))
+    hot = np.zeros(1 << near_dedup.CELL_BITS, bool)
+    hot[near_dedup._cells(shingled(filler))] = True
+    made = iter(range(1_000_000))
+
+    def longer(words, in_hot, more):
+        words = list(words)
+        for _ in range(more):
+            words.append(next(w for w in (f"r{k}" for k in made) if len(words) < 4 or hot[near_dedup._cells(shingled(" ".join([*words[-4:], w])))[0]] == in_hot))
+        return words
+
+    u = longer(longer([], True, 32), False, 28)
+    v = longer(u, False, 10)
+    x = longer([], False, 44)
+    y = longer(x, True, 12)
+    docs = [" ".join(w) for w in (u, v, x, y)] + [filler] * 30 + [f"other {i} of a few texts here" for i in range(6)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    own = [set(shingled(t).tolist()) for t in docs]
+    named = df.select(near_dedup.node().alias("node"), "text").distinct()
+    for r in near_dedup.weighed(named, df, "text", len(docs), sum(map(len, own))).collect():
+        true = [sum(k in d for d in own) for k in shingled(r.text).tolist()]
+        assert np.allclose(near_dedup._own_idf(pa.array([bytes(r.idf)])), near_dedup.idf_of(np.array(true), len(docs)))
+    sketch = near_dedup.weighted_jaccard(pa.array([docs[0], docs[2]]), pa.array([docs[1], docs[3]]), near_dedup.idf_table(df))
+    assert sketch[0] < near_dedup.SIMILARITY < sketch[1]
+    cls = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
+    assert cls[1] == 0 and cls[3] == 3
+
+
 def test_bucket_pieces_keep_their_leaders():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 256, (5, near_dedup.SAMPLES), dtype=np.uint8)
