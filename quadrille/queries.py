@@ -55,6 +55,7 @@ TABLE_QUERIES: dict[str, tuple[str, str | None]] = {
     # filters and expressions
     "filter_and_or_not": ("SELECT ?k WHERE { ?p :p_partkey ?k ; :p_size ?s ; :p_retailprice ?r FILTER((?s < 5 || ?s >= 45) && !(?r > 1500) && ?s != 47) }", "select p_partkey as k from part where (p_size < 5 or p_size >= 45) and not (p_retailprice > 1500) and p_size <> 47"),
     "compare_all": ("SELECT ?k (?s = 10 AS ?eq) (?s != 10 AS ?ne) (?s < 10 AS ?lt) (?s > 10 AS ?gt) (?s <= 10 AS ?le) (?s >= 10 AS ?ge) WHERE { ?p :p_partkey ?k ; :p_size ?s FILTER(?k <= 300) }", "select p_partkey as k, p_size = 10 as eq, p_size <> 10 as ne, p_size < 10 as lt, p_size > 10 as gt, p_size <= 10 as le, p_size >= 10 as ge from part where p_partkey <= 300"),
+    "compare_all_parts": ("SELECT ?k (?s = 10 AS ?eq) (?s != 10 AS ?ne) (?s < 10 AS ?lt) (?s > 10 AS ?gt) (?s <= 10 AS ?le) (?s >= 10 AS ?ge) WHERE { ?p :p_partkey ?k ; :p_size ?s }", "select p_partkey as k, p_size = 10 as eq, p_size <> 10 as ne, p_size < 10 as lt, p_size > 10 as gt, p_size <= 10 as le, p_size >= 10 as ge from part"),
     "arithmetic": ("SELECT ?k (?s + 1 AS ?a) (?s - 2 AS ?b) (?s * 3 AS ?c) (xsd:double(?s) / 4 AS ?d) (-?s AS ?e) (+?s AS ?f) WHERE { ?p :p_partkey ?k ; :p_size ?s }", "select p_partkey as k, cast(p_size + 1 as bigint) as a, cast(p_size - 2 as bigint) as b, cast(p_size * 3 as bigint) as c, p_size / 4.0::double as d, cast(-p_size as bigint) as e, cast(p_size as bigint) as f from part"),
     "division_by_zero": ("SELECT ?k ?x WHERE { ?p :p_partkey ?k ; :p_size ?s BIND(10 / (?s - ?s) AS ?q) BIND(BOUND(?q) AS ?x) }", "select p_partkey as k, false as x from part"),
     "in_list": ("SELECT ?k WHERE { ?o :o_orderkey ?k ; :o_orderpriority ?p FILTER(?p IN (\"1-URGENT\", \"2-HIGH\")) }", "select o_orderkey as k from orders where o_orderpriority in ('1-URGENT', '2-HIGH')"),

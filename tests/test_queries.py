@@ -15,6 +15,12 @@ def test_sql(spark, small, duck, name):
     assert plain(df.collect(), df.columns) == plain(found.fetchall(), columns)
 
 
+def test_comparisons_cover_every_part(spark):
+    """No part is left out by its id, also where there are more than the small tables have."""
+    found = QUERIES["compare_all_parts"](spark, "/root/testdata/sf0.01")
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.01/part.parquet").count() > 301
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
