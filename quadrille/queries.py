@@ -61,6 +61,7 @@ TABLE_QUERIES: dict[str, tuple[str, str | None]] = {
     "in_list": ("SELECT ?k WHERE { ?o :o_orderkey ?k ; :o_orderpriority ?p FILTER(?p IN (\"1-URGENT\", \"2-HIGH\")) }", "select o_orderkey as k from orders where o_orderpriority in ('1-URGENT', '2-HIGH')"),
     "not_in_list": ("SELECT ?k WHERE { ?p :p_partkey ?k ; :p_size ?s FILTER(?s NOT IN (1, 2, 3, 4, 5)) }", "select p_partkey as k from part where p_size not in (1, 2, 3, 4, 5)"),
     "if_coalesce_bound": ("SELECT ?k (IF(BOUND(?o), \"yes\", \"no\") AS ?has) (COALESCE(?o, -1) AS ?first) WHERE { ?c :c_custkey ?k OPTIONAL { ?x :o_custkey ?c ; :o_orderkey ?o FILTER(?o < 500) } }", "select c_custkey as k, case when o_orderkey is null then 'no' else 'yes' end as has, coalesce(o_orderkey, -1) as first from customer left join orders on o_custkey = c_custkey and o_orderkey < 500"),
+    "if_coalesce_bound_orders": ("SELECT ?k (IF(BOUND(?o), \"yes\", \"no\") AS ?has) (COALESCE(?o, -1) AS ?first) WHERE { ?c :c_custkey ?k OPTIONAL { ?x :o_custkey ?c ; :o_orderkey ?o } }", "select c_custkey as k, case when o_orderkey is null then 'no' else 'yes' end as has, coalesce(o_orderkey, -1) as first from customer left join orders on o_custkey = c_custkey"),
     "same_term": ("SELECT ?a ?b WHERE { ?x :n_name ?a . ?y :n_name ?b FILTER(sameTerm(?x, ?y)) }", "select n_name as a, n_name as b from nation"),
     "type_tests": ("SELECT ?k (isIRI(?x) AS ?i) (isBLANK(?x) AS ?b) (isLITERAL(?k) AS ?l) (isNUMERIC(?k) AS ?n) (isURI(?k) AS ?u) WHERE { ?x :n_nationkey ?k }", "select cast(n_nationkey as bigint) as k, true as i, false as b, true as l, true as n, false as u from nation"),
     "str_lang_datatype": ("SELECT ?k (STR(?x) AS ?s) (LANG(?k) AS ?l) (DATATYPE(?k) AS ?d) WHERE { ?x :n_nationkey ?k }", f"select cast(n_nationkey as bigint) as k, '{BASE}nation/' || n_nationkey as s, '' as l, 'http://www.w3.org/2001/XMLSchema#integer' as d from nation"),

@@ -21,6 +21,12 @@ def test_comparisons_cover_every_part(spark):
     assert found.count() == spark.read.parquet("/root/testdata/sf0.01/part.parquet").count() > 301
 
 
+def test_bound_meets_every_order(spark):
+    """No order is left out by its id: every one gives a row in which it is bound."""
+    found = QUERIES["if_coalesce_bound_orders"](spark, "/root/testdata/sf0.01")
+    assert found.where("has = 'yes' and first >= 0").count() == spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count() > 500
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
