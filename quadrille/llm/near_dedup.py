@@ -2,11 +2,16 @@
 
 A merged count sketch over all documents gives rough document frequencies of five-word shingles, for candidates only. A
 consistent weighted sample of each text's shingles agrees between two texts with the probability of their weighted
-Jaccard similarity; BANDS groups of ROWS samples make buckets. Buckets first propose links along their strongest
-estimated agreements, a few per member. The shingles of texts with proposals are then counted exactly over all documents;
-with these frequencies every proposal is verified by the weighted Jaccard similarity of both whole texts, and classes are
-the connected components of verified links. What the few left out is tested next: all pairs of a bucket that are still
-of different classes, with exact frequencies too. Nodes are distinct texts, so exact copies cost one row each.
+Jaccard similarity; BANDS groups of ROWS samples make buckets. Buckets, large ones in pieces whose leaders meet again,
+first propose links along their strongest estimated agreements, a few per member. The shingles of texts with proposals
+are then counted exactly over all documents; with these frequencies every proposal is verified by the weighted Jaccard
+similarity of both whole texts, and classes are the connected components of verified links.
+
+What the few left out is tested next. Within a bucket a search spreads from class to class along estimates of longer
+signatures and returns one row for each class it joins, never the pairs; classes joined so make areas. Within an area
+the same search spreads along exact similarities of whole texts and again returns one row for each class it joins. No
+pair of different classes of a bucket is left untested unless its estimate is too low, and the rows that come out grow
+with the number of classes, not of pairs. Nodes are distinct texts, so exact copies cost one row each.
 """
 
 from __future__ import annotations
@@ -28,16 +33,16 @@ SAMPLES = BANDS * ROWS
 #: Agreeing samples from which a pair is verified (an estimate of 0.5), and from which one link settles a member.
 LEAST_AGREE, SETTLED = SAMPLES // 2, 38
 #: Proposals each unsettled member of a bucket keeps at first, the best first; ``linked`` tests the rest.
-BEST = 3
-#: Pairs between classes that a member of a bucket keeps in the first pass over the rest; REST_GROWTH times more in each
-#: further one, until none had more.
-REST, REST_GROWTH = 256, 16
+BEST = 2
 #: Further samples of texts that have proposed links, and agreeing samples of all from which a pair of the rest is
-#: verified (an estimate of 0.72, 4.5 standard deviations below SIMILARITY).
-FINE = 470
-LEAST_FINE = round(0.72 * (SAMPLES + FINE))
-#: Members of a bucket that are compared at once; larger buckets go on in pieces with the leaders met so far.
+#: verified (an estimate of 0.68, 4.8 standard deviations below SIMILARITY).
+FINE = 214
+LEAST_FINE = round(0.68 * (SAMPLES + FINE))
+#: Members of a bucket that are compared at once; larger buckets are dealt out in pieces or pairs of blocks.
 PIECE = 4096
+#: Characters of the texts that are verified at once, about. Areas of up to AREA_BLOCKS times as many are verified as a
+#: whole, larger ones by the buckets in them.
+AREA_CHARS, AREA_BLOCKS = 1 << 21, 8
 #: Cells of the document frequency sketch, the same for any input.
 CELL_BITS = 20
 CELL_SHARDS = 16
@@ -86,9 +91,15 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
     return np.log((n + 1) / (np.minimum(df, n) + 1)) + 1
 
 
+def rough_idf(total: np.ndarray, n: int) -> np.ndarray:
+    """Rough inverse document frequency by cell of the sketch. What the median cell holds is what strangers add to any
+    cell; without it a rare shingle stays rare in a sketch that millions of others have filled."""
+    return idf_of(np.maximum(total - int(np.median(total)), 1), n).astype(np.float32)
+
+
 def idf_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Rough inverse document frequency by cell, over all documents."""
-    return idf_of(*_sketch(docs, text_col)).astype(np.float32)
+    return rough_idf(*_sketch(docs, text_col))
 
 
 def _sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
@@ -307,26 +318,32 @@ def signatures(texts: DataFrame, idf) -> DataFrame:
 
 
 def finer(signed: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """(node, signature, bands) of ``signed`` for all ``texts`` (node, text), with FINE more bytes of signature. Texts that
-    have an ``idf`` (see ``weighed``) are sampled by it, others by the sketch."""
+    """``texts`` (node, text, perhaps idf) with the signature and bands of ``signed``, with FINE more bytes of signature.
+    Texts that have an ``idf`` (see ``weighed``) are sampled by it, others by the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, offsets in _parts(batch.column(1)):
+                part = batch.slice(a, b - a)
                 doc, shingle, count = shingles(raw, offsets)
-                weight = _own_idf(batch.column(2).slice(a, b - a)) if batch.num_columns > 2 else idf.value[_cells(shingle)]
+                weight = _own_idf(part.column(2)) if batch.num_columns > 2 else idf.value[_cells(shingle)]
                 own, names = samples(doc, shingle, count * weight, _FINE_SEEDS)
                 fine = pa.array([s.tobytes() for s in (names & np.uint32(0xFF)).astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(own)), fine], names=["node", "fine"])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(own)) for c in part.columns), fine], names=[*batch.schema.names, "fine"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields)
+    # A fixed number of partitions, as the work does not follow from the bytes.
+    more = texts.repartition(_partitions(texts), "node").mapInArrow(run, f"{fields}, fine binary")
+    return signed.join(more, "node").select(*texts.columns, F.concat("signature", "fine").alias("signature"), "bands")
+
 
-    more = texts.mapInArrow(run, "node binary, fine binary")
-    return signed.join(more, "node").select("node", F.concat("signature", "fine").alias("signature"), "bands")
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _proposals(nodes: list[bytes], sig: np.ndarray, carried: list[int], keep: int = BEST) -> tuple[set[tuple[int, int]], list[int]]:
-    """Links (index pairs) that a bucket proposes, and its leaders. ``carried`` are leaders of earlier pieces, among
-    the first members here."""
-    n = len(nodes)
+def _proposals(sig: np.ndarray, keep: int = BEST) -> tuple[set[tuple[int, int]], list[int]]:
+    """Links (index pairs) that a piece of a bucket proposes, and its leaders."""
+    n = len(sig)
     best = np.full((n, keep), -1, np.int64)
     agreed = np.zeros((n, keep), np.int16)
 
@@ -339,14 +356,10 @@ def _proposals(nodes: list[bytes], sig: np.ndarray, carried: list[int], keep: in
             partners, agree = partners.copy(), agree.copy()
             partners[better], agree[better] = old_p, old_a
 
-    pool, leaders, links = np.arange(len(carried), n), list(carried), set()
-    fixed = list(carried)
+    pool, leaders, links = np.arange(n), [], set()
     while len(pool):
-        if fixed:
-            lead = fixed.pop(0)
-        else:
-            lead, pool = int(pool[0]), pool[1:]
-            leaders.append(lead)
+        lead, pool = int(pool[0]), pool[1:]
+        leaders.append(lead)
         agree = (sig[pool] == sig[lead]).sum(1, dtype=np.int16)
         strong = agree >= SETTLED
         links.update((lead, int(x)) for x in pool[strong])
@@ -366,48 +379,72 @@ def _proposals(nodes: list[bytes], sig: np.ndarray, carried: list[int], keep: in
     return links, leaders
 
 
-def candidates(signed: DataFrame, keep: int = BEST) -> DataFrame:
-    """Distinct proposed links (a, b) of nodes, a < b, from all buckets; at most ``keep`` + 1 a member and bucket."""
-    members = signed.where(F.size("bands") > 0).select(F.posexplode("bands").alias("band", "bucket"), "node", "signature").select("bucket", "node", "signature")
+def candidates(signed: DataFrame, keep: int = BEST) -> tuple[DataFrame, DataFrame]:
+    """Distinct proposed links (a, b) of nodes, a < b, from all buckets, at most ``keep`` + 1 a member and bucket; and nodes
+    of large buckets whose members are unlike each other, to be compared by ``loose``.
+
+    A bucket of more than PIECE members is dealt out in pieces, and their leaders meet in a next round, until all fit in
+    one piece or the leaders of a round are more than half of those that led the round before.
+    """
+    members = signed.where(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), "node", "signature")
+    rows, before = None, None
+    while True:
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE)
+        dealt = members.join(sizes, "bucket", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PIECE)), F.lit(-1)))
+        dealt = dealt.select("bucket", "piece", "node", "signature").repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "node")
+        found = stored(dealt.mapInArrow(lambda batches: _propose(batches, keep), "a binary, b binary, bucket bigint, signature binary"), "candidates")
+        pairs = found.where("b IS NOT NULL").select("a", "b")
+        rows = pairs if rows is None else rows.unionAll(pairs)
+        members = found.where("b IS NULL").select("bucket", F.col("a").alias("node"), "signature")
+        left = members.count()
+        if not left or before is not None and 2 * left > before:
+            return stored(rows.distinct(), "links"), members.select("node").distinct()
+        before = left
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each group of sorted batches, together."""
+    left = None
+    for batch in (*batches, None):
+        if batch is None:
+            held, left = left, None
+        else:
+            held = pa.Table.from_batches([batch])
+            held = pa.concat_tables([left, held]) if left is not None else held
+        if held is None or not held.num_rows:
+            continue
+        new = np.zeros(held.num_rows - 1, bool)
+        for k in keys:
+            new |= np.diff(held.column(k).to_numpy()) != 0
+        edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+        if batch is None:
+            edges.append(held.num_rows)
+        else:
+            left = held.slice(edges[-1])
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield held.slice(a, b - a)
+
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes: list[bytes] = []
-        sig = np.zeros((0, SAMPLES), np.uint8)
-        current, carried = None, 0
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), -1)
 
-        def links():
-            found, leaders = _proposals(nodes, sig, list(range(carried)), keep)
-            pairs = [(nodes[x], nodes[y]) if nodes[x] < nodes[y] else (nodes[y], nodes[x]) for x, y in found]
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]), leaders
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket = batch.column(0).to_numpy()
-            names = batch.column(1).to_pylist()
-            own = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SAMPLES)
-            edges = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1 if bucket[0] > -(1 << 63) else 0)).tolist()
-            if not edges or edges[0]:
-                edges = [0, *edges]
-            for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
-                if bucket[a] != current:
-                    if len(nodes) > 1 and len(nodes) > carried:
-                        yield links()[0]
-                    current, nodes, sig, carried = bucket[a], [], sig[:0], 0
-                for c in range(a, b, PIECE):
-                    d = min(b, c + PIECE)
-                    nodes = nodes + names[c:d]
-                    sig = np.concatenate([sig, own[c:d]])
-                    if len(nodes) - carried >= PIECE:
-                        found, leaders = links()
-                        yield found
-                        nodes, sig, carried = [nodes[i] for i in leaders], sig[leaders], len(leaders)
-        if len(nodes) > 1 and len(nodes) > carried:
-            yield links()[0]
-
-    dealt = members.repartition("bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInArrow(propose, "a binary, b binary").distinct()
+def _propose(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the pieces, with the leaders of those of a large bucket (b is null)."""
+    for group in _groups(batches, ("bucket", "piece")):
+        bucket, piece, n = group.column("bucket")[0].as_py(), group.column("piece")[0].as_py(), group.num_rows
+        if n == 1 and piece < 0:
+            continue
+        sig = _matrix(group.column("signature"))
+        found, leaders = _proposals(sig, keep)
+        names = group.column("node").to_pylist()
+        rows = [(min(names[x], names[y]), max(names[x], names[y]), None, None) for x, y in found]
+        if piece >= 0:
+            rows += [(names[x], None, bucket, sig[x].tobytes()) for x in leaders]
+        if rows:
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "b", "bucket", "signature"])
 
 
 def verified(links: DataFrame, texts: DataFrame, idf, least: float = SIMILARITY) -> DataFrame:
@@ -475,98 +512,170 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def between(signed: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of nodes, a < b, that share a bucket, agree on LEAST_FINE samples and have different labels: the
-    ``most`` strongest of each member, with ``capped`` where it had more. A node without a label is its own.
+def _spread(label: np.ndarray, hits) -> Iterator[tuple[int, int]]:
+    """Index pairs that join classes (equal ``label``), one for each class that a search reaches from another.
 
-    A bucket of several labels is dealt out in blocks of about PIECE members, and a group compares two blocks. Members
-    of the bucket's most frequent label stand in blocks of their own, which are never compared with each other.
+    ``hits(frontier, pool)`` gives the index pairs of both that are linked. A search starts at a class and goes on from
+    every member it reaches, so each member meets what no search has reached before it; of classes that are joined
+    already no further pair is tested.
     """
-    own = signed.join(labels, "node", "left").withColumn("label", F.xxhash64(F.coalesce("label", "node")))
-    members = own.select(F.explode("bands").alias("bucket"), "node", "label")
-    sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    blocks = lambda n: F.ceil(n / PIECE).cast("int")
-    several = several.select("bucket", F.col("main.label").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
-    block = F.when(F.col("label") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "others")).cast("int")
-    met = F.sequence(F.lit(0), F.when(F.col("label") == F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
-    dealt = members.join(several, "bucket").withColumn("block", block).withColumn("other", F.explode(met))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "label")
-    # Signatures join last: they are long, and only members of buckets with several labels need theirs.
-    dealt = dealt.join(signed.select("node", "signature"), "node")
-    # A fixed number of partitions, as the work does not follow from the bytes.
-    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
-        for batch in (*batches, None):
-            if batch is None:
-                held, left = left, None
-            else:
-                held = pa.Table.from_batches([batch])
-                held = pa.concat_tables([left, held]) if left is not None else held
-            if held is None or not held.num_rows:
-                continue
-            bucket, x, y, block = (held.column(c).to_numpy() for c in ("bucket", "x", "y", "block"))
-            edges = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist()]
-            if batch is None:
-                edges.append(held.num_rows)
-            else:
-                left = held.slice(edges[-1])
-            label = held.column("label").to_numpy()
-            sig = np.frombuffer(b"".join(held.column("signature").to_pylist()), np.uint8).reshape(-1, SAMPLES + FINE)
-            found = [_across(sig[c:d], label[c:d], block[c:d], x[c], y[c], most, c) for c, d in zip(edges, edges[1:], strict=False)]
-            if found:
-                a, b, capped = (np.concatenate(z) for z in zip(*found, strict=True))
-                nodes = held.column("node").combine_chunks()
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b)), pa.array(capped)], names=["a", "b", "capped"])
-
-    pairs = dealt.mapInArrow(compare, "a binary, b binary, capped boolean")
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("capped").alias("capped"))
-
-
-def _across(sig: np.ndarray, label: np.ndarray, block: np.ndarray, x: int, y: int, most: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of one group with different labels and LEAST_FINE or more agreeing samples, each with the member of block
-    ``x`` first and seen from it alone: (first, second, whether it had more than ``most``), counted from ``base``."""
-    own, others = np.flatnonzero(block == x), np.flatnonzero(block == y)
-    firsts, seconds, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    step = max(1, (1 << 22) // (sig.shape[1] * max(1, len(others))))
-    for a in range(0, len(own), step):
-        rows = own[a : a + step]
-        agree = (sig[rows][:, None, :] == sig[others][None, :, :]).sum(2, dtype=np.int16)
-        agree[label[rows][:, None] == label[others][None, :]] = 0
-        if x == y:
-            agree[rows[:, None] >= others[None, :]] = 0
-        full = (agree >= LEAST_FINE).sum(1) > most
-        for r in np.flatnonzero(full):
-            agree[r, np.argsort(-agree[r], kind="stable")[most:]] = 0
-        i, j = np.nonzero(agree >= LEAST_FINE)
-        firsts.append(rows[i] + base)
-        seconds.append(others[j] + base)
-        more.append(full[i])
-    return np.concatenate(firsts), np.concatenate(seconds), np.concatenate(more)
-
-
-def linked(links: DataFrame, signed: DataFrame, texts: DataFrame, idf, least: float = SIMILARITY, most: int = REST) -> DataFrame:
-    """(node, label) of the classes that ``links`` and then all other pairs that share a bucket make.
-
-    ``signed`` (see ``finer``) has one row for each node of ``links``, ``texts`` their texts. A pass tests the pairs between different
-    classes that were not tested before; passes go on until no member had more pairs than it could keep.
+    order = np.argsort(label, kind="stable")
+    edges = np.flatnonzero(np.diff(label[order], prepend=label[order[:1]] - 1)) if len(label) else np.zeros(0, np.int64)
+    of_class = np.split(order, edges[1:])
+    number = np.empty(len(label), np.int64)
+    for i, members in enumerate(of_class):
+        number[members] = i
+    free = np.ones(len(label), bool)
+    for first in of_class:
+        if not free[first[0]]:
+            continue
+        queue = first
+        free[first] = False
+        while len(queue) and len(pool := np.flatnonzero(free)):
+            step = max(1, (1 << 14) // len(pool))
+            front, queue = queue[:step], queue[step:]
+            reached = {}
+            for u, v in hits(front, pool):
+                reached.setdefault(int(number[v]), (u, v))
+            for pair in reached.values():
+                yield pair
+            if reached:
+                more = np.concatenate([of_class[c] for c in reached])
+                free[more] = False
+                queue = np.concatenate([queue, more])
+
+
+def _alike(sig: np.ndarray, front: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """Whether each of ``front`` (rows) agrees with each of ``pool`` on LEAST_FINE samples."""
+    return (sig[front][:, None, :] == sig[pool][None, :, :]).sum(2, dtype=np.int16) >= LEAST_FINE
+
+
+def _dealt(members: DataFrame, weight, most: int) -> DataFrame:
+    """Rows (cell, x, y, block, ..) of ``members`` (cell, label, node, ..) of cells of several labels. A cell is dealt out in
+    blocks of a ``weight`` of about ``most``, and a group (cell, x, y) compares two blocks or one with itself.
+
+    Members of the cell's heaviest label stand in blocks of their own, which meet only the others.
     """
-    tried = links
-    good = stored(verified(links, texts, idf, least), "verified")
-    labels = components(good)
-    while True:
-        pairs = stored(between(signed, labels, most), "between")
-        new = stored(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "candidates")
-        more = stored(verified(new, texts, idf, least), "verified")
-        if not more.isEmpty():
-            good = good.unionAll(more)
-            labels = components(good)
-        if pairs.where("capped").isEmpty():
-            return labels
-        tried, most = tried.unionAll(new), most * REST_GROWTH
+    sizes = members.groupBy("cell", "label").agg(F.sum(weight).alias("n"))
+    several = sizes.groupBy("cell").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / most), F.lit(1)).cast("int")
+    several = several.select("cell", F.col("main.label").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
+    leads = F.col("label") == F.col("main")
+    place = F.xxhash64("node")
+    dealt = members.join(several, "cell").withColumn("block", F.when(leads, F.col("others") + F.pmod(place, "mains")).otherwise(F.pmod(place, "others")).cast("int"))
+    # With one block of each kind a single group holds all.
+    met = F.when(F.col("others") + F.col("mains") <= 2, F.array(F.lit(0))).when(leads, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    dealt = dealt.withColumn("other", F.explode(met)).withColumn("block", F.when(F.col("others") + F.col("mains") <= 2, 0).otherwise(F.col("block")))
+    dealt = dealt.select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).drop("other", "main", "others", "mains")
+    return dealt
+
+
+def loose(signed: DataFrame, own: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of labels that searches through the buckets join: a pair of labels is joined, perhaps over
+    others, if members of both share a bucket and agree on LEAST_FINE samples. ``own`` has (node, label)."""
+    members = signed.join(own, "node").select(F.explode("bands").alias("cell"), "node", "label")
+    parts = _partitions(signed)
+    dealt = _dealt(members, F.lit(1), PIECE)
+    # Signatures join last: they are long, and only members of buckets with several labels need theirs.
+    dealt = dealt.join(signed.select("node", "signature"), "node").select("cell", "x", "y", "label", "signature")
+    dealt = dealt.repartition(parts, "cell", "x", "y").sortWithinPartitions("cell", "x", "y")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ("cell", "x", "y")):
+            sig = _matrix(group.column("signature"))
+
+            def links(front, pool):
+                alike = _alike(sig, front, pool)
+                return zip(front[alike.argmax(0)][alike.any(0)], pool[alike.any(0)], strict=True)
+
+            yield from _joined(group, links)
+
+    return dealt.mapInArrow(join, "a binary, b binary").distinct()
+
+
+def _joined(group: pa.Table, links) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of labels that a search joins."""
+    label = group.column("label").combine_chunks()
+    found = list(_spread(label.dictionary_encode().indices.to_numpy(), links))
+    if found:
+        u, v = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([label.take(pa.array(u)), label.take(pa.array(v))], names=["a", "b"])
+
+
+class _Texts:
+    """Whole texts of a group as rows of local shingle numbers with counts, for exact similarities."""
+
+    def __init__(self, table: pa.Table, idf):
+        docs, keys, counts, weights, base = [], [], [], [], 0
+        column = table.column("text").combine_chunks()
+        stored_idf = table.column("idf").combine_chunks() if "idf" in table.column_names else None
+        for a, b, raw, offsets in _parts(column):
+            doc, shingle, count = shingles(raw, offsets)
+            docs.append(doc + a)
+            keys.append(shingle)
+            counts.append(count)
+            weights.append(_own_idf(stored_idf.slice(a, b - a)) if stored_idf is not None else idf.value[_cells(shingle)].astype(np.float64))
+        doc, key = np.concatenate(docs), np.concatenate(keys)
+        self.count, self.weight = np.concatenate(counts), np.concatenate(weights)
+        known, self.name = np.unique(key, return_inverse=True)
+        self.begin = np.searchsorted(doc, np.arange(table.num_rows + 1))
+        self.total = np.bincount(doc, self.count * self.weight, table.num_rows)
+        self.met = np.zeros(len(known), self.count.dtype)
+
+    def similar(self, u: int, others: np.ndarray) -> np.ndarray:
+        """The weighted Jaccard similarity of text ``u`` and each of ``others``."""
+        own = slice(self.begin[u], self.begin[u + 1])
+        self.met[self.name[own]] = self.count[own]
+        sizes = self.begin[others + 1] - self.begin[others]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1])) + np.repeat(self.begin[others] - ends + sizes, sizes)
+        shared = np.minimum(self.met[self.name[at]], self.count[at]) * self.weight[at]
+        top = np.bincount(np.repeat(np.arange(len(others)), sizes), shared, len(others))
+        self.met[self.name[own]] = 0
+        return top / np.maximum(self.total[u] + self.total[others] - top, 1e-12)
+
+
+def rest(signed: DataFrame, own: DataFrame, areas: DataFrame, idf, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of labels that are joined, perhaps over others, by verified links within the ``areas`` (node,
+    label) of labels. Texts that have an ``idf`` (see ``weighed``) are weighted by it, others by the sketch."""
+    parts = _partitions(signed)
+    members = signed.join(own, "node").join(areas.toDF("label", "area"), "label")
+    large = members.groupBy("area").agg(F.sum(F.length("text")).alias("chars")).where(F.col("chars") > AREA_BLOCKS * AREA_CHARS).select("area", F.lit(True).alias("large"))
+    cells = F.when(F.col("large"), F.transform("bands", lambda b: F.xxhash64(b, "area"))).otherwise(F.array(F.xxhash64("area")))
+    columns = [c for c in ("node", "text", "idf", "signature") if c in signed.columns]
+    placed = members.select("area", "node", "label", "bands", F.length("text").alias("chars")).join(large, "area", "left").select(F.explode(cells).alias("cell"), "node", "label", "chars")
+    dealt = _dealt(placed, F.col("chars"), AREA_CHARS).select("cell", "x", "y", "label", "node")
+    dealt = dealt.join(signed.select(*columns), "node").drop("node").repartition(parts, "cell", "x", "y").sortWithinPartitions("cell", "x", "y")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ("cell", "x", "y")):
+            sig, held = _matrix(group.column("signature")), _Texts(group, idf)
+
+            def links(front, pool):
+                for u, alike in zip(front, _alike(sig, front, pool), strict=True):
+                    near = pool[alike & (np.minimum(held.total[u], held.total[pool]) >= (least - 1e-9) * np.maximum(held.total[u], held.total[pool]))]
+                    if len(near):
+                        for v in near[held.similar(u, near) >= least - 1e-9]:
+                            yield u, v
+
+            yield from _joined(group, links)
+
+    return dealt.mapInArrow(join, "a binary, b binary").distinct()
+
+
+def linked(links: DataFrame, signed: DataFrame, idf, least: float = SIMILARITY) -> DataFrame:
+    """(node, label) of the classes that ``links`` and then all other pairs that share a bucket make, of all nodes of
+    ``signed`` (see ``finer``)."""
+    texts = signed.select(*(c for c in ("node", "text", "idf") if c in signed.columns))
+    good = components(stored(verified(links, texts, idf, least), "verified"))
+    own = stored(signed.select("node").join(good, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    near = stored(loose(signed, own), "loose")
+    if near.isEmpty():
+        return own
+    more = stored(rest(signed, own, components(near), idf, least), "rest")
+    if more.isEmpty():
+        return own
+    return own.join(components(more).toDF("label", "joined"), "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
 
 
 def _maybe_in(named: DataFrame, needed: DataFrame) -> DataFrame:
@@ -593,14 +702,14 @@ def _members(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     """(id, node, label) of every row: its text's name and the label of its class."""
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", node("text"))
     total, n = _sketch(docs, text_col)
-    idf = docs.sparkSession.sparkContext.broadcast(idf_of(total, n).astype(np.float32))
+    idf = docs.sparkSession.sparkContext.broadcast(rough_idf(total, n))
     signed = stored(signatures(named.select("node", "text"), idf), "signatures")
     signed = signed.dropDuplicates(["node"])
-    links = stored(candidates(signed), "candidates")
-    needed = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
+    links, unlike = candidates(signed)
+    needed = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).unionAll(unlike).distinct()
     texts = stored(_maybe_in(named, needed).groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi"), "texts")
-    texts = stored(weighed(texts, docs, text_col, n, int(total.sum())), "weighed")
-    labels = linked(links, stored(finer(signed, texts, idf), "signed"), texts, idf, least)
+    texts = stored(finer(signed, weighed(texts, docs, text_col, n, int(total.sum())), idf), "signed")
+    labels = linked(links, texts, idf, least)
     return stored(named.select("id", "node").join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label")), "members")
 
 

@@ -105,29 +105,87 @@ def shingle_counts(t):
     return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
+def plain_classes(docs, least=0.8):
+    """Classes by all pairs of whole texts that share a shingle: tuples of words, exact frequencies, no code of the operator."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    bags, having = {}, defaultdict(list)
+    for key, text in docs.items():
+        w = WORDS.findall(text)
+        bags[key] = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+        for s in bags[key]:
+            having[s].append(key)
+    idf = {s: log((len(docs) + 1) / (len(own) + 1)) + 1 for s, own in having.items()}
+    total = {k: sum(n * idf[s] for s, n in bag.items()) for k, bag in bags.items()}
+    parent = {k: k for k in docs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    same = {}
+    for key in sorted(docs):
+        parent[find(key)] = find(same.setdefault(docs[key], key))
+        met = Counter()
+        for s, n in bags[key].items():
+            for other in having[s]:
+                if other < key:
+                    met[other] += min(n, bags[other][s]) * idf[s]
+        for other, top in met.items():
+            if top >= (least - 1e-9) * (total[key] + total[other] - top):
+                x, y = find(key), find(other)
+                parent[max(x, y)] = min(x, y)
+    return {k: find(k) for k in docs}
+
+
 def test_near_dedup(spark, small):
     docs = texts(spark, small)
-    df = load(spark, small, "documents")
-    cls = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
-    assert set(cls) == set(docs)
-    idf = near_dedup.idf_table(df)
-    import pyarrow as pa
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(load(spark, small, "documents")).collect()} == plain_classes(docs)
+
+
+def around_the_bound(n, seed, most):
+    """Texts of similarities around 0.8."""
+    rng = np.random.default_rng(seed)
+    docs = {}
+    for i in range(n):
+        own = [f"w{k}" for k in range(300)]
+        for k in rng.choice(290, 1 + i % most, replace=False):
+            own[k] = f"e{i}_{k}"
+        docs[i] = " ".join(own)
+    return docs
+
 
-    ids = sorted(docs)
-    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 0.5 < (len(docs[a]) + 1) / (len(docs[b]) + 1) < 2]
-    score = near_dedup.weighted_jaccard(pa.array([docs[a] for a, _ in pairs], pa.large_string()), pa.array([docs[b] for _, b in pairs], pa.large_string()), idf) if len(pairs) < 60_000 else None
-    parent = {i: i for i in ids}
+def test_near_dedup_in_small_pieces(spark, monkeypatch):
+    """Large buckets in pieces whose leaders meet again, and areas in pairs of blocks or by bucket, give the classes of all
+    pairs, and one row for each class joined."""
+    for name, value in (("PIECE", 8), ("AREA_CHARS", 20_000), ("AREA_BLOCKS", 2)):
+        monkeypatch.setattr(near_dedup, name, value)
+    docs = around_the_bound(120, 6, 6)
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    expected = plain_classes(docs)
+    assert 1 < len(set(expected.values())) < len(docs)
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == expected
+
+
+def test_spread_joins_each_class_once():
+    rng = np.random.default_rng(9)
+    at = rng.uniform(0, 40, 200)
+    label = rng.integers(0, 120, 200)
+    near = lambda front, pool: ((u, v) for u in front for v in pool if abs(at[u] - at[v]) < 0.15)
+    found = list(near_dedup._spread(label, near))
+    parent = list(range(120))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for (a, b), s in zip(pairs, score, strict=True):
-        if s >= 0.8 or docs[a] == docs[b]:
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
-    assert cls == {i: find(i) for i in ids}
+    for u, v in found:
+        assert abs(at[u] - at[v]) < 0.15 and find(label[u]) != find(label[v])
+        parent[find(label[u])] = find(label[v])
+    assert all(find(label[u]) == find(label[v]) for u in range(200) for v in range(200) if abs(at[u] - at[v]) < 0.15)
 
 
 def test_near_dedup_chain_and_hot_group(spark):
@@ -153,34 +211,19 @@ def test_near_dedup_chain_and_hot_group(spark):
 def test_near_dedup_tests_what_the_first_proposals_leave_out(spark, monkeypatch):
     """Texts of similarities around 0.8, with one first proposal, few pairs a pass and small blocks: the classes are those
     of all pairs."""
-    import pyarrow as pa
-
     monkeypatch.setattr(near_dedup, "PIECE", 8)
-    rng = np.random.default_rng(3)
-    docs = {}
-    for i in range(60):
-        own = [f"w{k}" for k in range(300)]
-        for k in rng.choice(290, 1 + i % 4, replace=False):
-            own[k] = f"e{i}_{k}"
-        docs[i] = " ".join(own)
+    docs = around_the_bound(60, 3, 4)
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    table = near_dedup.idf_table(df)
-    idf = spark.sparkContext.broadcast(table)
+    table, n = near_dedup._sketch(df, "text")
+    idf = spark.sparkContext.broadcast(near_dedup.rough_idf(table, n))
     named = df.select(near_dedup.node().alias("node"), "text")
     signed = near_dedup.signatures(named, idf)
-    links = near_dedup.candidates(signed, keep=1).limit(20)
-    links = near_dedup.stored(links, "few")
-    near = near_dedup.linked(links, near_dedup.stored(near_dedup.finer(signed, named, idf), "signed"), named, idf, most=2)
+    links = near_dedup.stored(near_dedup.candidates(signed, keep=1)[0].limit(20), "few")
+    exact = near_dedup.weighed(near_dedup.stored(named, "named"), df, "text", n, int(table.sum()))
+    near = near_dedup.linked(links, near_dedup.stored(near_dedup.finer(signed, exact, idf), "signed"), idf)
     label = {bytes(r.node): bytes(r.label) for r in near.collect()}
     names = {r.doc_id: bytes(r.node) for r in df.select("doc_id", near_dedup.node().alias("node")).collect()}
-    found = {i: label.get(n, n) for i, n in names.items()}
-    pairs = [(a, b) for a in docs for b in docs if a < b]
-    score = near_dedup.weighted_jaccard(*(pa.array([docs[p[k]] for p in pairs], pa.large_string()) for k in (0, 1)), table)
-    own = {i: i for i in docs}
-    for _ in docs:
-        for (a, b), s in zip(pairs, score, strict=True):
-            if s >= 0.8:
-                own[a] = own[b] = min(own[a], own[b])
+    found, own = {i: label.get(n, n) for i, n in names.items()}, plain_classes(docs)
     assert 1 < len(set(own.values())) < len(docs)
     assert {frozenset(i for i in docs if own[i] == c) for c in own.values()} == {frozenset(i for i in docs if found[i] == c) for c in found.values()}
 
@@ -221,23 +264,16 @@ def test_near_dedup_verifies_with_exact_document_frequencies(spark):
     assert cls[1] == 0 and cls[3] == 3
 
 
-def test_bucket_pieces_keep_their_leaders():
+def test_proposals_of_a_bucket():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 256, (5, near_dedup.SAMPLES), dtype=np.uint8)
-    names = [bytes([i]) for i in range(40)]
-    own = np.arange(40) % 5
-    sig = centres[own].copy()
+    sig = centres[np.arange(40) % 5].copy()
     sig[:, 0] = np.arange(40)
-    links, leaders = near_dedup._proposals(names[:20], sig[:20], [])
-    assert leaders == [0, 1, 2, 3, 4] and links == {(i % 5, i) for i in range(5, 20)}
-    kept = leaders + list(range(20, 40))
-    links, again = near_dedup._proposals([names[i] for i in kept], sig[kept], list(range(5)))
-    assert again == [0, 1, 2, 3, 4] and links == {(k % 5, 5 + k) for k in range(20)}
-    links, again = near_dedup._proposals(names[:6], sig[:6], list(range(5)))
-    assert again == [0, 1, 2, 3, 4] and links == {(0, 5)}
+    links, leaders = near_dedup._proposals(sig)
+    assert leaders == [0, 1, 2, 3, 4] and links == {(i % 5, i) for i in range(5, 40)}
     near = centres[:1].repeat(4, 0)
     near[1, :10], near[2, :10], near[3, 10:20] = 1, 1, 2
-    links, _ = near_dedup._proposals(names[:4], near, [])
+    links, _ = near_dedup._proposals(near)
     assert (1, 2) in links and {(0, 1), (0, 2), (0, 3)} <= links
 
 
