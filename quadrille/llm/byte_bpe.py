@@ -4,6 +4,9 @@ For a byte string every prefix has exactly one valid encoding, and that encoding
 prefix plus one last token. Storing each prefix's last token therefore stores all encodings at once: appending
 bytes goes on from the table, and an edit recomputes only from the first changed byte on. A token may follow
 another when merging their joined bytes by rank gives back these two tokens.
+
+The table is a list by offset. An automaton of all tokens names those that end at each offset, the longest first, so
+time and memory grow with the length of a piece, however long it is.
 """
 
 from __future__ import annotations
@@ -11,16 +14,22 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct pieces whose encoding a Python worker keeps; the cache is emptied beyond that.
-CACHE_PIECES = 300_000
-#: Prefixes whose last token it keeps, likewise.
-CACHE_PREFIXES = 600_000
+#: Distinct pieces whose encoding a Python worker keeps, and as many of those before; what was not met again goes.
+CACHE_PIECES = 200_000
+#: Pairs of tokens of which it keeps whether one may follow the other, likewise.
+CACHE_PAIRS = 250_000
+#: Characters of a text up to which it is split at once, and pieces of a longer one that are encoded at once.
+CHUNK_CHARS, CHUNK_PIECES = 1 << 20, 1 << 16
+#: Bits for a token, and a rank above all others.
+_BITS, _NEVER = 24, 1 << 60
 
 
 def read_ranks(path: str) -> bytes:
@@ -32,6 +41,24 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
 
 
+class Recent(dict):
+    """A dict that computes what is missing and forgets what was not asked for among the last ``size`` new keys or more."""
+
+    def __init__(self, compute, size: int):
+        super().__init__()
+        self.compute, self.size, self.before = compute, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.before = dict(self)
+            self.clear()
+        found = self.before.get(key)
+        if found is None:
+            found = self.compute(key)
+        self[key] = found
+        return found
+
+
 class PrefixCoder:
     """Encodes single pieces (matches of the split pattern) by the table of last tokens."""
 
@@ -40,17 +67,20 @@ class PrefixCoder:
         self.token = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.prefixes: dict[bytes, int] = {}
+        self.ending = ahocorasick.Automaton()
+        for t, i in ranks.items():
+            self.ending.add_word(t.decode("latin-1"), i)
+        self.ending.make_automaton()
+        self.follows = Recent(self._may_follow, CACHE_PAIRS)
         self._whole: dict[int, bool] = {}
-        self._follows: dict[int, bool] = {}
         self._edges: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
 
     def _merged(self, piece: bytes, down_to: int = 1) -> list[bytes]:
         """The piece after merges, lowest rank and leftmost first, until ``down_to`` parts are left: the definition."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > down_to:
-            rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
+            rank, at = min((self.ranks.get(a + b, _NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == _NEVER:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
@@ -65,7 +95,7 @@ class PrefixCoder:
         """What stands at the token's left (0) or right (-1) end while it is merged: parts, and the rank that ends each."""
         known = self._edges.get((token, side))
         if known is None:
-            part, known = self.token[token], [(self.token[token], 1 << 61)]
+            part, known = self.token[token], [(self.token[token], 2 * _NEVER)]
             while len(part) > 1:
                 until = self.ranks[part]
                 part = self._merged(part, 2)[side]
@@ -74,40 +104,36 @@ class PrefixCoder:
             self._edges[token, side] = known
         return known
 
-    def _may_follow(self, a: int, b: int) -> bool:
-        """Whether ``b`` after ``a`` stays: no part at the end of ``a`` merges with one at the start of ``b`` first."""
-        key = a << 32 | b
-        known = self._follows.get(key)
-        if known is None:
-            ends, starts, rank = self._edge(a, -1), self._edge(b, 0), self.ranks.get
-            i = j = 0
-            known = True
-            while True:
-                (x, until_x), (y, until_y) = ends[i], starts[j]
-                across = rank(x + y, 1 << 60)
-                if across < until_x and across <= until_y and across < 1 << 60:
-                    known = False
-                    break
-                if until_x == until_y == 1 << 61:
-                    break
-                if until_x <= until_y:
-                    i += 1
-                else:
-                    j += 1
-            self._follows[key] = known
-        return known
+    def _may_follow(self, pair: int) -> bool:
+        """Whether a token stays after another: no part at the end of the one merges with one at the start of the other first."""
+        ends, starts, rank = self._edge(pair >> _BITS, -1), self._edge(pair & (1 << _BITS) - 1, 0), self.ranks.get
+        i = j = 0
+        while True:
+            (x, until_x), (y, until_y) = ends[i], starts[j]
+            across = rank(x + y, _NEVER)
+            if across < until_x and across <= until_y and across < _NEVER:
+                return False
+            if until_x == until_y == 2 * _NEVER:
+                return True
+            if until_x <= until_y:
+                i += 1
+            else:
+                j += 1
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """``last`` (last tokens of the prefixes 1, 2, .. of ``piece`` already known) completed for all of ``piece``."""
-        ranks, longest = self.ranks, self.longest
-        for end in range(len(last) + 1, len(piece) + 1):
-            for begin in range(max(0, end - longest), end):
-                t = ranks.get(piece[begin:end])
-                if t is not None and (self._may_follow(last[begin - 1], t) if begin else self._is_whole(t)):
-                    last.append(t)
-                    break
-            else:
-                raise ValueError(f"bytes without a token: {piece[:end]!r}")
+        done, length, follows = len(last), self.length, self.follows
+        last += [-1] * (len(piece) - done)
+        for end, t in self.ending.iter(piece.decode("latin-1"), max(0, done - self.longest + 1)):
+            if last[end] < 0:
+                before = end - length[t]
+                if before < 0:
+                    if self._is_whole(t):
+                        last[end] = t
+                elif last[before] >= 0 and follows[last[before] << _BITS | t]:
+                    last[end] = t
+        if -1 in last[done:]:
+            raise ValueError(f"bytes without a token: {piece[: last.index(-1) + 1]!r}")
         return last
 
     def replaced(self, piece: bytes, last: list[int], begin: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
@@ -117,60 +143,52 @@ class PrefixCoder:
 
     def ids(self, last: list[int]) -> tuple[int, ...]:
         """The encoding of the whole piece: last tokens followed back from its end."""
-        out, at = [], len(last)
+        out, at, length = [], len(last), self.length
         while at:
             out.append(last[at - 1])
-            at -= len(self.token[out[-1]])
-        return tuple(reversed(out))
-
-    def encode(self, piece: bytes) -> tuple[int, ...]:
-        """The encoding of a piece; prefixes that earlier pieces share keep their last tokens in ``prefixes``."""
-        ranks, known, longest = self.ranks, self.prefixes, self.longest
-        if piece not in known:
-            if len(known) > CACHE_PREFIXES:
-                known.clear()
-            done = len(piece) - 1
-            while done and piece[:done] not in known:
-                done -= 1
-            for end in range(done + 1, len(piece) + 1):
-                for begin in range(max(0, end - longest), end):
-                    t = ranks.get(piece[begin:end])
-                    if t is not None and (self._may_follow(known[piece[:begin]], t) if begin else self._is_whole(t)):
-                        known[piece[:end]] = t
-                        break
-                else:
-                    raise ValueError(f"bytes without a token: {piece[:end]!r}")
-        out, at = [], len(piece)
-        while at:
-            out.append(known[piece[:at]])
-            at -= self.length[out[-1]]
+            at -= length[out[-1]]
         out.reverse()
         return tuple(out)
 
+    def encode(self, piece: bytes) -> tuple[int, ...]:
+        return self.ids(self.extend(piece, []))
+
 
-class TextCoder(dict):
-    """Encodes and decodes texts; as a dict it keeps piece -> (ids, ids as text)."""
+class TextCoder:
+    """Encodes and decodes texts; keeps the ids of recent pieces, as text."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__()
         self.coder = PrefixCoder(ranks)
-        self.split = regex.compile(pattern).findall
-
-    def __missing__(self, piece: str):
-        ids = self.coder.encode(piece.encode())
-        found = self[piece] = (ids, " ".join(map(str, ids)))
-        return found
-
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        if len(self) > CACHE_PIECES:
-            self.clear()
-        return [self[p] for p in self.split(text)]
+        self.pattern = regex.compile(pattern)
+        self.known = Recent(lambda piece: " ".join(map(str, self.coder.encode(piece.encode()))), CACHE_PIECES)
+        size = 1 + max(ranks.values())
+        self.sizes = np.zeros(size, np.int64)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.coder.token.get(i, b"") for i in range(size)), np.uint8)
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The decimal ids of the text's pieces, joined by spaces, in one or more parts."""
+        if len(text) <= CHUNK_CHARS:
+            if text:
+                yield " ".join(map(self.known.__getitem__, self.pattern.findall(text)))
+            return
+        found = self.pattern.finditer(text)
+        while pieces := [self.known[m[0]] for m in islice(found, CHUNK_PIECES)]:
+            yield " ".join(pieces)
+
+    def numbers(self, part: str) -> np.ndarray:
+        return np.fromstring(part, np.int32, sep=" ")
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.pieces(text)))
+        return [i for part in self.parts(text) for i in self.numbers(part).tolist()]
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.coder.token.__getitem__, ids))
+        """The bytes that the ids stand for, from the table of tokens."""
+        ids = np.asarray(ids, np.int64)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.bytes[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begins[ids] - ends + sizes, sizes)].tobytes()
 
 
 _CODERS: dict[str, TextCoder] = {}
@@ -199,13 +217,21 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         for batch in batches:
             counts, hashes, decoded, kept = [], [], [], []
             for text in batch.column(1):
-                pieces = coder.pieces(text.as_py() or "")
-                ids = list(chain.from_iterable([p[0] for p in pieces]))
-                counts.append(len(ids))
-                hashes.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                of_ids, of_bytes, own = hashlib.sha256(), hashlib.sha256(), [np.zeros(0, np.int32)]
+                n = 0
+                for part in coder.parts(text.as_py() or ""):
+                    of_ids.update((" " + part if n else part).encode())
+                    ids = coder.numbers(part)
+                    for a in range(0, len(ids), CHUNK_PIECES):
+                        of_bytes.update(coder.decode(ids[a : a + CHUNK_PIECES]))
+                    n += len(ids)
+                    if with_ids:
+                        own.append(ids)
+                counts.append(n)
+                hashes.append(of_ids.hexdigest())
+                decoded.append(of_bytes.hexdigest())
                 if with_ids:
-                    kept.append(ids)
+                    kept.append(np.concatenate(own))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
@@ -217,6 +243,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
 
 def op3_byte_bpe(spark, sf_dir):
+    """Contract query: doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text of ``documents``; see
+    ``encode_documents`` for nulls, empty texts, repeated rows and empty tables."""
     import public_tokenizers
 
     from .common import load

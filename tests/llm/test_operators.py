@@ -313,6 +313,35 @@ def test_byte_bpe_is_tiktoken(spark, small):
     assert byte_bpe.TextCoder(ranks, P.PATTERN).encode(" a\t\n  b é漢🙂 123abc's  ") == reference.encode_ordinary(" a\t\n  b é漢🙂 123abc's  ")
 
 
+def test_byte_bpe_long_unbroken_texts_and_small_caches(spark, monkeypatch):
+    """A piece of 1 MB takes time and memory in proportion; chunks and caches of any size change nothing."""
+    import tracemalloc
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = byte_bpe.parse_ranks(byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")))
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(4)
+    long = "".join(map(chr, rng.integers(97, 123, 1_000_000))) + "é漢" * 20_000 + "a" * 50_000
+    coder = byte_bpe.TextCoder(ranks, P.PATTERN)
+    tracemalloc.start()
+    assert coder.encode(long) == reference.encode_ordinary(long)
+    assert tracemalloc.get_traced_memory()[1] < 200 * len(long)
+    tracemalloc.stop()
+    for name in ("CACHE_PIECES", "CACHE_PAIRS", "CHUNK_PIECES", "CHUNK_CHARS"):
+        monkeypatch.setattr(byte_bpe, name, 3)
+    mixed = "The quick  brown\n\tfox's 1234 jumps, überall! 漢字 " * 30 + " " * 50 + "x"
+    small = byte_bpe.TextCoder(ranks, P.PATTERN)
+    assert small.encode(mixed) == reference.encode_ordinary(mixed) and small.decode(small.encode(mixed)) == mixed.encode()
+    assert len(small.known) <= 3 and len(small.coder.follows) <= 3
+    df = spark.createDataFrame([(1, mixed), (2, long), (3, ""), (None, None)], "doc_id bigint, text string")
+    for r in byte_bpe.encode_documents(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True).collect():
+        text = {1: mixed, 2: long}.get(r.doc_id, "")
+        assert r.ids == reference.encode_ordinary(text) and (r.n_tokens, r.decoded_sha256) == (len(r.ids), sha(text.encode()))
+        assert r.ids_sha256 == sha(" ".join(map(str, r.ids)).encode())
+
+
 def test_flac_round_trip(spark, small):
     rng = np.random.default_rng(1)
     waves = [(128 + 100 * np.sin(np.arange(192 * 5) / 9)).astype(np.uint8).tobytes(), b" " * 192, bytes(rng.integers(0, 256, 192 * 40, dtype=np.uint8)), bytes([0, 255] * 96 * 3), b"ab" * 96]
