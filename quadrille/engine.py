@@ -16,6 +16,9 @@ from .plans.parser import LANGUAGES, SparqlSyntaxError, parse, parse_update
 from .sources import formats
 from .sources.quads import SCHEMA, QuadsFrame, from_triples, read_ntriples, read_turtle
 
+#: What tells quads apart.
+KEY = ["kg", "ks", "p", "ko"]
+
 
 @dataclass
 class Prepared:
@@ -133,8 +136,9 @@ class Engine:
         self.add((read_turtle if kind == "turtle" else read_ntriples)(self.spark, path, graph))
 
     def add(self, quads: DataFrame) -> None:
+        """Adds quads; a graph is a set, so what is there already, or comes twice, is added once."""
         have = self.source.quads if isinstance(self.source, QuadsFrame) else None
-        self.source = QuadsFrame(quads if have is None else have.unionByName(quads))
+        self.source = QuadsFrame(self._with(have, quads))
 
     def prepare(self, text: str, base: str | None = None, prefixes: dict | None = None, language: str = "sparql") -> Prepared:
         q = parse(text, base, prefixes, language)
@@ -166,7 +170,7 @@ class Engine:
         renamed = lambda df, ref: df.withColumn("g", F.lit(None if ref == "DEFAULT" else ref).cast("string"))
         match u.kind:
             case "insert":
-                quads = quads.unionByName(from_triples(self.spark, [(getattr(x, "value", None), t) for x, t in u.insert]))
+                quads = self._with(quads, from_triples(self.spark, [(getattr(x, "value", None), t) for x, t in u.insert]))
             case "delete":
                 quads = self._without(quads, from_triples(self.spark, [(getattr(x, "value", None), t) for x, t in u.delete]))
             case "clear" | "drop":
@@ -184,7 +188,7 @@ class Engine:
                 own = renamed(quads.where(inside(u.source)), u.target)
                 keep = quads if u.kind == "add" else quads.where(~F.coalesce(inside(u.target), F.lit(False)))
                 keep = keep.where(~F.coalesce(inside(u.source), F.lit(False))) if u.kind == "move" else keep
-                quads = keep.unionByName(own)
+                quads = self._with(keep, own)
             case "modify":
                 named = u.using_named or ()
                 q = Query("construct", u.where, default_graphs=u.using, named_graphs=named)
@@ -193,8 +197,12 @@ class Engine:
                 for df in gone:
                     quads = self._without(quads, df)
                 for df in made:
-                    quads = quads.unionByName(df)
-        self.source = QuadsFrame(quads)
+                    quads = self._with(quads, df)
+        self.source = QuadsFrame(self._cut(quads))
+
+    def _cut(self, quads: DataFrame) -> DataFrame:
+        """The quads as a checkpoint where the session names a folder for those, so that plans do not grow with every update."""
+        return quads.checkpoint() if self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir() else quads
 
     def _instances(self, q: Query, graph, t: Triple) -> DataFrame:
         p = Prepared(self, replace(q, template=(t,)))
@@ -207,9 +215,19 @@ class Engine:
             return r.df.select(name.alias("g"), consts[0].cast(TERM).alias("s"), consts[1]["lex"].alias("p"), consts[2].cast(TERM).alias("o")).where("g is not null and s is not null and p is not null and o is not null")
         return p.graph().withColumn("g", F.lit(getattr(graph, "value", None)).cast("string")).select("g", "s", "p", "o")
 
+    def _keyed(self, quads: DataFrame) -> DataFrame:
+        """Quads with columns KEY that are equal for equal ones."""
+        return quads.withColumns({"kg": F.coalesce("g", F.lit("")), "ks": F.struct("s.kind", "s.lex"), "ko": F.struct("o.kind", "o.lex", F.coalesce(F.lower("o.lang"), F.lit("")).alias("x"), F.coalesce("o.dt", F.lit("")).alias("y"))})
+
     def _without(self, quads: DataFrame, gone: DataFrame) -> DataFrame:
-        key = lambda df: df.withColumns({"kg": F.coalesce("g", F.lit("")), "ks": F.struct("s.kind", "s.lex"), "ko": F.struct("o.kind", "o.lex", F.coalesce(F.lower("o.lang"), F.lit("")).alias("x"), F.coalesce("o.dt", F.lit("")).alias("y"))})
-        return key(quads).join(key(gone).select("kg", "ks", "p", "ko").distinct(), ["kg", "ks", "p", "ko"], "left_anti").select("g", "s", "p", "o")
+        return self._keyed(quads).join(self._keyed(gone).select(*KEY).distinct(), KEY, "left_anti").select("g", "s", "p", "o")
+
+    def _with(self, quads: DataFrame | None, more: DataFrame) -> DataFrame:
+        """The union of two sets of quads."""
+        more = self._keyed(more.select("g", "s", "p", "o")).dropDuplicates(KEY)
+        if quads is None:
+            return more.select("g", "s", "p", "o")
+        return quads.select("g", "s", "p", "o").unionByName(more.join(self._keyed(quads).select(*KEY), KEY, "left_anti").select("g", "s", "p", "o"))
 
 
 def _nodes(root):

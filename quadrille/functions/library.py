@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 from urllib.parse import urljoin
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.algebra import RDF, XSD
-from .values import BLANK, DECIMAL, DOUBLES, INTEGERS, IRI, LITERAL, NUMERIC, RANKS, Value, as_term, compare, decimal_of, double_of, instant, is_number, is_plain, lit_null, number_term, rank_of, same_term, term, text, truth, truth_value
+from .values import BLANK, DECIMAL, DOUBLES, INTEGERS, IRI, LITERAL, NUMERIC, RANKS, Value, as_term, compare, decimal_of, double_of, double_text, instant, is_number, is_plain, lit_null, number_term, rank_of, same_term, term, text, truth, truth_value, utc
 
 BUILTINS: dict[str, Callable[..., Value]] = {}
 EXTENSIONS: dict[str, Callable[..., Value]] = {}
+#: Seconds from 1970 that a timestamp holds, about.
+MAX_SECONDS = 9_000_000_000_000
 
 
 def builtin(*names: str):
@@ -70,7 +73,7 @@ _DATE = r"^(-?\d{4,})-(\d\d)-(\d\d)(?:T(\d\d):(\d\d):(\d\d(?:\.\d+)?))?(Z|[+-]\d
 def _date_part(v: Value, n: int) -> Column:
     """A part of a dateTime or date as it is written."""
     if v.kind in ("dateTime", "date"):
-        return (F.year, F.month, F.dayofmonth, F.hour, F.minute)[n - 1](v.col).cast("bigint")
+        return (F.year, F.month, F.dayofmonth, F.hour, F.minute)[n - 1](utc(v.col) if v.kind == "dateTime" else v.col).cast("bigint")
     if v.kind != "term":
         return F.lit(None).cast("bigint")
     return F.when(v.col["dt"].isin(XSD + "dateTime", XSD + "date"), F.regexp_extract(v.col["lex"], _DATE, n).try_cast("bigint"))
@@ -117,7 +120,8 @@ def to_unixtime(a):
 
 @builtin("FROM_UNIXTIME")
 def from_unixtime(a):
-    return Value("dateTime", F.timestamp_seconds(double_of(a).cast("bigint")))
+    seconds = double_of(a).try_cast("bigint")
+    return Value("dateTime", F.timestamp_seconds(F.when(F.abs(seconds) < MAX_SECONDS, seconds)))
 
 
 @builtin("STR")
@@ -210,11 +214,17 @@ def strlen(a):
 
 @builtin("SUBSTR")
 def substr(a, start, size=None):
-    first = F.round(double_of(start)).cast("int")
-    end = first + F.round(double_of(size)).cast("int") if size is not None else None
-    at = F.greatest(first, F.lit(1))
-    count = F.length(string(a)) if end is None else F.greatest(end - at, F.lit(0))
-    return like(a, F.when(first.isNotNull(), F.substring(string(a), at, count)))
+    first = _place(start)
+    end = first + _place(size) if size is not None else None
+    at = F.greatest(first, F.lit(1).cast("bigint"))
+    count = F.length(string(a)) if end is None else F.least(F.greatest(end - at, F.lit(0)), F.length(string(a)))
+    return like(a, F.when(first.isNotNull(), F.substring(string(a), at.cast("int"), count.cast("int"))))
+
+
+def _place(v: Value) -> Column:
+    """A number rounded to a place in a text; no number at all and what is too large are the place after any text."""
+    last = float((1 << 31) - 1)
+    return F.when(double_of(v).isNotNull(), F.greatest(F.least(F.floor(F.least(F.greatest(double_of(v), F.lit(-last)), F.lit(last)) + 0.5), F.lit(int(last))), F.lit(-int(last)))).cast("bigint")
 
 
 @builtin("STRBEFORE")
@@ -269,18 +279,46 @@ def _pattern(p: Value, flags: Value | None) -> Column:
     return F.when(f == "", pattern).when(f.rlike("^[ismxq]+$"), F.when(kept == "", quoted).otherwise(F.concat(F.lit("(?"), kept, F.lit(")"), quoted)))
 
 
+def _compiles(pattern: Column) -> Column:
+    """The pattern where it is one, else NULL."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+@lru_cache(maxsize=1000)
+def _is_pattern(pattern: str, flags: str | None) -> bool:
+    """Whether Spark's expressions take a constant pattern; asked once, so that plans of such patterns stay deterministic."""
+    spark = SparkSession.active()
+    made = _pattern(Value("string", F.lit(pattern)), None if flags is None else Value("string", F.lit(flags)))
+    return bool(spark.range(1).select(_compiles(made).alias("ok")).first()["ok"])
+
+
+def _when_pattern(p: Value, flags: Value | None, made) -> Column:
+    """``made(pattern)``, NULL where the pattern or its flags are wrong."""
+    pattern = _pattern(p, flags)
+    if p.const is not None and (flags is None or flags.const is not None):
+        return made(pattern) if _is_pattern(p.const, flags and flags.const) else F.when(F.lit(False), made(F.lit("")))
+    return F.when(_compiles(pattern), made(pattern))
+
+
 @builtin("REGEX")
 def regex(a, p, flags=None):
-    return Value("boolean", F.rlike(string(a), _pattern(p, flags)))
+    return Value("boolean", _when_pattern(p, flags, lambda pattern: F.rlike(string(a), pattern)))
 
 
 @builtin("REPLACE")
 def replace(a, p, r, flags=None):
-    return like(a, F.regexp_replace(string(a), _pattern(p, flags), string(r)))
+    """A replacement that names a group which the pattern lacks, or is of another form than XPath's, is an error."""
+    new = string(r)
+    bare = F.regexp_replace(string(p), r"\\.|\[(?:\\.|[^\]\\])*\]", "")
+    groups = F.regexp_count(bare, F.lit(r"\((?!\?)|\(\?<(?![=!])"))
+    named = F.transform(F.regexp_extract_all(F.regexp_replace(new, r"\\.", ""), F.lit(r"\$(\d)"), F.lit(1)), lambda x: x.cast("int"))
+    fits = F.rlike(new, F.lit(r"(?s)^(?:[^\\$]|\\[\\$]|\$\d)*$")) & (F.coalesce(F.array_max(named), F.lit(0)) <= groups)
+    return like(a, F.when(fits, _when_pattern(p, flags, lambda pattern: F.regexp_replace(string(a), pattern, F.when(fits, new).otherwise("")))))
 
 
 def _numeric(decimal: Callable, double: Callable):
     def run(a):
+        a = a.native or a
         if a.kind == "integer":
             return a if decimal is not F.abs else Value("integer", F.abs(a.col))
         if a.kind == "decimal":
@@ -296,7 +334,12 @@ def _half_up(c: Column) -> Column:
     return F.floor(c + F.lit(0.5).cast("decimal(2,1)"))
 
 
-BUILTINS |= {"ABS": _numeric(F.abs, F.abs), "CEIL": _numeric(F.ceil, F.ceil), "FLOOR": _numeric(F.floor, F.floor), "ROUND": _numeric(_half_up, lambda c: F.floor(c + 0.5))}
+def _whole(f: Callable) -> Callable:
+    """``f`` of a double. From 2 ** 53 on every double is whole; those, INF and NaN stay as they are."""
+    return lambda c: F.when(F.isnan(c) | (F.abs(c) >= float(1 << 53)), c).otherwise(f(c).cast("double"))
+
+
+BUILTINS |= {"ABS": _numeric(F.abs, F.abs), "CEIL": _numeric(F.ceil, _whole(F.ceil)), "FLOOR": _numeric(F.floor, _whole(F.floor)), "ROUND": _numeric(_half_up, _whole(lambda c: F.floor(c + 0.5)))}
 BUILTINS |= {"UUID": lambda: Value("iri", F.concat(F.lit("urn:uuid:"), F.uuid())), "STRUUID": lambda: Value("string", F.uuid())}
 
 
@@ -359,13 +402,16 @@ def cast(iri: str, a: Value) -> Value | None:
         return Value("decimal", F.coalesce(decimal_of(a), as_number.try_cast(DECIMAL), F.when(dt.isNull(), fits.try_cast(DECIMAL))))
     if family == "double":
         plain = F.regexp_replace(fits, "^([+-]?)INF$", "$1Infinity").try_cast("double")
-        return Value("double", F.coalesce(as_number, F.when(dt.isNull(), plain)))
+        made = F.coalesce(as_number, F.when(dt.isNull(), plain))
+        if iri == XSD + "float":
+            return Value("term", term(LITERAL, double_text(made.cast("float")), None, F.lit(iri)), number=True)
+        return Value("double", made)
     if a.kind == family:
         return a
     if a.kind == "dateTime":
-        return Value("date", a.col.cast("date"))
+        return Value("date", utc(a.col).cast("date"))
     if a.kind == "date":
-        return Value("dateTime", a.col.cast("timestamp"))
+        return Value("dateTime", instant(a))
     same = dt.isNull() | (dt == iri)
     lexical = F.when(same, fits)
     if family == "date":

@@ -7,9 +7,10 @@ error and an unbound value are NULL, so SQL's three-valued logic is SPARQL's.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.algebra import XSD, BNode, Iri, Lit
@@ -17,6 +18,7 @@ from ..plans.algebra import XSD, BNode, Iri, Lit
 BLANK, IRI, LITERAL = 1, 2, 3
 TERM = "struct<kind:tinyint,lex:string,lang:string,dt:string>"
 DECIMAL = "decimal(28,10)"
+#: The numeric types and what is derived from integer.
 INTEGERS = tuple(XSD + n for n in ("integer", "nonPositiveInteger", "negativeInteger", "long", "int", "short", "byte", "nonNegativeInteger", "unsignedLong", "positiveInteger", "unsignedInt", "unsignedShort", "unsignedByte"))
 DOUBLES = (XSD + "double", XSD + "float")
 NUMERIC = (*INTEGERS, XSD + "decimal", *DOUBLES)
@@ -30,6 +32,8 @@ class Value:
     col: Column
     template: str | None = None
     number: bool = False  # of a term: certainly numeric or NULL
+    native: Value | None = None  # of a constant term: the number that it means
+    const: str | None = None  # of a constant string: its text
 
 
 def lit_null() -> Column:
@@ -41,39 +45,73 @@ def term(kind, lex: Column, lang: Column | None = None, dt: Column | None = None
     return F.when(lex.isNotNull(), made)
 
 
+#: Forms of numbers that a native cell prints again as they were.
+_CANONICAL = {XSD + "integer": re.compile(r"0|-?[1-9]\d{0,17}"), XSD + "decimal": re.compile(r"-?(0|[1-9]\d{0,16})\.(0|\d{0,9}[1-9])")}
+
+
+def _number(lex: str, dt: str) -> Value | None:
+    """The native number that a well-formed literal means."""
+    try:
+        if dt in INTEGERS and abs(int(lex)) < 1 << 63:
+            return Value("integer", F.lit(int(lex)).cast("bigint"))
+        if dt == XSD + "decimal" and re.fullmatch(r"[+-]?(\d+(\.\d*)?|\.\d+)", lex):
+            return Value("decimal", F.lit(lex).try_cast(DECIMAL))
+        if dt in DOUBLES:
+            return Value("double", F.lit(float(lex.replace("INF", "inf"))))
+    except ValueError:
+        pass
+    return None
+
+
 def constant(t) -> Value:
-    """The cell of a constant term: native where its datatype has a native kind and its form is valid."""
+    """The cell of a constant term: native where its datatype has a native kind that prints it in the same form, else the
+    term itself, with the number that it means."""
     match t:
         case Iri(value):
             return Value("iri", F.lit(value))
         case BNode(label):
             return Value("term", term(BLANK, F.lit(label)))
         case Lit(lex, None, None) | Lit(lex, None, "http://www.w3.org/2001/XMLSchema#string"):
-            return Value("string", F.lit(lex))
+            return Value("string", F.lit(lex), const=lex)
         case Lit(lex, None, dt):
-            try:
-                if dt in INTEGERS and abs(int(lex)) < 1 << 63 and dt == XSD + "integer":
-                    return Value("integer", F.lit(int(lex)).cast("bigint"))
-                if dt == XSD + "decimal":
-                    float(lex)
-                    return Value("decimal", F.lit(lex).cast(DECIMAL))
-                if dt in DOUBLES:
-                    return Value("double", F.lit(float(lex.replace("INF", "inf"))))
-            except ValueError:
-                return Value("term", term(LITERAL, F.lit(lex), None, F.lit(dt)))
-            if dt == XSD + "boolean" and lex in ("true", "false", "1", "0"):
-                return Value("boolean", F.lit(lex in ("true", "1")))
+            number = _number(lex, dt)
+            if number is not None and dt in _CANONICAL and _CANONICAL[dt].fullmatch(lex) and lex != "-0.0":
+                return number
+            if number is not None:
+                return Value("term", term(LITERAL, F.lit(lex), None, F.lit(dt)), number=True, native=number)
+            if dt == XSD + "boolean" and lex in ("true", "false"):
+                return Value("boolean", F.lit(lex == "true"))
             return Value("term", term(LITERAL, F.lit(lex), None, F.lit(dt)))
         case Lit(lex, lang, _):
             return Value("term", term(LITERAL, F.lit(lex), F.lit(lang)))
     raise TypeError(t)
 
 
+def _in_utc() -> bool:
+    spark = SparkSession.getActiveSession()
+    return spark is not None and spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "Z", "+00:00")
+
+
+def utc(c: Column) -> Column:
+    """A timestamp whose fields in the session's zone are those of ``c`` in UTC."""
+    return c if _in_utc() else F.to_utc_timestamp(c, F.current_timezone())
+
+
+def from_fields(c: Column) -> Column:
+    """The instant whose fields in UTC are those of a timestamp without zone."""
+    return c.cast("timestamp") if _in_utc() else F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+
+
 def decimal_text(c: Column) -> Column:
     """Canonical decimal: no trailing zeros, at least one digit after the point."""
     return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
 
 
+def double_text(c: Column) -> Column:
+    """A float or double as XSD writes it."""
+    return F.regexp_replace(c.cast("string"), "Infinity", "INF")
+
+
 def text(v: Value) -> Column:
     """STR(): the lexical form."""
     match v.kind:
@@ -82,9 +120,11 @@ def text(v: Value) -> Column:
         case "key":
             return F.when(v.col.isNotNull(), F.concat(F.lit(v.template), v.col.cast("string")))
         case "dateTime":
-            return F.regexp_replace(F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), r"\.?0*Z$", "Z")
+            return F.regexp_replace(F.date_format(utc(v.col), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), r"\.?0*Z$", "Z")
         case "decimal":
             return decimal_text(v.col)
+        case "double":
+            return double_text(v.col)
         case _:
             return v.col.cast("string")
 
@@ -142,22 +182,26 @@ def rank_of(v: Value) -> Column:
 
 def number_term(rank: Column, decimal: Column, double: Column) -> Value:
     """A term of the dynamic numeric type ``rank``."""
-    lex = F.when(rank == 3, double.cast("string")).when(rank == 2, decimal_text(decimal)).when(rank == 1, decimal.cast("decimal(38,0)").cast("string"))
+    lex = F.when(rank == 3, double_text(double)).when(rank == 2, decimal_text(decimal)).when(rank == 1, decimal.cast("decimal(38,0)").cast("string"))
     dt = F.when(rank == 3, XSD + "double").when(rank == 2, XSD + "decimal").otherwise(XSD + "integer")
     return Value("term", term(LITERAL, lex, None, dt), number=True)
 
 
 def instant(v: Value) -> Column:
     """A dateTime (or date) as a timestamp, read as UTC where it has no zone."""
-    if v.kind in ("dateTime", "date"):
-        return v.col.cast("timestamp")
+    if v.kind == "dateTime":
+        return v.col
+    if v.kind == "date":
+        return from_fields(v.col)
     if v.kind == "term":
-        return F.when(v.col["dt"].isin(XSD + "dateTime", XSD + "date"), F.regexp_replace(v.col["lex"], r"^(\d{4}-\d\d-\d\d)(Z|[+-]\d\d:\d\d)$", "$1T00:00:00$2").try_cast("timestamp"))
+        whole = F.regexp_replace(v.col["lex"], r"^(\d{4}-\d\d-\d\d)(Z|[+-]\d\d:\d\d)?$", "$1T00:00:00$2")
+        return F.when(v.col["dt"].isin(XSD + "dateTime", XSD + "date"), F.regexp_replace(whole, r"(T[\d:.]+)$", "$1Z").try_cast("timestamp"))
     return F.lit(None).cast("timestamp")
 
 
 def truth(v: Value) -> Column:
     """The effective boolean value; NULL is an error."""
+    v = v.native or v
     match v.kind:
         case "boolean":
             return v.col
@@ -192,6 +236,7 @@ def _ordered(op: str, a: Column, b: Column) -> Column:
 
 def compare(op: str, a: Value, b: Value) -> Column:
     """``=``, ``!=``, ``<``, ``>``, ``<=`` and ``>=`` by value with numeric promotion; NULL is an error."""
+    a, b = a.native or a, b.native or b
     if a.kind in RANKS and b.kind in RANKS:
         return _ordered(op, a.col, b.col)
     if a.kind == b.kind and a.kind in ("string", "boolean", "dateTime", "date"):
@@ -225,6 +270,7 @@ def same_term(a: Value, b: Value) -> Column:
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:
     """``+ - * /`` with promotion; a whole division gives a decimal; overflow and division by zero are errors."""
+    a, b = a.native or a, b.native or b
     run = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
     if a.kind in RANKS and b.kind in RANKS:
         rank = max(RANKS[a.kind], RANKS[b.kind])

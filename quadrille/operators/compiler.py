@@ -26,6 +26,14 @@ class CompileError(ValueError):
     pass
 
 
+@dataclass(frozen=True)
+class _Outer:
+    """The distinct values that outer rows have for some variables, as a pattern."""
+
+    names: tuple[str, ...]
+    rel: Rel
+
+
 class Compiler:
     def __init__(self, spark: SparkSession, source, bindings: dict | None = None, service=None, base: str | None = None, seed: int | None = None, unknown_false: bool = False):
         self.spark, self.source, self.bindings, self.service = spark, source, bindings or {}, service
@@ -84,6 +92,8 @@ class Compiler:
                 return Rel(df.limit(limit) if limit is not None else df, r.cells, r.certain)
             case Service():
                 return self.call_service(node)
+            case _Outer(names, outer):
+                return self.distinct(self.project(outer, names))
         raise CompileError(f"{type(node).__name__} can't be compiled")
 
     def _empty_bgp(self, graph) -> Rel:
@@ -195,19 +205,66 @@ class Compiler:
             out = df if out is None else out.unionAll(df)
         return Rel(out, a.cells, a.certain)
 
+    def _correlated(self, node, outer: Rel) -> tuple[object, frozenset]:
+        """A pattern of EXISTS whose expressions see the variables of the outer row, and which of them it takes.
+
+        Where an expression needs one that its own pattern does not bind, that pattern joins the distinct outer values.
+        Every row of the result then has all that are taken, also in branches that need none of them.
+        """
+        if isinstance(node, Filter | Extend):
+            child, have = self._correlated(node.child, outer)
+            child, have = self._given(child, node.child, self._outer_names(node.expr, outer, node.child), have, outer)
+            return (Filter(node.expr, child) if isinstance(node, Filter) else Extend(child, node.var, node.expr)), have
+        if isinstance(node, Graph):
+            child, have = self._correlated(node.child, outer)
+            return Graph(node.name, child), have
+        if not isinstance(node, Join | Union | LeftJoin | Minus):
+            return node, frozenset()
+        (a, p), (b, q) = self._correlated(node.left, outer), self._correlated(node.right, outer)
+        if isinstance(node, Join):
+            return Join(a, b), p | q
+        if isinstance(node, Union):
+            a, b = self._given(a, node.left, q, p, outer)[0], self._given(b, node.right, p, q, outer)[0]
+            return Union(a, b), p | q
+        if isinstance(node, LeftJoin):
+            names = self._outer_names(node.expr, outer, Join(node.left, node.right)) if node.expr is not None else frozenset()
+            a, p = self._given(a, node.left, q | names, p, outer)
+            return LeftJoin(a, b, node.expr), p
+        if not set(in_scope(node.left)) & set(in_scope(node.right)):
+            return a, p  # what shares no variable removes nothing
+        a, p = self._given(a, node.left, q, p, outer)
+        return Minus(a, b), p
+
+    def _outer_names(self, e, outer: Rel, child) -> frozenset:
+        return frozenset({x.name for x in walk(e) if isinstance(x, Var)} & set(outer.cells)) - set(in_scope(child))
+
+    def _given(self, node, plain, names: frozenset, have: frozenset, outer: Rel) -> tuple[object, frozenset]:
+        """``node`` joined with the outer values of ``names`` that it does not have; ``plain`` is the node before any such join."""
+        more = names - have - set(in_scope(plain))
+        if not more:
+            return node, have
+        shared = have | (set(in_scope(plain)) & set(outer.cells))
+        return Join(node, _Outer(tuple(sorted(more | shared)), outer)), have | more
+
     def exists(self, a: Rel, pattern, graph, negated: bool) -> Rel:
         """A semi or anti join on the shared variables; outer filters of the pattern are its condition."""
         tests = []
         while isinstance(pattern, Filter):
             tests.append(pattern.expr)
             pattern = pattern.child
+        for e in tests:
+            if any(isinstance(x, Exists) for x in walk(e)):
+                pattern = Filter(e, pattern)
+        tests = [e for e in tests if not any(isinstance(x, Exists) for x in walk(e))]
+        pattern, given = self._correlated(pattern, a)
         inner = self.compile(pattern, graph)
-        simple = [e for e in tests if not any(isinstance(x, Exists) for x in walk(e)) and not {x.name for x in walk(e) if isinstance(x, Var)} - set(inner.cells)]
+        simple = [e for e in tests if not {x.name for x in walk(e) if isinstance(x, Var)} - set(inner.cells)]
         for e in simple:
             inner = self.filter(inner, e, graph)
         rest = [e for e in tests if e not in simple]
         b = self._right(inner)
-        shared = [n for n in a.cells if n in b.cells]
+        shared = [n for n in a.cells if n in b.cells and n not in given]
+        of_outer = [same_key(x).eqNullSafe(same_key(y)) for x, y in self._aligned(a, b, sorted(given)).values()]
         merged, how = self._merged(a, b), "left_anti" if negated else "left_semi"
         out = None
         for x, p in self._parts(a, shared):
@@ -215,8 +272,7 @@ class Compiler:
             df, found = x.df, None
             for i, (y, q) in enumerate(right):
                 on = self._on(x, y, p & q)
-                for e in rest:
-                    c = self._condition(merged, e, graph)
+                for c in [*of_outer, *(self._condition(merged, e, graph) for e in rest)]:
                     on = c if on is None else on & c
                 on = F.lit(True) if on is None else on
                 if negated:
@@ -225,6 +281,8 @@ class Compiler:
                     one = x.df.join(y.df, on, how)
                     for z, r in right[:i]:
                         before = self._on(x, z, p & r)
+                        for c in [*of_outer, *(self._condition(merged, e, graph) for e in rest)]:
+                            before = c if before is None else before & c
                         one = one.join(z.df, before if before is not None else F.lit(True), "left_anti")
                     found = one if found is None else found.unionAll(one)
             df = df if negated else found
@@ -262,6 +320,8 @@ class Compiler:
         """EXISTS below other operators: a column that tells it for every row."""
         if isinstance(e, Exists):
             name = f".m{len(self.numbers)}"
+            if (told := self._told(r, e, graph, name)) is not None:
+                return told, Var(name)
             yes, no = (self.exists(r, e.pattern, graph, n) for n in (False, True))
             cells = lambda flag: {**r.cells, name: Value("boolean", F.lit(flag))}
             x, y = self.rel(yes.df, cells(not e.negated), r.certain), self.rel(no.df, cells(e.negated), r.certain)
@@ -274,6 +334,24 @@ class Compiler:
             return r, Call(e.name, tuple(args))
         return r, e
 
+    def _told(self, r: Rel, e: Exists, graph, name: str) -> Rel | None:
+        """``r`` with a column that tells of every row whether the pattern exists, by one left join with the distinct keys
+        of the pattern; None where a shared variable may be unbound."""
+        pattern, given = self._correlated(e.pattern, r)
+        b = self._right(self.compile(pattern, graph))
+        shared = [n for n in r.cells if n in b.cells and n not in given]
+        if not set(shared) <= r.certain & b.certain:
+            return None
+        pairs = [(same_key(x), same_key(y), n in given) for n, (x, y) in self._aligned(r, b, [*shared, *sorted(given)]).items()]
+        keys = b.df.select(*[y.alias(f"k{i}") for i, (_, y, _) in enumerate(pairs)], F.lit(True).alias("found"))
+        keys = keys.distinct() if pairs else keys.limit(1)
+        on = F.lit(True)
+        for i, (x, _, outer) in enumerate(pairs):
+            test = x.eqNullSafe(F.col(f"k{i}")) if outer else x == F.col(f"k{i}")
+            on = on & test if i else test
+        flag = F.coalesce(F.col("found"), F.lit(False))
+        return self.rel(r.df.join(keys, on, "left"), {**r.cells, name: Value("boolean", ~flag if e.negated else flag)}, r.certain)
+
     def extend(self, r: Rel, n: str, e, graph) -> Rel:
         r, e = self._marked(r, e, graph)
         cells = {k: v for k, v in r.cells.items() if not k.startswith(".m")}
@@ -323,10 +401,10 @@ class Compiler:
     def group(self, r: Rel, keys, aggregates, graph) -> Rel:
         cells = {n: self.expression(e, r.cells, graph) for n, e in keys}
         names = [f"g{i}" for i in range(len(keys))]
-        by = {g: v.col for g, v in zip(names, cells.values(), strict=True)}
-        steps = [self._aggregate(i, a, r, graph) for i, (_, a) in enumerate(aggregates)]
+        plain = {g: v.col for g, v in zip(names, cells.values(), strict=True)}
+        steps = [self._aggregate(i, a, r, graph, plain) for i, (_, a) in enumerate(aggregates)]
         columns = [c for s in steps for c in s[0]] or [F.count(F.lit(1)).alias("n0")]
-        df = (r.df.withColumns(by) if by else r.df).groupBy(*names).agg(*columns)
+        df = (r.df.withColumns(plain) if plain else r.df).groupBy(*names).agg(*columns)
         out = {n: Value(v.kind, F.col(g), v.template, v.number) for g, (n, v) in zip(names, cells.items(), strict=True)}
         certain = {n for n, e in keys if isinstance(e, Var) and e.name in r.certain}
         for (n, a), (_, v) in zip(aggregates, steps, strict=True):
@@ -335,55 +413,62 @@ class Compiler:
                 certain.add(n)
         return self.rel(df, out, certain)
 
-    def _aggregate(self, i: int, a: Aggregate, r: Rel, graph) -> tuple[list[Column], Value]:
-        """Columns to aggregate, and the cell made of them. SUM, AVG, MIN and MAX of a group with an error are unbound."""
+    def _aggregate(self, i: int, a: Aggregate, r: Rel, graph, plain: dict[str, Column]) -> tuple[list[Column], Value]:
+        """Columns to aggregate, and the cell made of them. SUM, AVG, MIN and MAX of a group with an error are unbound.
+
+        What is aggregated becomes a column of its own in ``plain`` first.
+        """
         name = lambda k: f"a{i}_{k}"
+
+        def put(k, c: Column) -> Column:
+            plain[f"p{i}_{k}"] = c
+            return F.col(f"p{i}_{k}")
+
         if a.name == "COUNT" and not a.args:
             if a.distinct:
                 every = [F.coalesce(same_key(v).cast("string"), F.lit("\0")) for n, v in r.cells.items() if not n.startswith(("_:", "."))]
-                return [F.count_distinct(F.struct(*every) if every else F.lit(1)).alias(name(0))], Value("integer", F.col(name(0)))
+                return [F.count_distinct(put(0, F.struct(*every) if every else F.lit(1))).alias(name(0))], Value("integer", F.col(name(0)))
             return [F.count(F.lit(1)).alias(name(0))], Value("integer", F.col(name(0)))
         args = [self.expression(e, r.cells, graph) for e in a.args]
         v = args[0]
         if a.name == "COUNT":
-            return [(F.count_distinct if a.distinct else F.count)(same_key(v)).alias(name(0))], Value("integer", F.col(name(0)))
-        if a.name == "SAMPLE":
-            pick = F.min(F.struct(*sort_columns(v), v.col.alias("v")))["v"] if v.kind == "term" else F.min(v.col)
-            return [pick.alias(name(0))], Value(v.kind, F.col(name(0)), v.template, v.number)
+            return [(F.count_distinct if a.distinct else F.count)(put(0, same_key(v))).alias(name(0))], Value("integer", F.col(name(0)))
+        if a.name in ("SAMPLE", "MIN", "MAX"):
+            pick = F.max if a.name == "MAX" else F.min
+            if v.kind != "term":
+                return [pick(put(0, v.col)).alias(name(0))], Value(v.kind, F.col(name(0)), v.template, v.number)
+            ordered = put(0, F.when(v.col.isNotNull(), F.struct(*[c.alias(f"s{k}") for k, c in enumerate(sort_columns(v))], v.col.alias("v"))))
+            return [pick(ordered).alias(name(0))], Value("term", F.col(name(0))["v"], number=v.number)
         if a.name == "GROUP_CONCAT":
-            lex = F.concat_ws(a.separator, *[text(x) for x in args]) if len(args) > 1 else text(v)
+            lex = put(0, F.concat_ws(a.separator, *[text(x) for x in args]) if len(args) > 1 else text(v))
             made = F.array_join(F.sort_array((F.collect_set if a.distinct else F.collect_list)(lex)), a.separator)
             return [made.alias(name(0))], Value("string", F.col(name(0)))
-        if a.name in ("MIN", "MAX"):
-            pick = F.min if a.name == "MIN" else F.max
-            if v.kind != "term":
-                return [pick(v.col).alias(name(0))], Value(v.kind, F.col(name(0)), v.template)
-            return [pick(F.when(v.col.isNotNull(), F.struct(*[c.alias(f"s{k}") for k, c in enumerate(sort_columns(v))], v.col.alias("v"))))["v"].alias(name(0))], Value("term", F.col(name(0)), number=v.number)
+        v = v.native or v
         if v.kind in RANKS:
-            c = v.col
+            # Whole numbers are added up as decimals: 20 digits and a group of up to 10 ** 18 rows fit.
+            c = put(0, v.col.cast("decimal(20,0)") if v.kind == "integer" else v.col)
+            total = F.expr(f"try_sum({'DISTINCT ' if a.distinct else ''}p{i}_0)") if v.kind != "double" else (F.sum_distinct if a.distinct else F.sum)(c)
+            n = (F.count_distinct if a.distinct else F.count)(c)
             if a.name == "SUM":
-                total = F.sum_distinct(c) if a.distinct else F.try_sum(c)
-                zero = F.lit(0).cast(NATIVE[v.kind])
-                return [F.coalesce(total.cast(NATIVE[v.kind]), F.when(F.count(c) == 0, zero)).alias(name(0))], Value(v.kind, F.col(name(0)))
-            if v.kind == "double" and not a.distinct:
-                return [F.coalesce(F.avg(c), F.lit(0.0)).alias(name(0))], Value("double", F.col(name(0)))
-            total, n = (F.sum_distinct(c), F.count_distinct(c)) if a.distinct else (F.sum(c), F.count(c))
+                return [F.when(n == 0, F.lit(0).cast(NATIVE[v.kind])).otherwise(total.try_cast(NATIVE[v.kind])).alias(name(0))], Value(v.kind, F.col(name(0)))
             if v.kind == "double":
-                return [F.when(n == 0, 0.0).otherwise(total / n).alias(name(0))], Value("double", F.col(name(0)))
-            mean = F.try_divide(total.try_cast("decimal(20,6)"), n.cast("decimal(12,0)")).try_cast("decimal(28,10)")
+                return [F.when(n == 0, 0.0).otherwise(F.try_divide(total, n)).alias(name(0))], Value("double", F.col(name(0)))
+            mean = F.try_divide(total, n.cast("decimal(12,0)")).try_cast("decimal(28,10)")
             return [F.when(n == 0, F.lit(0).cast("decimal(28,10)")).otherwise(mean).alias(name(0))], Value("decimal", F.col(name(0)))
         if v.kind != "term":
-            return [F.max(F.when(v.col.isNotNull(), 1)).alias(name(0))], Value("integer", F.when(F.col(name(0)).isNull(), 0).cast("bigint"))
-        rank, decimal, double = rank_of(v), decimal_of(v), double_of(v)
-        bad = F.max(F.when(v.col.isNotNull() & double.isNull(), 1)).alias(name(0))
-        total = F.sum_distinct if a.distinct else F.sum
+            return [F.max(F.when(put(0, v.col).isNotNull(), 1)).alias(name(0))], Value("integer", F.when(F.col(name(0)).isNull(), 0).cast("bigint"))
+        rank, decimal, double = put(0, rank_of(v)), put(1, decimal_of(v)), put(2, double_of(v))
+        bad = F.max(put(3, F.when(v.col.isNotNull() & double_of(v).isNull(), 1))).alias(name(0))
+        distinct = "DISTINCT " if a.distinct else ""
+        total = F.expr(f"try_sum({distinct}p{i}_1)")
         count = (F.count_distinct if a.distinct else F.count)(double).alias(name(4))
-        columns = [bad, F.max(rank).alias(name(1)), total(decimal).alias(name(2)), total(double).alias(name(3)), count]
+        columns = [bad, F.max(rank).alias(name(1)), total.alias(name(2)), (F.sum_distinct if a.distinct else F.sum)(double).alias(name(3)), count, F.count(decimal).alias(name(5))]
         n = F.col(name(4))
-        rank, decimal, double = F.coalesce(F.col(name(1)), F.lit(1)), F.coalesce(F.col(name(2)), F.lit(0)), F.coalesce(F.col(name(3)), F.lit(0.0))
+        # A sum of decimals that does not fit stays NULL, and so does that of a group in which not all are decimals.
+        rank, decimal, double = F.coalesce(F.col(name(1)), F.lit(1)), F.when(F.col(name(5)) == 0, F.lit(0).cast("decimal(38,10)")).otherwise(F.col(name(2))), F.coalesce(F.col(name(3)), F.lit(0.0))
         if a.name == "AVG":
             rank = F.when(n == 0, 1).otherwise(F.greatest(rank, F.lit(2)))
-            decimal = F.coalesce(F.try_divide(decimal.try_cast("decimal(20,6)"), n.cast("decimal(12,0)")), F.lit(0)).try_cast("decimal(28,10)")
+            decimal = F.when(n == 0, F.lit(0).cast("decimal(38,10)")).otherwise(F.try_divide(decimal, n.cast("decimal(12,0)")))
             double = F.coalesce(F.try_divide(double, n), F.lit(0.0))
         made = number_term(rank, decimal.try_cast("decimal(28,10)"), double)
         return columns, Value("term", F.when(F.col(name(0)).isNull(), made.col), number=True)

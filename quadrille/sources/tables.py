@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import Value, as_term, constant
+from ..functions.values import Value, as_term, constant, from_fields
 from ..plans.algebra import RDF, Iri, Lit, Triple, Var
 
 
@@ -51,7 +51,7 @@ class TableMapping:
         if column in table.links:
             return Value("key", F.col(column), self.template(table.links[column]))
         kind = KINDS[type(table.frame.schema[column].dataType)]
-        return Value(kind, F.col(column).cast("bigint") if kind == "integer" else F.col(column).cast("timestamp") if kind == "dateTime" else F.col(column).cast("double") if kind == "double" else F.col(column))
+        return Value(kind, F.col(column).cast("bigint") if kind == "integer" else (from_fields(F.col(column)) if isinstance(table.frame.schema[column].dataType, T.TimestampNTZType) else F.col(column)) if kind == "dateTime" else F.col(column).cast("double") if kind == "double" else F.col(column))
 
     def _table_of(self, star: list[Triple], graph) -> str | None:
         found = set()
@@ -117,15 +117,15 @@ class TableMapping:
         return compiler.rel(df, cells)
 
     def quads(self) -> DataFrame:
-        """All triples as quads, one scan per table: each row gives an array of its cells."""
+        """All triples as quads: a union of one scan for each predicate of each table."""
         if self._quads is None:
             parts = []
             for name, table in self.tables.items():
                 subject = as_term(Value("key", self.key(name), self.template(name)))
-                pairs = [F.struct(F.lit(RDF + "type").alias("p"), as_term(Value("iri", F.lit(self.base + name))).alias("o"))]
-                pairs += [F.struct(F.lit(self.base + c).alias("p"), as_term(self.value(name, c)).alias("o")) for c in table.frame.columns if self.base + c in self.columns]
-                rows = table.frame.select(F.lit(self.base + name).alias("g"), subject.alias("s"), F.explode(F.array(*pairs)).alias("x"))
-                parts.append(rows.select("g", "s", "x.p", "x.o").where(F.col("o").isNotNull()))
+                cells = {RDF + "type": Value("iri", F.lit(self.base + name))} | {self.base + c: self.value(name, c) for c in table.frame.columns if self.base + c in self.columns}
+                # A part for each predicate: a pattern with a constant one prunes all other parts, and so their columns.
+                for p, v in cells.items():
+                    parts.append(table.frame.select(F.lit(self.base + name).alias("g"), subject.alias("s"), F.lit(p).alias("p"), as_term(v).alias("o")).where(F.col("o").isNotNull()))
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionAll(p)

@@ -177,3 +177,31 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     counts = stream.windowed_counts(bindings, "d", [], "1 day", "1 hour")
     assert counts.isStreaming and "window" in counts.columns
+
+
+def test_times_do_not_depend_on_the_session_zone(spark, small):
+    from quadrille.queries import QUERIES
+
+    plain = [str(r) for r in ask(Engine(spark, QuadsFrame(from_triples(spark, []))), "SELECT (STR(FROM_UNIXTIME(0)) AS ?a) (HOURS(FROM_UNIXTIME(3600)) AS ?h) ('1970-01-01T00:00:00'^^xsd:dateTime = FROM_UNIXTIME(0) AS ?b) {}")]
+    assert plain == ["('1970-01-01T00:00:00Z', 1, True)"]
+    expected = sorted(QUERIES["date_parts"](spark, small).collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert ask(Engine(spark, QuadsFrame(from_triples(spark, []))), "SELECT (STR(FROM_UNIXTIME(0)) AS ?a) (HOURS(FROM_UNIXTIME(3600)) AS ?h) ('1970-01-01T00:00:00'^^xsd:dateTime = FROM_UNIXTIME(0) AS ?b) {}") == plain
+        assert sorted(QUERIES["date_parts"](spark, small).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_graph_is_a_set(spark):
+    e = Engine(spark, QuadsFrame(from_triples(spark, [])))
+    for _ in range(2):
+        e.update(P + "INSERT DATA { :a :p 1, 1 . GRAPH :g { :a :p 1 } }")
+        e.add(from_triples(spark, [(None, t) for t in parse_turtle("@prefix : <http://e/> . :a :p 1 .")]))
+    e.update(P + "ADD :g TO DEFAULT; COPY :g TO :h; INSERT { ?x :p ?y } WHERE { GRAPH :h { ?x :p ?y } }")
+    assert ask(e, "SELECT ?x ?y { ?x :p ?y }") == ["('http://e/a', '1')"]
+
+
+def test_exists_takes_outer_values_below_union(engine):
+    text = "SELECT ?x { VALUES ?x { 1 2 } FILTER %s { { VALUES ?z { 1 } FILTER(?z = ?x) } UNION { VALUES ?z { 9 } FILTER(?z = ?x) } } }"
+    assert ask(engine, text % "EXISTS") == ["(1,)"] and ask(engine, text % "NOT EXISTS") == ["(2,)"]

@@ -17,13 +17,13 @@ def test_sql(spark, small, duck, name):
 
 def test_comparisons_cover_every_part(spark):
     """No part is left out by its id, also where there are more than the small tables have."""
-    found = QUERIES["compare_all_parts"](spark, "/root/testdata/sf0.01")
+    found = QUERIES["compare_all"](spark, "/root/testdata/sf0.01")
     assert found.count() == spark.read.parquet("/root/testdata/sf0.01/part.parquet").count() > 301
 
 
 def test_bound_meets_every_order(spark):
     """No order is left out by its id: every one gives a row in which it is bound."""
-    found = QUERIES["if_coalesce_bound_orders"](spark, "/root/testdata/sf0.01")
+    found = QUERIES["if_coalesce_bound"](spark, "/root/testdata/sf0.01")
     assert found.where("has = 'yes' and first >= 0").count() == spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count() > 500
 
 
