@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,30 +23,59 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is configured."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share. Where none is configured and Spark runs in this process alone, one is
+    made and set; on a cluster that is an error."""
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if given:
         return given
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="quadrille-")
-    spark.sparkContext.setCheckpointDir(made)
+    spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
+#: How internal tables are made: shuffle files go with the query that made them, and Arrow batches stay small.
+WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+@contextmanager
+def set_for(spark: SparkSession, settings: dict[str, str]):
+    """The settings hold within the block."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with set_for(spark, WHILE_STORED):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark delete shuffle files of finished queries now; it does so when the driver collects its garbage."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+def collected(df: DataFrame) -> list:
+    """The few rows of ``df``, made like a stored table."""
+    with set_for(df.sparkSession, WHILE_STORED):
+        return df.collect()
+
+
+def emptied(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more: each is written anew without rows."""
+    for df in tables:
+        if files := df.inputFiles():
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

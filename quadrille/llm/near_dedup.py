@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mixed, steps, stored, text_bytes, word_hashes, words_of
+from .common import WHILE_STORED, collected, emptied, gram_hashes, mixed, set_for, steps, stored, text_bytes, word_hashes, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -129,7 +129,7 @@ def _sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
 
     kinds = "shard int, counts binary, n bigint"
     # CELL_SHARDS rows of a fixed size come back.
-    rows = docs.select(text_col).mapInArrow(count, kinds).repartition(CELL_SHARDS, "shard").mapInArrow(add, kinds).collect()
+    rows = collected(docs.select(text_col).mapInArrow(count, kinds).repartition(CELL_SHARDS, "shard").mapInArrow(add, kinds))
     total = np.zeros(1 << CELL_BITS, np.int64)
     for r in rows:
         size = (1 << CELL_BITS) // CELL_SHARDS
@@ -507,8 +507,10 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.toDF("of", "next")
         after = stored(spread.join(jump, spread["label"] == jump["of"], "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         changed = not after.where("old <> label").isEmpty()
+        emptied(labels)
         labels = after.select("node", "label")
         if not changed:
+            emptied(both)
             return labels
 
 
@@ -684,7 +686,8 @@ def _maybe_in(named: DataFrame, needed: DataFrame) -> DataFrame:
     h = F.xxhash64("node")
     word = F.shiftrightunsigned(h, 64 - FILTER_BITS + 6).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 64 - FILTER_BITS).bitwiseAND(63).cast("int"))
-    found = needed.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    with set_for(named.sparkSession, WHILE_STORED):
+        found = needed.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(1 << FILTER_BITS - 6, np.int64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     sent = named.sparkSession.sparkContext.broadcast(words.view(np.uint64))
@@ -703,14 +706,17 @@ def _members(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", node("text"))
     total, n = _sketch(docs, text_col)
     idf = docs.sparkSession.sparkContext.broadcast(rough_idf(total, n))
-    signed = stored(signatures(named.select("node", "text"), idf), "signatures")
-    signed = signed.dropDuplicates(["node"])
+    every = stored(signatures(named.select("node", "text"), idf), "signatures")
+    signed = every.dropDuplicates(["node"])
     links, unlike = candidates(signed)
     needed = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).unionAll(unlike).distinct()
     texts = stored(_maybe_in(named, needed).groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi"), "texts")
-    texts = stored(finer(signed, weighed(texts, docs, text_col, n, int(total.sum())), idf), "signed")
-    labels = linked(links, texts, idf, least)
-    return stored(named.select("id", "node").join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label")), "members")
+    fine = stored(finer(signed, weighed(texts, docs, text_col, n, int(total.sum())), idf), "signed")
+    emptied(every, texts)
+    labels = linked(links, fine, idf, least)
+    members = stored(named.select("id", "node").join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label")), "members")
+    emptied(links, fine)
+    return members
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -736,6 +742,8 @@ def first_of_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op4_near_dedup(spark, sf_dir):
+    """Contract query: doc_id and class_id of every row of ``documents``; see ``classes`` for nulls, empty texts, repeated rows
+    and empty tables."""
     from .common import load
 
     return classes(load(spark, sf_dir, "documents"))

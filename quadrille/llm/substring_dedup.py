@@ -23,6 +23,8 @@ from .common import STEP_BYTES, gram_hashes, word_hashes, words_of
 WINDOW = 13
 #: Blocks of text whose window entries meet in one group of the exchange.
 BLOCKS_PER_SHARD = 10
+#: Blocks that make one report of a task, about.
+BLOCKS_PER_REPORT = 4
 
 
 class _Windows:
@@ -49,7 +51,7 @@ class _Windows:
         self.at, self.doc = inside, doc[inside]
         self.hashes = [h[inside] for h in hashes]
 
-    def entries(self, bits: np.ndarray, ids: np.ndarray):
+    def entries(self, bits: sketch.Bitmaps, ids: np.ndarray):
         """Windows that may repeat, grouped: (their places in ``at``, group of each, then of each group: both hashes, smallest id)."""
         kept = np.flatnonzero(sketch.repeated(bits, self.hashes))
         h, g = self.hashes[0][kept], (self.hashes[1][kept] >> np.uint64(32)).astype(np.uint32)
@@ -83,14 +85,11 @@ def duplicates(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text
     blocks = pack(docs, id_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, block in unpacked(batch):
-                reports = list(sketch.report(_Windows(block, size).hashes))
-                if reports:
-                    yield sketch.report_batch(reports)
+        yield from sketch.reports(_Windows(block, size).hashes for batch in batches for _, block in unpacked(batch))
 
-    bits = spark.sparkContext.broadcast(sketch.merge(blocks.mapInArrow(count, sketch.REPORT)))
-    n_shards = max(8, blocks.count() // BLOCKS_PER_SHARD)
+    n_blocks = blocks.count()
+    bits = spark.sparkContext.broadcast(sketch.merge(blocks.mapInArrow(count, sketch.REPORT), n_blocks // BLOCKS_PER_REPORT + 1))
+    n_shards = max(8, n_blocks // BLOCKS_PER_SHARD)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,8 +5,8 @@ have their anchor at the same offset, so every repeated window is found at a rep
 the text from it to the end of its last window, then the text before it, reversed, back to its first window. Equal
 keys are windows that repeat as a whole; keys that share the 32-gram form a family, a stretch of the sorted order.
 
-Each block of documents sorts its keys to a run, keeps the first of equal ones, and sends runs front-coded, each key
-as the length it shares with the one before and the rest, to ranges of the key order. A range merges its runs with a
+A task sorts the keys of its documents to runs, keeps the first of equal ones, and sends runs front-coded, each key as
+the length it shares with the one before and the rest, to ranges of the key order. A range merges its runs with a
 loser tree that keeps for every loser how much it shares with the winner, so no known prefix is compared again; the
 merge yields the order with its common prefix lengths. Families of different keys are resolved window by window. A
 family that a range may share with its neighbours sends its windows through the same exchange once more.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .blocks import Block, carried, null_ids, pack, unpacked
-from .common import mixed, stored
+from .common import collected, mixed, stored
 
 LENGTH = 100
 GRAM = 32
@@ -34,8 +34,11 @@ BEFORE = LENGTH - GRAM
 #: Bytes of a key: text from the anchor on, text before it, and how long both are.
 KEY = LENGTH + BEFORE + 2
 STEP = 1 << 20
-#: Keys that the driver takes at most to choose the ranges.
-SAMPLE_KEYS = 20_000
+#: Edges of ranges that the driver keeps at most; where more parts are needed, each range is dealt out by 32-gram.
+EDGES = 4096
+#: Sampled keys an edge, blocks of text whose keys meet in one part, keys of which a task makes one run, and blocks that
+#: make one report of it.
+KEYS_PER_EDGE, BLOCKS_PER_PART, HELD, BLOCKS_PER_REPORT = 8, 4, 1 << 16, 12
 ENTRY = np.dtype([("id", np.int64), ("block", np.int64), ("doc", np.int32), ("start", np.int32)])
 SPAN = np.dtype([("doc", np.int32), ("start", np.int32), ("length", np.int32)])
 
@@ -77,10 +80,12 @@ def keys_of(raw: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray
     """The sort keys of anchors, as fixed-size byte strings."""
     right, left = last + LENGTH - at, at - first
     out = np.zeros((len(at), KEY), np.uint8)
-    column = np.arange(LENGTH)
-    out[:, :LENGTH] = np.where(column < right[:, None], raw[np.minimum(at[:, None] + column, len(raw) - 1)], 0)
-    column = np.arange(BEFORE)
-    out[:, LENGTH : KEY - 2] = np.where(column < left[:, None], raw[np.maximum(at[:, None] - 1 - column, 0)], 0)
+    after, before = np.arange(LENGTH, dtype=np.int32), np.arange(BEFORE, dtype=np.int32)
+    for a in range(0, len(at), 2048):
+        b = min(a + 2048, len(at))
+        own = at[a:b, None].astype(np.int32)
+        out[a:b, :LENGTH] = np.where(after < right[a:b, None], raw[np.minimum(own + after, len(raw) - 1)], 0)
+        out[a:b, LENGTH : KEY - 2] = np.where(before < left[a:b, None], raw[np.maximum(own - 1 - before, 0)], 0)
     out[:, KEY - 2], out[:, KEY - 1] = right, left
     return out.view(f"S{KEY}").ravel()
 
@@ -268,34 +273,56 @@ def _batch(rows) -> pa.RecordBatch | None:
 ROW = "part int, block bigint, data binary"
 
 
-def _block_keys(block: Block, bits: np.ndarray):
+def _pieces(block: Block):
+    """(first document, bytes, offsets, bytes before) of runs of documents of about STEP bytes; a longer document comes in
+    pieces that overlap, so that every window of LENGTH bytes is in exactly one."""
+    for a, b, raw, offsets in block.parts(STEP):
+        if b - a > 1 or len(raw) < 2 * STEP:
+            yield a, raw, offsets, 0
+            continue
+        for begin in range(0, len(raw), STEP):
+            own = raw[begin : begin + STEP + LENGTH - 1]
+            yield a, own, np.array([0, len(own)]), begin
+
+
+def _block_keys(block: Block, bits: sketch.Bitmaps):
     """Keys and entries of the anchors of a block that may repeat."""
     keys, entries = [np.zeros(0, f"S{KEY}")], [np.zeros(0, ENTRY)]
-    for a, _, raw, offsets in block.parts(STEP):
+    for a, raw, offsets, begin in _pieces(block):
         at, first, last, doc, h = anchors(raw, offsets)
         kept = np.flatnonzero(sketch.repeated(bits, _sketched(h)))
         at, first, last, doc = at[kept], first[kept], last[kept], doc[kept]
         keys.append(keys_of(raw, at, first, last))
         e = np.zeros(len(kept), ENTRY)
-        e["id"], e["block"], e["doc"], e["start"] = block.ids[doc + a], block.block, doc + a, first - offsets[doc]
+        e["id"], e["block"], e["doc"], e["start"] = block.ids[doc + a], block.block, doc + a, first - offsets[doc] + begin
         entries.append(e)
     return np.concatenate(keys), np.concatenate(entries)
 
 
 def _combined(keys: np.ndarray, entries: np.ndarray):
-    """Sorted keys and entries without those that repeat an earlier one of the same block, and the entries that do.
-    Entries come in order of id, place and start."""
-    order = np.argsort(keys, kind="stable")
+    """Sorted keys and entries of some blocks without those that repeat an earlier one, and the entries that do. Entries come
+    in order of id within their block, then of start."""
+    order = np.argsort(entries["id"], kind="stable")
+    order = order[np.argsort(keys[order], kind="stable")]
     keys, entries = keys[order], entries[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     lead = entries[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
     row = np.ones(len(keys), bool)
-    row[1:] = entries["doc"][1:] != entries["doc"][:-1]
+    row[1:] = (entries["doc"][1:] != entries["doc"][:-1]) | (entries["block"][1:] != entries["block"][:-1])
     gone = ~new & ((entries["id"] > lead["id"]) | ~row)
     return keys[~gone], entries[~gone], keys[gone], entries[gone]
 
 
+def _gram_hashes(keys: np.ndarray) -> np.ndarray:
+    """A hash of the 32-gram that each key begins with, so of its family."""
+    words = keys.view(np.uint8).reshape(-1, KEY)[:, :GRAM].copy().view(np.uint64)
+    h = np.zeros(len(words), np.uint64)
+    for i in range(words.shape[1]):
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[:, i])
+    return h
+
+
 def _right_lengths(keys: np.ndarray) -> np.ndarray:
     m = keys.view(np.uint8).reshape(-1, KEY)
     return m[:, KEY - 2].astype(np.int32) + m[:, KEY - 1]
@@ -306,45 +333,59 @@ def spans_of(blocks: DataFrame) -> DataFrame:
     spark = blocks.sparkSession
 
     def count(batches):
-        for batch in batches:
-            for _, block in unpacked(batch):
-                hashes = [anchors(raw, offsets)[4] for _, _, raw, offsets in block.parts(STEP)]
-                reports = list(sketch.report(_sketched(np.concatenate(hashes)))) if hashes else []
-                if reports:
-                    yield sketch.report_batch(reports)
+        yield from sketch.reports(_sketched(anchors(raw, offsets)[4]) for batch in batches for _, block in unpacked(batch) for _, raw, offsets, _ in _pieces(block))
 
-    bits = spark.sparkContext.broadcast(sketch.merge(blocks.mapInArrow(count, sketch.REPORT)))
+    n_blocks = blocks.count()
+    parts = max(16, n_blocks // BLOCKS_PER_PART)
+    ranges = min(parts, EDGES)
+    deals = -(-parts // ranges)
+    bits = spark.sparkContext.broadcast(sketch.merge(blocks.mapInArrow(count, sketch.REPORT), n_blocks // BLOCKS_PER_REPORT + 1))
 
     def sample(batches):
         for batch in batches:
             for _, block in unpacked(batch):
-                _, _, raw, offsets = next(block.parts(STEP >> 2))
-                at, first, last, _, h = anchors(raw[: 4 * STEP], np.minimum(offsets, 4 * STEP))
+                _, raw, offsets, _ = next(_pieces(block))
+                at, first, last, _, h = anchors(raw, offsets)
                 kept = np.flatnonzero(sketch.repeated(bits.value, _sketched(h)))
                 kept = kept[np.argsort(mixed(at[kept].astype(np.uint64) + np.uint64(block.block)))[:64]]
                 if len(kept):
                     yield pa.RecordBatch.from_arrays([pa.array([k.ljust(KEY, b"\0") for k in keys_of(raw, at[kept], first[kept], last[kept]).tolist()], pa.binary())], names=["key"])
 
-    parts = max(16, blocks.count() // 4)
-    rows = blocks.mapInArrow(sample, "key binary").orderBy(F.xxhash64("key")).limit(SAMPLE_KEYS).collect()
+    # The edges balance the ranges; any would give the same result. A fixed number of keys, whatever the input.
+    rows = collected(blocks.mapInArrow(sample, "key binary").orderBy(F.xxhash64("key")).limit(KEYS_PER_EDGE * EDGES))
     known = sorted(bytes(r["key"]) for r in rows)
-    edges = np.array(sorted({known[len(known) * i // parts] for i in range(1, parts)}) if known else [], f"S{KEY}")
+    edges = np.array(sorted({known[len(known) * i // ranges] for i in range(1, ranges)}) if known else [], f"S{KEY}")
+
+    def runs_of(held):
+        keys, entries, gone_keys, gone = _combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        out = []
+        lengths = _right_lengths(gone_keys) if len(gone) else ()
+        for block in np.unique(gone["block"]).tolist():
+            own = gone["block"] == block
+            spans = np.zeros(int(own.sum()), SPAN)
+            spans["doc"], spans["start"], spans["length"] = gone["doc"][own], gone["start"][own], lengths[own]
+            out.append((block % ((len(edges) + 1) * deals), block, b"S" + zlib.compress(np.sort(spans).tobytes(), 1)))
+        part = np.searchsorted(edges, keys, "right") * deals
+        if deals > 1:
+            part = part + (_gram_hashes(keys) % np.uint64(deals)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            keys, entries, part = keys[order], entries[order], part[order]
+        bounds = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            out.append((int(part[a]), 0, b"R" + front_coded(keys[a:b], entries[a:b], KEY)))
+        return _batch(out)
 
     def send(batches):
+        held, size = [], 0
         for batch in batches:
             for _, block in unpacked(batch):
-                keys, entries, gone_keys, gone = _combined(*_block_keys(block, bits.value))
-                out = []
-                if len(gone):
-                    spans = np.zeros(len(gone), SPAN)
-                    spans["doc"], spans["start"], spans["length"] = gone["doc"], gone["start"], _right_lengths(gone_keys)
-                    out.append((block.block % (len(edges) + 1), block.block, b"S" + zlib.compress(np.sort(spans).tobytes(), 1)))
-                bounds = np.concatenate([[0], np.searchsorted(keys, edges, "left"), [len(keys)]])
-                for p in np.flatnonzero(np.diff(bounds)):
-                    a, b = bounds[p], bounds[p + 1]
-                    out.append((int(p), block.block, b"R" + front_coded(keys[a:b], entries[a:b], KEY)))
-                if (found := _batch(out)) is not None:
-                    yield found
+                held.append(_block_keys(block, bits.value))
+                size += len(held[-1][0])
+                if size >= HELD:
+                    yield runs_of(held)
+                    held, size = [], 0
+        if size:
+            yield runs_of(held)
 
     def resolve(table: pa.Table) -> pa.Table:
         spans, outgoing, out, runs = _Spans(), defaultdict(list), [], []
@@ -365,10 +406,10 @@ def spans_of(blocks: DataFrame) -> DataFrame:
         if family:
             _resolve(family, spans, outgoing)
         out += spans.rows()
-        out += _window_runs(outgoing, len(edges) + 1)
+        out += _window_runs(outgoing, (len(edges) + 1) * deals)
         return pa.Table.from_batches([_batch(out)] if out else [], schema=pa.schema([("part", pa.int32()), ("block", pa.int64()), ("data", pa.binary())]))
 
-    ranges = stored(blocks.mapInArrow(send, ROW).groupBy("part").applyInArrow(resolve, ROW), "suffix-spans")
+    found = stored(blocks.mapInArrow(send, ROW).groupBy("part").applyInArrow(resolve, ROW), "suffix-spans")
 
     def again(table: pa.Table) -> pa.Table:
         spans, group, before = _Spans(), [], None
@@ -381,8 +422,8 @@ def spans_of(blocks: DataFrame) -> DataFrame:
         out = list(spans.rows())
         return pa.Table.from_batches([_batch(out)] if out else [], schema=pa.schema([("part", pa.int32()), ("block", pa.int64()), ("data", pa.binary())]))
 
-    shared = ranges.where("part >= 0").groupBy("part").applyInArrow(again, ROW)
-    return ranges.where("part < 0").unionAll(shared).select("block", "data")
+    shared = found.where("part >= 0").groupBy("part").applyInArrow(again, ROW)
+    return found.where("part < 0").unionAll(shared).select("block", "data")
 
 
 def _window_runs(windows: dict[bytes, list[tuple]], parts: int) -> Iterator[tuple[int, int, bytes]]:
@@ -425,34 +466,48 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     return blocks.join(spans, "block", "left").select("block", "ids", "offsets", "data", "extra", "spans").mapInArrow(remove, fields).withColumnRenamed("doc", id_col)
 
 
+def _intervals(spans: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, begin and end in the block of the maximal runs that ``spans`` cover, none over the end of a document."""
+    spans = np.sort(spans, order=["doc", "start"])
+    doc = spans["doc"]
+    begin = offsets[doc] + spans["start"]
+    # Every end lies within its document, so the furthest end so far tells of this document's spans alone.
+    reach = np.maximum.accumulate(begin + spans["length"]) if len(spans) else begin
+    new = np.ones(len(spans), bool)
+    new[1:] = (begin[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], begin[first], reach[np.append(first[1:], len(spans)) - 1] if len(first) else begin
+
+
 def _result(block: Block, spans: np.ndarray, with_text: bool) -> pa.RecordBatch:
     raw, offsets = block.raw, block.offsets
-    begin = offsets[spans["doc"]] + spans["start"]
-    change = np.bincount(begin, minlength=len(raw) + 1).astype(np.int32) - np.bincount(begin + spans["length"], minlength=len(raw) + 1).astype(np.int32)
-    gone = np.cumsum(change[: len(raw)]) > 0
-    total = np.concatenate([[0], np.cumsum(gone)])
-    removed = total[offsets[1:]] - total[offsets[:-1]]
-    opens = gone.copy()
-    opens[1:] &= ~gone[:-1]
-    edge = offsets[1:-1][offsets[1:-1] < len(raw)]
-    opens[edge] |= gone[edge]
-    runs = np.concatenate([[0], np.cumsum(opens)])
-    left, ends = raw[~gone], offsets - total[offsets]
+    doc, begin, end = _intervals(spans, offsets)
+    stays = np.ones(len(raw), bool)
+    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+        stays[a:b] = False
+    n = len(offsets) - 1
+    removed, runs = np.bincount(doc, end - begin, n).astype(np.int64), np.bincount(doc, minlength=n)
+    left, ends = raw[stays], offsets - np.concatenate([[0], np.cumsum(removed)])
     hashes = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
-    columns = [null_ids(block.ids), pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs[offsets[1:]] - runs[offsets[:-1]]), pa.array(hashes, pa.string())]
+    columns = [null_ids(block.ids), pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs.astype(np.int64)), pa.array(hashes, pa.string())]
     names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if with_text:
-        lead = np.flatnonzero(raw & 0xC0 != 0x80)
-        stays = np.logical_or.reduceat(~gone, lead) if len(lead) else np.zeros(0, bool)
-        keep = np.repeat(stays, np.diff(np.append(lead, len(raw))))
-        count = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        data = raw[keep]
-        columns.append(pa.array([data[a:b].tobytes() for a, b in zip(count, count[1:], strict=False)], pa.binary()).cast(pa.string()))
+        columns.append(pa.array([_characters(raw[a:b], stays[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary()).cast(pa.string()))
         names.append("text")
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _characters(raw: np.ndarray, stays: np.ndarray) -> bytes:
+    """The characters of a text of which a byte stays."""
+    if stays.all():
+        return raw.tobytes()
+    lead = np.flatnonzero(raw & 0xC0 != 0x80)
+    return raw[np.repeat(np.logical_or.reduceat(stays, lead), np.diff(np.append(lead, len(raw))))].tobytes()
+
+
 def op8_suffix_dedup(spark, sf_dir):
+    """Contract query: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every whole text of ``documents``; see ``dedup``
+    for nulls, empty and very long texts, repeated rows and empty tables."""
     from .common import load
 
     return dedup(load(spark, sf_dir, "documents"))

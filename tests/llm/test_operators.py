@@ -67,6 +67,23 @@ def test_suffix_dedup_hot_context(spark):
     assert left[103] == "x" and set(left[106]) <= {"é"}
 
 
+def test_suffix_dedup_long_texts_and_many_parts(spark, monkeypatch):
+    """Texts that are read in pieces, ranges that are dealt out by 32-gram, and a tree of sketches."""
+    from quadrille.llm import sketch
+
+    for module, name, value in ((suffix_dedup, "EDGES", 2), (suffix_dedup, "BLOCKS_PER_REPORT", 1), (sketch, "FAN_IN", 2)):
+        monkeypatch.setattr(module, name, value)
+    rng = np.random.default_rng(13)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    step = suffix_dedup.STEP
+    long = noise(2 * step + 70_000)
+    docs = {0: noise(500), 1: long, 2: noise(30) + long[step - 700 : step + 900] + "é" + long[2 * step - 101 : 2 * step + 30] + noise(40)}
+    docs |= {3 + i: long[500 * i : 500 * i + 130 + i] + noise(30) + long[step - 60 : step + 60] for i in range(60)}
+    docs |= {100: long[step - 99 : step + 1] + noise(10), 101: long[step - 98 : step + 1] + noise(10)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(9)
+    check_removed_bytes(suffix_dedup.dedup(df).collect(), docs)
+
+
 def test_loser_tree_never_misorders():
     rng = np.random.default_rng(5)
     size, runs, every = 12, [], []
