@@ -56,12 +56,13 @@ def set_for(spark: SparkSession, settings: dict[str, str]):
                 spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors. ``options`` are those of
+    Spark's Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with set_for(spark, WHILE_STORED):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**{"compression": "zstd", **(options or {})}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

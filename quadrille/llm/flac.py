@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import steps, text_bytes
+from .common import steps, stored, text_bytes
 
 BLOCK = 192
 SEEK_FRAMES = 8
@@ -431,7 +431,14 @@ def digest_column(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return media.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
+#: How the media table is written. Streams of text bytes hardly shrink, but copies of a text repeat their bytes.
+MEDIA_OPTIONS = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "9", "parquet.block.size": str(32 << 20)}
+
+
 def op5_flac(spark, sf_dir):
+    """Contract query: the media column of ``documents`` is written to the shared folder, and what is read back gives doc_id,
+    n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature; see ``encode_column`` for
+    nulls, empty texts, repeated rows and empty tables."""
     from .common import load
 
-    return digest_column(encode_column(load(spark, sf_dir, "documents")))
+    return digest_column(stored(encode_column(load(spark, sf_dir, "documents")), "media", MEDIA_OPTIONS))
