@@ -1,8 +1,9 @@
 """Quality classifier: similarity-weighted votes of nearest labelled neighbours in a latent semantic space.
 
 Texts become hashed term vectors (words and a few terms that describe their shape), weighted by term frequency and
-inverse document frequency, and are projected on the leading singular vectors of a bounded labelled sample. The
-sample's latent vectors are broadcast; every document's cosines with all of them are exact blocked products.
+inverse document frequency over all documents, and are projected on the leading singular vectors of a bounded labelled
+sample. The sample's latent vectors are broadcast; every document's cosines with all of them are exact blocked products,
+and a neighbour votes with the fourth power of its cosine, so that the nearest count most.
 """
 
 from __future__ import annotations
@@ -15,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_space, steps, text_bytes, word_hashes, words_of
+from .common import collected, is_space, steps, text_bytes, word_hashes, words_of
 
 #: Labelled rows of each class at most that the space is fit on and whose vectors are broadcast.
 SAMPLE_PER_CLASS = 1500
-#: Characters of training text that the driver takes at most, about; longer sampled texts are left out of the sample.
-SAMPLE_CHARS = 20_000
 TERMS = 1 << 14
 DIMENSIONS = 48
 NEIGHBOURS = 25
@@ -93,58 +92,98 @@ def latent(raw: np.ndarray, offsets: np.ndarray, projection: np.ndarray) -> np.n
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """The latent space and labelled vectors of a sample; without rows, a model that scores 0.5."""
-    size = TERMS + SHAPES * SHAPE_STEPS
-    if not texts:
-        return Model(np.zeros((size, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
-    raw, offsets = text_bytes(pa.array(texts, pa.large_string()))
-    parts = [(a, *term_counts(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in steps(offsets)]
-    matrix = np.zeros((len(texts), size), np.float32)
-    for first, doc, term, weight in parts:
-        matrix[doc + first, term] = weight
-    idf = (np.log((1 + len(texts)) / (1 + (matrix > 0).sum(0))) + 1).astype(np.float32)
+#: All terms: hashed words, then the steps of shapes.
+SIZE = TERMS + SHAPES * SHAPE_STEPS
+VECTOR = "terms binary, weights binary"
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], idf: np.ndarray) -> Model:
+    """The latent space and labelled vectors of a sample of (terms, weights, label); without rows, a model that scores 0.5."""
+    if not rows:
+        return Model(np.zeros((SIZE, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
+    matrix = np.zeros((len(rows), SIZE), np.float32)
+    for own, (term, weight, _) in zip(matrix, rows, strict=True):
+        own[term] = weight
     matrix *= idf
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
     dims = min(DIMENSIONS, *matrix.shape)
     # Randomised range finding with two power steps, then an exact decomposition of the small matrix.
-    basis = np.linalg.qr(matrix @ np.random.default_rng(7).standard_normal((size, min(dims + 16, len(texts))), dtype=np.float32))[0]
+    basis = np.linalg.qr(matrix @ np.random.default_rng(7).standard_normal((SIZE, min(dims + 16, len(rows))), dtype=np.float32))[0]
     for _ in range(2):
         basis = np.linalg.qr(matrix @ (matrix.T @ basis))[0]
     right = np.linalg.svd(basis.T @ matrix, full_matrices=False)[2][:dims]
     projection = (right.T * idf[:, None]).astype(np.float32)
     own = matrix @ right.T
-    return Model(projection, own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12), np.array(labels, np.float32))
+    return Model(projection, own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12), np.array([r[2] for r in rows], np.float32))
 
 
 def votes(model: Model, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-    """Scores from 0 to 1: the NEIGHBOURS most similar labelled vectors vote with their cosine (never below 0)."""
+    """Scores from 0 to 1: the most similar labelled vectors vote with the fourth power of their cosine (never below 0).
+
+    Cosines count in steps of 1e-5, and all that are as similar as the last of ``neighbours`` vote with it, so neither
+    ties nor the block that a document is computed in change its score.
+    """
     if not len(model.vectors):
         return np.full(len(vectors), 0.5)
     out = np.empty(len(vectors))
     k = min(neighbours, len(model.vectors))
     for a in range(0, len(vectors), ROWS):
-        similar = vectors[a : a + ROWS] @ model.vectors.T
-        near = np.argpartition(similar, -k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(similar, near, 1), 0).astype(np.float64) ** 4 + 1e-9
-        out[a : a + ROWS] = (weight * model.votes[near]).sum(1) / weight.sum(1)
+        similar = np.round(vectors[a : a + ROWS] @ model.vectors.T, 5)
+        least = np.partition(similar, -k, axis=1)[:, -k]
+        doc, near = np.nonzero(similar >= least[:, None])
+        weight = np.maximum(similar[doc, near], 0).astype(np.float64) ** 4 + 1e-9
+        n = len(similar)
+        out[a : a + ROWS] = np.bincount(doc, weight * model.votes[near], n) / np.bincount(doc, weight, n)
     return np.clip(out, 0, 1)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int]]:
-    """Up to SAMPLE_PER_CLASS labelled texts of each class, first in a seeded order of the labelled ids; only ids
-    whose CRC-32 mod 5 is not 0 are taken, and no text of more than SAMPLE_CHARS characters."""
+def document_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Inverse document frequency of every term, over all documents; one row for each term and task is added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(SIZE + 1, np.int64), 0
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(0))
+            for a, b in steps(offsets):
+                total[:SIZE] += np.bincount(term_counts(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[1], minlength=SIZE)
+            n += batch.num_rows
+        total[SIZE] = n
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(total[met])], names=["term", "n"])
+
+    counts = np.zeros(SIZE + 1)
+    for r in collected(docs.select(text_col).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))):
+        counts[r["term"]] = r["n"]
+    return (np.log((1 + counts[SIZE]) / (1 + counts[:SIZE])) + 1).astype(np.float32)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Terms, weights and label of up to SAMPLE_PER_CLASS labelled documents of each class, first in a seeded order of the
+    labelled ids; only ids whose CRC-32 mod 5 is not 0 are taken. Whole texts of any length become vectors of at most
+    SIZE terms before they leave the executors. Of rows equal in id the smallest text counts."""
     ids = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
     ids = ids.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     picked = None
     for label in (0, 1):
         own = ids.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_PER_CLASS)
         picked = own if picked is None else picked.unionAll(own)
-    # At most 2 * SAMPLE_PER_CLASS pairs of numbers are broadcast, and as many bounded texts come back.
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(2))
+            for a, b in steps(offsets):
+                doc, term, weight = term_counts(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                order = np.lexsort((term, doc))
+                ends = np.searchsorted(doc[order], np.arange(b - a + 1))
+                cut = lambda x, kind: [x[order][i:j].astype(kind).tobytes() for i, j in zip(ends, ends[1:], strict=False)]  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(cut(term, np.int32), pa.binary()), pa.array(cut(weight, np.float32), pa.binary())], names=["id", "label", "terms", "weights"])
+
+    # At most 2 * SAMPLE_PER_CLASS pairs of numbers are broadcast, and as many vectors of at most SIZE terms come back.
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).where(F.length(text) <= SAMPLE_CHARS).select("_id", text.alias("_text"), "_label")
-    rows = sorted((r["_id"], r["_text"], r["_label"]) for r in rows.dropDuplicates(["_id"]).collect())
-    return [r[1] for r in rows], [r[2] for r in rows]
+    rows = docs.select(id_col, text.alias("_text")).join(F.broadcast(picked), F.col(id_col) == F.col("_id")).groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    rows = sorted(collected(rows.select("_id", "_label", "_text").mapInArrow(run, f"id {kind}, label int, {VECTOR}")), key=lambda r: (r["id"], r["label"]))
+    return [(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["weights"], np.float32), r["label"]) for r in rows]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,12 +209,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """``id_col``, held_out (never learned from), score and predicted (1 from THRESHOLD on). Labels that are null, of
     another value or of absent documents do not count; without any label every score is 0.5."""
-    scored = score(docs, fit(*labelled_sample(docs, labels, id_col, text_col, label_col)), id_col, text_col)
+    scored = score(docs, fit(labelled_sample(docs, labels, id_col, text_col, label_col), document_frequencies(docs, text_col)), id_col, text_col)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
     return scored.select(id_col, held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op2_quality_knn(spark, sf_dir):
+    """Contract query: doc_id, held_out, score and predicted of every whole text of ``documents``; see ``classify`` and
+    ``score`` for nulls, empty texts, repeated rows and empty tables."""
     from .common import load
 
     return classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
