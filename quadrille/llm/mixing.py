@@ -97,6 +97,8 @@ def repeated(mixed: DataFrame) -> DataFrame:
 
 
 def op7_mixing(spark, sf_dir):
+    """Contract query: doc_id, size, source_size, target and taken of every row of ``documents``; see ``mix`` for nulls, empty
+    texts, ties, repeated rows and empty tables."""
     from .common import load
 
     docs = mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))

@@ -199,6 +199,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op6_quality_rules(spark, sf_dir):
+    """Contract query: doc_id, the counts, base_failed and kept of every row of ``documents``, and which rule rejects it; see
+    ``judge`` for null and empty texts, repeated rows and empty tables."""
     from .common import load
 
     docs = judge(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels"))

@@ -171,6 +171,8 @@ def _result(block: Block, w: _Windows, gone: np.ndarray, size: int, with_text: b
 
 
 def op9_substring_dedup(spark, sf_dir):
+    """Contract query: doc_id, n_words, n_removed and kept_sha256 of every whole text of ``documents``; see ``duplicates`` for
+    nulls, empty texts, repeated rows and empty tables."""
     from .common import load
 
     return duplicates(load(spark, sf_dir, "documents"))

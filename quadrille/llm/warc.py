@@ -175,6 +175,8 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def op1_warc(spark, sf_dir):
+    """Contract query: writes a record for every row of ``pages`` and returns what is read back; see ``write_archives`` and
+    ``read_archives`` for nulls, ties, repeated rows and empty tables."""
     from .common import load
 
     return read_archives(write_archives(load(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -375,6 +376,13 @@ def test_flac_round_trip(spark, small):
         b = docs[r.doc_id].encode()
         payload = b + b" " * (-len(b) % 192 if b else 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(payload), sha(payload), zlib.crc32(payload[-16:]))
+        stream = flac.encode([payload])[0]
+        x = [c - 128 for c in payload]
+        turns = sum((x[i] * len(x) > sum(x)) != (x[i - 1] * len(x) > sum(x)) for i in range(1, len(x)))
+        assert (r.media_bytes, r.media_sha256) == (len(stream), sha(stream))
+        assert r.feature == f"peak={max(map(abs, x))};mean={1000 * sum(x) // len(x)};energy={1000 * (sum(c * c for c in x) // len(x))};turns={turns}" or r.feature == f"peak={max(map(abs, x))};mean={1000 * sum(x) // len(x)};energy={1000 * sum(c * c for c in x) // len(x)};turns={turns}"
+        if len(payload) < 5000:
+            assert plain_flac(stream) == payload
     blocks = flac.pcm_blocks(flac.encode_column(load(spark, small, "documents").limit(3))).orderBy("doc_id", "sample_offset").collect()
     joined = {}
     for r in blocks:
@@ -383,6 +391,56 @@ def test_flac_round_trip(spark, small):
     assert all(bytes(v).rstrip(b" ") == docs[k].encode().rstrip(b" ") for k, v in joined.items())
 
 
+def plain_flac(stream):
+    """The payload of a stream, read bit by bit from the format's description, without any code of the operator."""
+    at, last = 4, False
+    while not last:
+        last, kind, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
+        if kind == 0:
+            total = int.from_bytes(stream[at + 14 : at + 22], "big") & (1 << 36) - 1
+            md5 = stream[at + 22 : at + 38]
+        at += 4 + size
+    bits = "".join(format(b, "08b") for b in stream[at:])
+    pos, out = 0, []
+
+    def take(n):
+        nonlocal pos
+        pos += n
+        return int(bits[pos - n : pos], 2) if n else 0
+
+    signed = lambda v, n: v - (1 << n) if v >> n - 1 else v
+    while len(out) < total:
+        assert take(15) == 0b111111111111100 and take(1) == 0 and take(4) == 1 and take(4) == 0 and take(4) == 0 and take(3) == 1 and take(1) == 0
+        lead = format(take(8), "08b")
+        for _ in range(max(0, lead.index("0") - 1)):
+            take(8)
+        take(8)
+        assert take(1) == 0
+        kind = take(6)
+        assert take(1) == 0
+        x = []
+        if kind == 0:
+            x = [signed(take(8), 8)] * 192
+        elif kind == 1:
+            x = [signed(take(8), 8) for _ in range(192)]
+        else:
+            order = kind - 8
+            assert 0 <= order <= 4
+            x = [signed(take(8), 8) for _ in range(order)]
+            assert take(2) == 0 and take(4) == 0
+            k = take(4)
+            while len(x) < 192:
+                high = bits.index("1", pos) - pos
+                pos += high + 1
+                z = high << k | take(k)
+                c = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))[order]
+                x.append((z >> 1 ^ -(z & 1)) + sum(a * x[-1 - i] for i, a in enumerate(c)))
+        out += x
+        pos = -(-pos // 8) * 8 + 16
+    assert pos == len(bits) and hashlib.md5(bytes(v & 255 for v in out)).digest() == md5
+    return bytes(v + 128 for v in out)
+
+
 def linear_frame(samples, coefficients, shift):
     """A frame with stored predictor coefficients, written bit by bit."""
     bits = lambda v, n: format(v & (1 << n) - 1, f"0{n}b")
@@ -438,6 +496,29 @@ def test_quality_rules(spark, small):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_verdicts_by_brute_force(spark, small):
+    """``kept`` and ``rule`` of every document from its text and the learned list alone."""
+    rules = quality_rules.learn(quality_rules.labelled_statistics(load(spark, small, "documents"), load(spark, small, "labels")))
+    docs = texts(spark, small)
+    assert rules
+    for r in quality_rules.op6_quality_rules(spark, small).collect():
+        t = docs[r.doc_id]
+        w, lines = WORDS.findall(t), [x for x in t.split("\n") if WORDS.search(x)]
+        n, chars = max(len(w), 1), sum(map(len, w))
+        row = {
+            "symbol_ratio": sum(c in "#*$%&|<>" for c in t) / n,
+            "dup_line_ratio": (len(lines) - len(set(lines))) / max(len(lines), 1),
+            "repeat_ratio": r.n_repeat_words / n,
+            "distinct_ratio": len(set(w)) / n**0.5,
+            "mean_word": chars / n,
+            "upper_ratio": sum(unicodedata.category(c) == "Lu" for c in t) / max(chars, 1),
+            "bang_ratio": sum(c in "!?" for c in t) / n,
+            "line_words": len(w) / max(len(lines), 1),
+        }
+        first = next((i for i, x in enumerate(rules, 1) if x.meets(row)), None)
+        assert r.rule == first and r.kept == (not r.base_failed and first is None)
+
+
 def test_quality_rules_learn(spark):
     rows = quality_rules.labelled_statistics(load(spark, "/root/testdata/sf0.01", "documents"), load(spark, "/root/testdata/sf0.01", "labels"))
     rules = quality_rules.learn(rows)
@@ -455,6 +536,29 @@ def test_quality_knn_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
 
 
+def test_quality_knn_by_brute_force(spark, small):
+    """Frequencies over all documents, and every score, from single documents and all cosines."""
+    docs, df, labels = texts(spark, small), load(spark, small, "documents"), load(spark, small, "labels")
+    terms = {k: quality_knn.term_counts(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for k, t in docs.items()}
+    idf = quality_knn.document_frequencies(df, "text")
+    counts = np.zeros(quality_knn.SIZE)
+    for _, term, _ in terms.values():
+        counts[term] += 1
+    assert np.allclose(idf, np.log((1 + len(docs)) / (1 + counts)) + 1, rtol=1e-5)
+    label = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 5}
+    model = quality_knn.fit(quality_knn.labelled_sample(df, labels, "doc_id", "text", "quality"), idf)
+    assert sorted(model.votes.tolist()) == sorted(float(x) for x in label.values())
+    unit = lambda k: (lambda v: v / max(np.linalg.norm(v), 1e-12))(model.projection[terms[k][1]].astype(float).T @ terms[k][2])
+    known = np.array([unit(k) for k in sorted(label)])
+    vote = np.array([label[k] for k in sorted(label)])
+    for r in quality_knn.op2_quality_knn(spark, small).collect():
+        s = np.round(known @ unit(r.doc_id), 5)
+        near = s >= np.sort(s)[-quality_knn.NEIGHBOURS]
+        w = np.maximum(s, 0) ** 4 + 1e-9
+        assert abs(r.score - (w * vote)[near].sum() / w[near].sum()) < 0.03
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3)
+
+
 def test_votes_are_exact():
     rng = np.random.default_rng(1)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -499,7 +603,7 @@ def test_mixing_hits_targets(spark):
 
 
 def test_url_filters(spark):
-    urls = ["http://Example.COM/en/1", "http://www.example.com/en/1", "https://a.www.example.com/en/", "http://com/x", "http://notcom/x", "http://x.net/es/1", "http://x.net/ES/1", "http://net", "nourl", None, "http://a.org/casino/1?x", "http://casino.org#a", "ftp://İ.com/a#b", "://com/q?r", "http://a.com", "http://x/://com/"]
+    urls = ["http://Example.COM/en/1", "http://www.example.com/en/1", "https://a.www.example.com/en/", "http://com/x", "http://notcom/x", "http://x.net/es/1", "http://x.net/ES/1", "http://net", "nourl", None, "http://a.org/casino/1?x", "http://casino.org#a", "ftp://İ.com/a#b", "://com/q?r", "http://a.com", "http://x/://com/", "http://a.org/free-money", "http://b.org/free/x/money", "http://c.org/d/Setup.EXE?q", "http://c.org/exe/d"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").selectExpr("*", "'x' as host", "'y' as rule")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(df).collect()}
     for i, u in enumerate(urls):
@@ -509,10 +613,29 @@ def test_url_filters(spark):
         host = host.translate({c: c + 32 for c in range(65, 91)})
         fits = [(len(r), r, v) for r, v in (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")) if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
         best = max(fits, default=None)
-        own = "block" if re.search(r"(^|[^0-9a-z])casino([^0-9a-z]|$)", (host + path).lower()) else "allow"
+        own = "block" if re.search(r"(^|[^0-9a-z])casino([^0-9a-z]|$)|free.money|/[^/]*[.]exe$", (host + path).lower()) else "allow"
         assert got[i] == (host, path, best[1] if best else None, best[2] if best else own)
 
 
+def test_url_filters_in_a_joined_index(spark, monkeypatch):
+    """Thousands of rules, in the plan and as a table, against a loop over all of them."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    rules = tuple(url_filters.site("block" if i % 2 else "allow", f"{words[i % 300]}.{words[(i * 7) % 300]}.net/{words[i % 11]}/", True) for i in range(1200))
+    terms = tuple(url_filters.term("block", f"{words[i % 300]} {words[(i * 3 + i // 300) % 300]}") for i in range(600))
+    pick = lambda n: [words[int(x)] for x in rng.integers(0, 300, n)]
+    urls = [f"http://a.{w}.{words[words.index(w) * 7 % 300]}.net/{words[words.index(w) % 11]}/x" for w in pick(100)]
+    urls += [f"http://{a}.org/{b}/{words[words.index(b) * 3 % 300]}.html" for a, b in zip(pick(100), pick(100), strict=True)] + ["http://same.org/x"] * 50
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(df, rules, terms).collect()}
+    for i, u in enumerate(urls):
+        place = u.split("://")[1]
+        own = max(((r.weight, r.name, r.verdict) for r in rules if re.search(r.regex, place)), default=None)
+        other = any(re.search(r.regex, place) for r in terms)
+        assert found[i] == (own[1] if own else None, own[2] if own else "block" if other else "allow")
+    assert {v for _, v in found.values()} == {"allow", "block"} and url_filters.judge(df, (), ()).where("verdict <> 'allow'").isEmpty()
+
+
 def test_odd_rows(spark, odd_docs, odd_labels):
     import public_tokenizers as P
 
