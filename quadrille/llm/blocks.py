@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from .common import steps, stored, text_bytes
 
 BLOCK_BYTES = 3 << 20
+#: Text bytes of the blocks that one task packs in a row, which share a run.
+RUN_BYTES = 48 << 20
 #: Stands for a null id, after all others.
 NO_ID = np.iinfo(np.int64).max
-SCHEMA = "block bigint, ids binary, offsets binary, data binary, extra binary"
+SCHEMA = "block bigint, ids binary, offsets binary, data binary, extra binary, run bigint"
 
 
 @dataclass
@@ -42,6 +44,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     ``carry`` go along as an Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = uuid.uuid4().int >> 65, 0
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             all_ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -49,9 +52,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
                 order = np.argsort(all_ids[a:b], kind="stable") + a
                 parts = [raw[offsets[i] : offsets[i + 1]] for i in order]
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-                values = [[uuid.uuid4().int >> 65], [all_ids[order].tobytes()], [ends.tobytes()], [zstandard.compress(np.concatenate(parts).tobytes(), 3)], [_stream(batch, order)]]
-                kinds = [pa.int64(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "ids", "offsets", "data", "extra"])
+                if size >= RUN_BYTES:
+                    own, size = uuid.uuid4().int >> 65, 0
+                size += int(ends[-1])
+                values = [[uuid.uuid4().int >> 65], [all_ids[order].tobytes()], [ends.tobytes()], [zstandard.compress(np.concatenate(parts).tobytes(), 3)], [_stream(batch, order)], [own]]
+                kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "ids", "offsets", "data", "extra", "run"])
 
     return stored(docs.select(F.col(id_col).cast("long"), text_col, *carry).mapInArrow(run, SCHEMA), "blocks")
 

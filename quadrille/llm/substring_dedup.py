@@ -2,8 +2,9 @@
 
 First pass: merged sketches of all parts overestimate how often each window occurs. Second pass: only windows
 estimated to repeat are grouped exactly, by 96 bits of hash; none that repeats is lost, as a sketch never counts too
-low. Each block of documents sends one entry per distinct window, with its smallest document id, and gets one bit
-back: whether some document elsewhere has a smaller id. Window groups of any size meet as one entry per block.
+low. Each block of documents has one entry per distinct window, with its smallest document id, and gets one bit back: whether
+some document elsewhere has a smaller id. Window groups of any size meet as one entry per block, and a task sends one
+row to a shard for all blocks of a run.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WINDOW = 13
 BLOCKS_PER_SHARD = 10
 #: Blocks that make one report of a task, about.
 BLOCKS_PER_REPORT = 4
+#: Entries that a task sends together.
+HELD = 1 << 20
 
 
 class _Windows:
@@ -91,19 +94,38 @@ def duplicates(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text
     bits = spark.sparkContext.broadcast(sketch.merge(blocks.mapInArrow(count, sketch.REPORT), n_blocks // BLOCKS_PER_REPORT + 1))
     n_shards = max(8, n_blocks // BLOCKS_PER_SHARD)
 
+    def sent(run: int, held: list) -> pa.RecordBatch:
+        """A row for each shard, with the entries of some blocks of a run, one block after the other."""
+        names = np.array([name for name, *_ in held], np.int64)
+        h, g, smallest = (np.concatenate(x) for x in zip(*[x[1:] for x in held], strict=True))
+        of = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
+        shard = np.concatenate([np.repeat(np.arange(n_shards), np.diff(_shards(x[1], n_shards))) for x in held])
+        order = np.argsort(shard, kind="stable")
+        h, g, smallest, of, shard = h[order], g[order], smallest[order], of[order], shard[order]
+        rows = []
+        bounds = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            ids, index = np.unique(smallest[a:b], return_inverse=True)
+            sizes = np.bincount(of[a:b], minlength=len(held)).astype(np.int32)
+            rows.append((int(shard[a]), run, names.tobytes(), sizes.tobytes(), h[a:b].tobytes(), g[a:b].tobytes(), ids.tobytes(), index.astype(np.uint32 if len(ids) > 0xFFFF else np.uint16).tobytes()))
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "run", "blocks", "sizes", "h", "g", "ids", "index"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, run = [], 0, None
         for batch in batches:
-            for _, block in unpacked(batch):
+            for i, block in unpacked(batch):
+                own = batch.column(5)[i].as_py()
+                if n and (own != run or n >= HELD):
+                    yield sent(run, held)
+                    held, n = [], 0
+                run = own
                 _, _, h, g, smallest = _Windows(block, size).entries(bits.value, block.ids)
-                bounds = _shards(h, n_shards)
-                rows = []
-                for s in np.flatnonzero(np.diff(bounds)):
-                    a, b = bounds[s], bounds[s + 1]
-                    ids, index = np.unique(smallest[a:b], return_inverse=True)
-                    rows.append((int(s), block.block, h[a:b].tobytes(), g[a:b].tobytes(), ids.tobytes(), index.astype(np.uint32 if len(ids) > 0xFFFF else np.uint16).tobytes()))
-                if rows:
-                    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "block", "h", "g", "ids", "index"])
+                if len(h):
+                    held.append((block.block, h, g, smallest))
+                    n += len(h)
+        if n:
+            yield sent(run, held)
 
     def group(table: pa.Table) -> pa.Table:
         hs, gs, ids, sizes = [], [], [], []
@@ -122,10 +144,12 @@ def duplicates(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text
         earlier[order] = least[np.cumsum(new) - 1] < smallest[order]
         ends = np.cumsum(sizes)
         answers = [np.packbits(earlier[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "earlier": pa.array(answers, pa.binary())})
+        return pa.table({**{c: table.column(c) for c in ("run", "shard", "blocks", "sizes")}, "earlier": pa.array(answers, pa.binary())})
 
-    answers = blocks.mapInArrow(send, "shard int, block bigint, h binary, g binary, ids binary, index binary").groupBy("shard").applyInArrow(group, "block bigint, shard int, earlier binary")
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "earlier")).alias("answers"))
+    entries = blocks.mapInArrow(send, "shard int, run bigint, blocks binary, sizes binary, h binary, g binary, ids binary, index binary")
+    answers = entries.groupBy("shard").applyInArrow(group, "run bigint, shard int, blocks binary, sizes binary, earlier binary")
+    # An answer has one bit an entry; those of a run go along with each of its blocks.
+    answers = answers.groupBy("run").agg(F.collect_list(F.struct("shard", "blocks", "sizes", "earlier")).alias("answers"))
     fields = "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string" * with_text
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +159,15 @@ def duplicates(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text
                 kept, groups, h, _, smallest = w.entries(bits.value, block.ids)
                 earlier, bounds = np.zeros(len(h), bool), _shards(h, n_shards)
                 for x in batch.column(4)[i].as_py() or ():
-                    a, b = bounds[x["shard"]], bounds[x["shard"] + 1]
-                    earlier[a:b] = np.unpackbits(np.frombuffer(x["earlier"], np.uint8), count=b - a)
+                    own = np.flatnonzero(np.frombuffer(x["blocks"], np.int64) == block.block)
+                    if len(own):
+                        a, b = bounds[x["shard"]], bounds[x["shard"] + 1]
+                        first = int(np.frombuffer(x["sizes"], np.int32)[: own[0]].sum())
+                        earlier[a:b] = np.unpackbits(np.frombuffer(x["earlier"], np.uint8), count=first + b - a)[first:]
                 gone = kept[earlier[groups] | (block.ids[w.doc[kept]] > smallest[groups])]
                 yield _result(block, w, gone, size, with_text)
 
-    return blocks.join(answers, "block", "left").select("block", "ids", "offsets", "data", "answers").mapInArrow(remove, fields).withColumnRenamed("doc", id_col)
+    return blocks.join(answers, "run", "left").select("block", "ids", "offsets", "data", "answers").mapInArrow(remove, fields).withColumnRenamed("doc", id_col)
 
 
 def _result(block: Block, w: _Windows, gone: np.ndarray, size: int, with_text: bool) -> pa.RecordBatch:
