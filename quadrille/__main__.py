@@ -9,11 +9,11 @@ from pathlib import Path
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quadrille", description=__doc__)
-    p.add_argument("query", nargs="?", help="file of the query; - is standard input")
+    p.add_argument("query", nargs="?", help="file of the query or update; - is standard input")
     p.add_argument("-e", "--exec", help="the query itself")
     p.add_argument("-D", "--data", action="append", default=[], help="RDF file of the default graph")
     p.add_argument("-G", "--named", action="append", default=[], help="RDF file of a named graph, as IRI=FILE")
-    p.add_argument("-F", "--data-format", default="guess", choices=["guess", "ntriples", "turtle"])
+    p.add_argument("-F", "--data-format", default="guess", choices=["guess", "ntriples", "turtle", "trig", "rdfxml"])
     p.add_argument("-r", "--results", default="table", help="format of the results")
     p.add_argument("-R", "--read", help="read this stored result instead of running a query")
     p.add_argument("-i", "--language", default="sparql")
@@ -32,14 +32,17 @@ def main(argv: list[str] | None = None) -> int:
     text = a.exec or (sys.stdin.read() if a.query in (None, "-") else Path(a.query).read_text())
     from .plans import writer
     from .plans.algebra import tree
-    from .plans.parser import SparqlSyntaxError, parse
+    from .plans.parser import SparqlSyntaxError, parse_any
 
     try:
-        q = parse(text, language=a.language)
+        q = parse_any(text, language=a.language)
     except SparqlSyntaxError as e:
         print(e, file=sys.stderr)
         return 1
-    if a.dump:
+    update = isinstance(q, list)
+    if a.dump and update:
+        print("\n".join(map(str, q)))
+    elif a.dump:
         print(tree(q.root) if a.dump == "algebra" else writer.query_text(q))
     if a.dry_run:
         return 0
@@ -61,6 +64,10 @@ def main(argv: list[str] | None = None) -> int:
     for pair in a.named:
         iri, _, path = pair.rpartition("=")
         engine.load(path, iri, a.data_format)
+    if update:
+        # What the default graph holds afterwards.
+        engine.update(text)
+        text = "CONSTRUCT WHERE { ?s ?p ?o }"
     print(engine.prepare(text, language=a.language).write(a.results), end="")
     return 0
 

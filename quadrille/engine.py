@@ -14,7 +14,7 @@ from .plans import writer
 from .plans.algebra import BNode, Iri, Query, Slice, Triple, Var, tree
 from .plans.parser import LANGUAGES, SparqlSyntaxError, parse, parse_update
 from .sources import formats
-from .sources.quads import SCHEMA, QuadsFrame, from_triples, read_ntriples, read_turtle
+from .sources.quads import SCHEMA, QuadsFrame, format_of, from_triples, read_document, read_ntriples
 
 #: What tells quads apart.
 KEY = ["kg", "ks", "p", "ko"]
@@ -131,9 +131,13 @@ class Engine:
         self.seed, self.unknown_false, self.warn = seed, unknown_functions_false, warn
 
     def load(self, path: str, graph: str | None = None, format: str = "guess") -> None:
-        """Adds triples of a file to the default graph or the graph named."""
-        kind = format if format != "guess" else "turtle" if path.endswith((".ttl", ".n3", ".turtle")) else "ntriples"
-        self.add((read_turtle if kind == "turtle" else read_ntriples)(self.spark, path, graph))
+        """Adds triples of a file to the default graph or the graph named. ``format``: turtle, trig, rdfxml, ntriples (quads
+        too) or guess, by the ending and else by the first line."""
+        kind = format
+        if kind == "guess":
+            first = "" if "." in path.rsplit("/", 1)[-1] else "\n".join(r["value"] for r in self.spark.read.text(path).limit(3).collect())
+            kind = format_of(path, first)
+        self.add(read_ntriples(self.spark, path, graph) if kind == "ntriples" else read_document(self.spark, path, kind, graph))
 
     def add(self, quads: DataFrame) -> None:
         """Adds quads; a graph is a set, so what is there already, or comes twice, is added once."""

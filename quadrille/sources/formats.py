@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from ..functions.values import BLANK, IRI
 from ..plans.algebra import RDF, XSD, BNode, Iri, Lit, Triple, show
 from ..plans.parser import _Parser
+from .documents import parse_rdfxml
 from .quads import cell, parse_turtle
 
 WRITERS = ["xml", "srj", "json", "csv", "tsv", "html", "table", "turtle", "rdfxml", "ntriples"]
-READERS = ["xml", "srj", "json", "csv", "tsv", "turtle"]
+READERS = ["xml", "srj", "json", "csv", "tsv", "turtle", "rdfxml"]
 NS = "http://www.w3.org/2005/sparql-results#"
 RS = "http://www.w3.org/2001/sw/DataAccess/tests/result-set#"
 _MIME = {"application/sparql-results+xml": "xml", "application/sparql-results+json": "srj", "text/csv": "csv", "text/tab-separated-values": "tsv", "text/html": "html", "text/turtle": "turtle", "application/rdf+xml": "rdfxml"}
@@ -42,6 +43,8 @@ def guess(name: str | None = None, mime: str | None = None, content: str | None
             return "tsv"
         if start.startswith("@prefix"):
             return "turtle"
+        if re.match(r"[A-Za-z_]\w*(,[A-Za-z_]\w*)*\r?\n", start):
+            return "csv"
     return None
 
 
@@ -148,7 +151,7 @@ def write_boolean(answer: bool, format: str) -> str:
             return word + "\n"
         case "html":
             return f"<!DOCTYPE html>\n<html><body><p>{word}</p></body></html>\n"
-        case "turtle" | "ntriples":
+        case "turtle" | "ntriples" | "rdfxml":
             return write_graph([(BNode("set"), Iri(RDF + "type"), Iri(RS + "ResultSet")), (BNode("set"), Iri(RS + "boolean"), Lit(word, None, XSD + "boolean"))], format)
     raise ValueError(f"no writer for a truth value as {format}")
 
@@ -209,6 +212,8 @@ def read(content: str, format: str):
             return names, [[_from_turtle(c) for c in line.split("\t")] for line in lines[1:]]
         case "turtle":
             return _from_result_set(parse_turtle(content))
+        case "rdfxml":
+            return _from_result_set(parse_rdfxml(content))
     raise ValueError(f"no reader for {format}")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import BLANK, IRI, LITERAL, Value
 from ..plans.algebra import XSD, BNode, Iri, Lit, Triple, Var
-from ..plans.parser import SparqlSyntaxError, _Parser
+from .documents import PARSERS, parse_turtle
 
 TERM_TYPE = T.StructType([T.StructField("kind", T.ByteType()), T.StructField("lex", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("dt", T.StringType())])
 SCHEMA = T.StructType([T.StructField("g", T.StringType()), T.StructField("s", TERM_TYPE), T.StructField("p", T.StringType()), T.StructField("o", TERM_TYPE)])
@@ -32,10 +32,19 @@ def from_triples(spark: SparkSession, quads: list) -> DataFrame:
 
 
 def _unescaped(c):
-    """The text of an escaped literal. Its escapes are those of a JSON string, besides \\' and the 8-digit form."""
-    plain = F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
-    read = F.get_json_object(F.concat(F.lit('{"v":"'), F.regexp_replace(plain, "\t", r"\\t"), F.lit('"}')), "$.v")
-    wrong = F.raise_error(F.concat(F.lit("escapes that only read_turtle reads: "), F.substring(c, 1, 200))).cast("string")
+    """The text of an escaped literal. Its escapes are those of a JSON string, besides \\' and the 8-digit form, of which
+    the latter becomes a pair of 4-digit ones above the first 2 ** 16 characters."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\'", "$1'"), r"(?<!\\)((?:\\\\)*)\\U0000([0-9A-Fa-f]{4})", r"$1\\u$2")
+    parts = F.split(plain, r"(?=\\U[0-9A-Fa-f]{8})")
+
+    def joined(x):
+        code = F.conv(F.substring(x, 3, 8), 16, 10).cast("bigint") - 0x10000
+        high, low = F.lpad(F.hex((code / 1024).cast("bigint") + 0xD800), 4, "0"), F.lpad(F.hex(F.pmod(code, F.lit(1024)) + 0xDC00), 4, "0")
+        return F.when(x.startswith("\\U"), F.concat(F.lit("\\u"), high, F.lit("\\u"), low, F.substring(x, F.lit(11), F.length(x)))).otherwise(x)
+
+    paired = F.when(plain.contains("\\U"), F.array_join(F.transform(parts, joined), "")).otherwise(plain)
+    read = F.get_json_object(F.concat(F.lit('{"v":"'), F.regexp_replace(paired, "\t", r"\\t"), F.lit('"}')), "$.v")
+    wrong = F.raise_error(F.concat(F.lit("escapes of another form: "), F.substring(c, 1, 200))).cast("string")
     return F.when(c.contains("\\"), F.coalesce(read, wrong)).otherwise(c)
 
 
@@ -56,33 +65,9 @@ def read_ntriples(spark: SparkSession, path: str, graph: str | None = None) -> D
     return lines.where(known).select(name.alias("g"), subject.alias("s"), part(3).alias("p"), value.alias("o"))
 
 
-def parse_turtle(text: str, base: str | None = None) -> list[Triple]:
-    """Triples of a Turtle document: directives, property and object lists, collections and blank nodes."""
-    p = _Parser(text, base)
-    out: list[Triple] = []
-    while p.i < len(p.tokens):
-        p.prologue()
-        if p.i >= len(p.tokens):
-            break
-        if p.kind() == "lang" and p.value() in ("@prefix", "@base"):
-            if p.take() == "@base":
-                p.base = p.iri().value
-            else:
-                prefix = p.take()[:-1]
-                p.prefixes[prefix] = p.iri().value
-            p.need(".")
-            continue
-        found = p.triples(blank=False)
-        if not found:
-            p.fail("triples")
-        out += found
-    if any(isinstance(x, Var) for t in out for x in (t.s, t.p, t.o)):
-        raise SparqlSyntaxError("a variable in data", 1)
-    return out
-
-
-def read_turtle(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
-    """Turtle files, each parsed as a whole on an executor; blank node labels keep apart by file."""
+def read_document(spark: SparkSession, path: str, format: str, graph: str | None = None) -> DataFrame:
+    """Turtle, TriG or RDF/XML files, each parsed as a whole on an executor; blank node labels keep apart by file. ``graph``
+    names the triples without a graph of their own."""
 
     def parse(frames):
         import hashlib
@@ -93,13 +78,29 @@ def read_turtle(spark: SparkSession, path: str, graph: str | None = None) -> Dat
             for name, content in zip(frame["path"], frame["content"], strict=True):
                 mark = hashlib.md5(name.encode()).hexdigest()[:8]
                 own = lambda t: BNode(f"{mark}.{t.label}") if isinstance(t, BNode) else t  # noqa: B023, E731
-                rows = [(graph, cell(own(t.s)), t.p.value, cell(own(t.o))) for t in parse_turtle(bytes(content).decode(), name)]
+                rows = [(graph if g is None else g, cell(own(t.s)), t.p.value, cell(own(t.o))) for g, t in PARSERS[format](bytes(content).decode(), name)]
                 named = lambda c: dict(zip(("kind", "lex", "lang", "dt"), c, strict=True))
                 yield pd.DataFrame([(g, named(s), p, named(o)) for g, s, p, o in rows], columns=["g", "s", "p", "o"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SCHEMA)
 
 
+def read_turtle(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
+    return read_document(spark, path, "turtle", graph)
+
+
+def format_of(path: str, start: str = "") -> str:
+    """The format of RDF data by the ending of the path, else by the first characters."""
+    ending = path.rsplit(".", 1)[-1].lower()
+    known = {"ttl": "turtle", "n3": "turtle", "turtle": "turtle", "trig": "trig", "rdf": "rdfxml", "owl": "rdfxml", "xml": "rdfxml", "nt": "ntriples", "nq": "ntriples", "ntriples": "ntriples", "nquads": "ntriples"}
+    if ending in known:
+        return known[ending]
+    start = start.lstrip()
+    if start.startswith("<?xml") or "rdf:RDF" in start:
+        return "rdfxml"
+    return "turtle" if start.startswith(("@prefix", "@base", "PREFIX", "BASE")) else "ntriples"
+
+
 class QuadsFrame:
     """A graph source over a quads DataFrame; a pattern without GRAPH meets the quads without a graph name."""
 
@@ -162,3 +163,6 @@ class QuadsFrame:
 
     def everything(self) -> DataFrame:
         return self.visible(None).drop("g")
+
+
+__all__ = ["QuadsFrame", "cell", "format_of", "from_triples", "parse_turtle", "read_document", "read_ntriples", "read_turtle"]

@@ -205,3 +205,31 @@ def test_a_graph_is_a_set(spark):
 def test_exists_takes_outer_values_below_union(engine):
     text = "SELECT ?x { VALUES ?x { 1 2 } FILTER %s { { VALUES ?z { 1 } FILTER(?z = ?x) } UNION { VALUES ?z { 9 } FILTER(?z = ?x) } } }"
     assert ask(engine, text % "EXISTS") == ["(1,)"] and ask(engine, text % "NOT EXISTS") == ["(2,)"]
+
+
+def test_reads_every_rdf_format(spark, tmp_path):
+    """The same triples from each format, by ending and by content; 8-digit escapes too."""
+    files = {
+        "a.nt": '<http://e/a> <http://e/p> "\\U0001F600 \\u00e9 \\\'q\\\'" .\n<http://e/a> <http://e/q> <http://e/b> .\n',
+        "a.ttl": "@prefix : <http://e/> . :a :p '😀 é \\'q\\'' ; :q :b .",
+        "a.trig": "@prefix : <http://e/> . { :a :p '😀 é \\'q\\'' } :a :q :b .",
+        "a.rdf": '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://e/"><rdf:Description rdf:about="http://e/a"><p>😀 é \'q\'</p><q rdf:resource="http://e/b"/></rdf:Description></rdf:RDF>',
+        "xml": '<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://e/"><rdf:Description rdf:about="http://e/a"><p>😀 é \'q\'</p><q rdf:resource="http://e/b"/></rdf:Description></rdf:RDF>',
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_text(content)
+        e = Engine(spark)
+        e.load(str(tmp_path / name))
+        assert ask(e, "SELECT ?p ?o { :a ?p ?o }") == ["('http://e/p', \"😀 é 'q'\")", "('http://e/q', 'http://e/b')"], name
+
+
+def test_rdfxml_result_sets():
+    rows = [[Iri("http://e/a"), Lit("x", "en")], [BNode("b"), None]]
+    names, found = formats.read(formats.write_bindings(("s", "t"), rows, "rdfxml"), "rdfxml")
+    assert sorted(names) == ["s", "t"] and [r[names.index("t")] for r in found if isinstance(r[names.index("s")], Iri)] == [Lit("x", "en")]
+    assert formats.read(formats.write_boolean(True, "rdfxml"), "rdfxml") is True and formats.guess(content="a,b\n1,2\n") == "csv"
+
+
+def test_command_line_updates(capsys):
+    assert main(["-e", "PREFIX : <http://e/> INSERT DATA { :a :b 1, 1 }", "-r", "ntriples"]) == 0
+    assert capsys.readouterr().out == f'<http://e/a> <http://e/b> "1"^^<{XSD}integer> .\n'

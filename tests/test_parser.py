@@ -77,3 +77,46 @@ def test_turtle():
     got = parse_turtle('@prefix : <http://e/> . :a :b "x"@en , 2 ; a :C . [] :p ( 1 ) .')
     assert got[0] == Triple(Iri("http://e/a"), Iri("http://e/b"), Lit("x", "en")) and len(got) == 6
     assert sum(isinstance(t.s, BNode) for t in got) == 3 and not any(isinstance(x, Var) for t in got for x in (t.s, t.p, t.o))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT * { _:a ?p 1 { _:a ?q 2 } }",
+        "SELECT * { _:a ?p 1 OPTIONAL { ?x ?q 2 } _:a ?r 3 }",
+        "SELECT * { _:a ?p 1 . { ?x ?q 2 } UNION { _:a ?r 3 } }",
+        "SELECT * { ?x ?p ?v FILTER ?v }",
+        "PREFIX ex:ex: <http://e/> SELECT * { ?x ex:ex:p ?v }",
+    ],
+)
+def test_refused(text):
+    with pytest.raises(SparqlSyntaxError):
+        parse(text)
+
+
+def test_accepted():
+    assert len(parse("SELECT * { _:a ?p 1 FILTER(?p != 2) _:a ?q 3 . _:a ?r 123. . }").triples) == 3
+    q = parse("SELECT ?\\u0061 { ?a <http://e/\\u00e9> \"\\u0022\" }")
+    assert q.names == ("a",) and q.triples[0].p.value == "http://e/é" and q.triples[0].o.lex == '"'
+    assert parse("PREFIX : <http://e/> SELECT * { ?x :re\u0301sume\u0301 ?y }").triples[0].p.value == "http://e/re\u0301sume\u0301"
+    from quadrille.plans.parser import parse_any
+
+    assert isinstance(parse_any("PREFIX : <http://e/> INSERT DATA { :a :b 1 }"), list) and parse_any("ASK {}").form == "ask"
+
+
+def test_rdf_documents():
+    from quadrille.plans.algebra import RDF, BNode, Iri, Lit
+    from quadrille.sources.documents import parse_rdfxml, parse_trig
+
+    text = f"""<rdf:RDF xmlns:rdf="{RDF}" xmlns:e="http://e/" xml:base="http://b/d">
+      <e:Thing rdf:about="a" e:size="big"><e:name xml:lang="en">A</e:name><e:n rdf:datatype="http://t">1</e:n><e:next rdf:resource="#z"/>
+        <e:part><rdf:Description rdf:ID="p"><e:of rdf:nodeID="m"/></rdf:Description></e:part>
+        <e:box rdf:parseType="Resource"><e:w>2</e:w></e:box><e:list rdf:parseType="Collection"><rdf:Description rdf:about="i"/></e:list></e:Thing>
+      <rdf:Bag rdf:nodeID="m"><rdf:li>x</rdf:li><rdf:li>y</rdf:li></rdf:Bag></rdf:RDF>"""
+    found = {(t.s, t.p.value, t.o) for t in parse_rdfxml(text)}
+    a = Iri("http://b/a")
+    assert {(a, RDF + "type", Iri("http://e/Thing")), (a, "http://e/size", Lit("big")), (a, "http://e/name", Lit("A", "en")), (a, "http://e/n", Lit("1", None, "http://t"))} <= found
+    assert {(a, "http://e/next", Iri("http://b/d#z")), (a, "http://e/part", Iri("http://b/d#p")), (Iri("http://b/d#p"), "http://e/of", BNode("nm")), (BNode("nm"), RDF + "_2", Lit("y"))} <= found
+    assert sum(p == RDF + "first" for _, p, _ in found) == 1 and len(found) == 15
+    quads = parse_trig("@prefix : <http://e/> . :a :p 1 . { :b :p 2 } :g { :c :p 3, 4 . } GRAPH :h { :d :p [] }")
+    assert [g for g, _ in quads] == [None, None, "http://e/g", "http://e/g", "http://e/h"]
