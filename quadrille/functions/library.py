@@ -9,11 +9,12 @@ from urllib.parse import urljoin
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.algebra import RDF, XSD
+from ..plans.algebra import RDF, USER_AGGREGATES, XSD
 from .values import BLANK, DECIMAL, DOUBLES, INTEGERS, IRI, LITERAL, NUMERIC, RANKS, Value, as_term, compare, decimal_of, double_of, double_text, instant, is_number, is_plain, lit_null, number_term, rank_of, same_term, term, text, truth, truth_value, utc
 
 BUILTINS: dict[str, Callable[..., Value]] = {}
 EXTENSIONS: dict[str, Callable[..., Value]] = {}
+AGGREGATES: dict[str, tuple[Callable[..., Column], str]] = {}
 #: Seconds from 1970 that a timestamp holds, about.
 MAX_SECONDS = 9_000_000_000_000
 
@@ -32,6 +33,12 @@ def register(iri: str, function: Callable[..., Column], kind: str = "string") ->
     EXTENSIONS[iri] = lambda *args: Value(kind, function(*map(text, args)))
 
 
+def register_aggregate(iri: str, function: Callable[..., Column], kind: str = "string") -> None:
+    """A user's aggregate: called with columns of the lexical forms of its arguments, gives an aggregate column of ``kind``."""
+    USER_AGGREGATES.add(iri)
+    AGGREGATES[iri] = (function, kind)
+
+
 def string(v: Value) -> Column:
     """The text of a string literal, with or without a language; NULL for any other cell."""
     if v.kind == "string":
@@ -421,4 +428,4 @@ def cast(iri: str, a: Value) -> Value | None:
     return Value("term", term(LITERAL, lexical, None, F.lit(iri)))
 
 
-__all__ = ["BUILTINS", "EXTENSIONS", "NUMERIC", "cast", "choose", "compare", "register"]
+__all__ = ["AGGREGATES", "BUILTINS", "EXTENSIONS", "NUMERIC", "cast", "choose", "compare", "register", "register_aggregate"]

@@ -10,7 +10,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.library import BUILTINS, EXTENSIONS, cast, iri
+from ..functions.library import AGGREGATES, BUILTINS, EXTENSIONS, cast, iri
 from ..functions.values import NATIVE, RANKS, TERM, Value, arithmetic, as_term, compare, constant, decimal_of, double_of, number_term, rank_of, same_key, same_term, sort_columns, text, truth, unify
 from ..plans.algebra import XSD, Aggregate, Bgp, BNode, Call, Distinct, Exists, Extend, Filter, Graph, Group, Iri, Join, LeftJoin, Lit, Minus, OrderBy, Project, Service, Slice, Union, Values, Var, in_scope, walk
 
@@ -430,6 +430,9 @@ class Compiler:
                 return [F.count_distinct(put(0, F.struct(*every) if every else F.lit(1))).alias(name(0))], Value("integer", F.col(name(0)))
             return [F.count(F.lit(1)).alias(name(0))], Value("integer", F.col(name(0)))
         args = [self.expression(e, r.cells, graph) for e in a.args]
+        if a.name in AGGREGATES:
+            function, kind = AGGREGATES[a.name]
+            return [function(*[put(k, text(x)) for k, x in enumerate(args)]).alias(name(0))], Value(kind, F.col(name(0)))
         v = args[0]
         if a.name == "COUNT":
             return [(F.count_distinct if a.distinct else F.count)(put(0, same_key(v))).alias(name(0))], Value("integer", F.col(name(0)))

@@ -49,6 +49,10 @@ class Aggregate:
     separator: str = " "
 
 
+#: IRIs of aggregates that users registered: a call of one is an aggregate.
+USER_AGGREGATES: set[str] = set()
+
+
 @dataclass(frozen=True)
 class Exists:
     pattern: object

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .functions.library import register, register_aggregate
+from .plans.algebra import Lit
 from .sources.catalog import BASE, mapping
 from .sources.quads import QuadsFrame
 
+register(BASE + "reversed", F.reverse)
+register_aggregate(BASE + "longest", lambda c: F.max(F.length(c).cast("bigint")), "integer")
 PREFIX = f"PREFIX : <{BASE}>\nPREFIX xsd: <http://www.w3.org/2001/XMLSchema#>\n"
 TABLE_QUERIES: dict[str, tuple[str, str | None]] = {
     # patterns
@@ -91,6 +95,8 @@ TABLE_QUERIES: dict[str, tuple[str, str | None]] = {
     "concat_languages": ("SELECT ?k (LANG(CONCAT(?a, ?b)) AS ?l) (STR(CONCAT(?a, ?b)) AS ?t) WHERE { ?x :doc_id ?k ; :lang ?g ; :source ?s BIND(STRLANG(?s, ?g) AS ?a) BIND(STRLANG(\"-\", \"en\") AS ?b) }", "select doc_id as k, case when lower(lang) = 'en' then lang else '' end as l, source || '-' as t from documents where lang is not null and source is not null"),
     "blank_node_list": ("SELECT ?n ?r WHERE { [ :n_regionkey [ :r_name ?r ] ; :n_name ?n ] }", "select n_name as n, r_name as r from nation join region on n_regionkey = r_regionkey"),
     "base_iri": ("BASE <http://example.org/> SELECT ?n WHERE { ?x <n_name> ?n ; <n_regionkey> <region/2> }", "select n_name as n from nation where n_regionkey = 2"),
+    "extension_function": ("SELECT ?k (:reversed(?n) AS ?r) WHERE { ?p :p_partkey ?k ; :p_name ?n }", "select p_partkey as k, reverse(p_name) as r from part"),
+    "user_aggregate": ("SELECT ?b (:longest(?n) AS ?l) (COUNT(*) AS ?c) WHERE { ?p :p_brand ?b ; :p_name ?n } GROUP BY ?b", "select p_brand as b, cast(max(length(p_name)) as bigint) as l, count(*) as c from part group by p_brand"),
     # EXISTS with variables of the outer row at any depth
     "exists_union": ("SELECT ?k WHERE { ?c :c_custkey ?k ; :c_acctbal ?b FILTER EXISTS { { ?o :o_custkey ?c ; :o_totalprice ?t FILTER(?t > ?b * 60) } UNION { ?o :o_custkey ?c ; :o_totalprice ?t FILTER(?t < ?b / 2) } } }", "select c_custkey as k from customer where exists (select 1 from orders where o_custkey = c_custkey and (o_totalprice > c_acctbal * 60 or o_totalprice < c_acctbal / 2))"),
     "not_exists_union": ("SELECT ?k WHERE { ?c :c_custkey ?k ; :c_acctbal ?b FILTER NOT EXISTS { { ?o :o_custkey ?c ; :o_totalprice ?t FILTER(?t > ?b * 60) } UNION { ?o :o_custkey ?c ; :o_totalprice ?t FILTER(?t < ?b / 2) } } }", "select c_custkey as k from customer where not exists (select 1 from orders where o_custkey = c_custkey and (o_totalprice > c_acctbal * 60 or o_totalprice < c_acctbal / 2))"),
@@ -196,6 +202,25 @@ def _after(update: str, query: str, graphs: bool = False) -> Callable[[SparkSess
     return run
 
 
+class _Suppliers:
+    """A service client that answers from here, as an endpoint would: names of two regions and a note on each."""
+
+    def select(self, endpoint: str, query: str) -> list[dict]:
+        return [{"n": Lit("ASIA"), "note": Lit("east")}, {"n": Lit("EUROPE"), "note": Lit("west")}]
+
+
+def serviced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a service joined with a table."""
+    engine = Engine(spark, mapping(spark, sf_dir), service=_Suppliers(), warn=False)
+    return _result(engine, "SELECT ?k ?note WHERE { ?r :r_name ?n . ?x :n_regionkey ?r ; :n_nationkey ?k SERVICE <http://e/s> { ?n :note ?note } }")
+
+
+def bound_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prepared query that runs with a variable bound from outside."""
+    q = Engine(spark, mapping(spark, sf_dir), warn=False).prepare(PREFIX + "SELECT ?k WHERE { ?c :c_custkey ?k ; :c_mktsegment ?m FILTER(?m = ?wanted) }")
+    return q.dataframe({"wanted": Lit("BUILDING")})
+
+
 #: Updates, the query that looks at what they made, whether tables are named graphs, and SQL.
 UPDATES: dict[str, tuple[str, str, bool, str]] = {
     "update_sequence": (
@@ -223,5 +248,10 @@ UPDATES: dict[str, tuple[str, str, bool, str]] = {
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
     {n: _over_tables(t) for n, (t, _) in TABLE_QUERIES.items()} | {n: _over_quads(t) for n, (t, _) in QUAD_QUERIES.items()} | {n: _after(u, q, graphs) for n, (u, q, graphs, _) in UPDATES.items()}
+    | {"service": serviced, "initial_bindings": bound_before}
 )
 ORACLES = {n: sql for n, (_, sql) in (TABLE_QUERIES | QUAD_QUERIES).items() if sql} | {n: sql for n, (*_, sql) in UPDATES.items()}
+ORACLES |= {
+    "service": "select cast(n_nationkey as bigint) as k, case r_name when 'ASIA' then 'east' else 'west' end as note from nation join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE')",
+    "initial_bindings": "select c_custkey as k from customer where c_mktsegment = 'BUILDING'",
+}

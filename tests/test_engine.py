@@ -233,3 +233,12 @@ def test_rdfxml_result_sets():
 def test_command_line_updates(capsys):
     assert main(["-e", "PREFIX : <http://e/> INSERT DATA { :a :b 1, 1 }", "-r", "ntriples"]) == 0
     assert capsys.readouterr().out == f'<http://e/a> <http://e/b> "1"^^<{XSD}integer> .\n'
+
+
+def test_user_aggregates(engine):
+    from pyspark.sql import functions as F
+
+    from quadrille.functions.library import register_aggregate
+
+    register_aggregate("http://e/longest", lambda c: F.max_by(c, F.length(c)))
+    assert ask(engine, "SELECT (:longest(?q) AS ?l) (COUNT(*) AS ?n) { ?x :q ?q FILTER(LANG(?q) != 'en' && STRLEN(STR(?q)) != 3) }") == ["('01', 3)"]
