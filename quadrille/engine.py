@@ -15,6 +15,7 @@ from .plans.algebra import BNode, Iri, Query, Slice, Triple, Var, tree
 from .plans.parser import LANGUAGES, SparqlSyntaxError, parse, parse_update
 from .sources import formats
 from .sources.quads import SCHEMA, QuadsFrame, format_of, from_triples, read_document, read_ntriples
+from .sources.tables import TableMapping
 
 #: What tells quads apart.
 KEY = ["kg", "ks", "p", "ko"]
@@ -85,7 +86,10 @@ class Prepared:
 
     def _describe(self, bindings) -> DataFrame:
         """Concise bounded descriptions: triples of each target, and of blank nodes they lead to."""
-        every = self.engine.source_of(self.query).everything()
+        source = self.engine.source_of(self.query)
+        if isinstance(source, TableMapping) and all(isinstance(t, Iri) for t in self.query.targets):
+            return source.about(tuple(t.value for t in self.query.targets))
+        every = source.everything()
         r = self.relation(bindings)
         nodes = None
         for t in self.query.targets:
@@ -93,7 +97,7 @@ class Prepared:
             nodes = one if nodes is None else nodes.unionAll(one)
         keyed = every.withColumns({"k": F.col("s.kind"), "l": F.col("s.lex")})
         found = keyed.join(nodes.where("n is not null").select(F.col("n.kind").alias("k"), F.col("n.lex").alias("l")).distinct(), ["k", "l"], "left_semi")
-        while True:
+        while not isinstance(source, TableMapping):  # tables have no blank nodes
             blanks = found.where(F.col("o.kind") == BLANK).select(F.col("o.kind").alias("k"), F.col("o.lex").alias("l")).distinct()
             more = blanks.join(found.select("k", "l").distinct(), ["k", "l"], "left_anti")
             if more.isEmpty():
@@ -102,6 +106,7 @@ class Prepared:
             if keyed.join(more, ["k", "l"], "left_semi").isEmpty():
                 return found.select("s", "p", "o")
             found = grown
+        return found.select("s", "p", "o")
 
     def execute(self, bindings: dict | None = None):
         """A DataFrame of bindings or triples, or the truth of an ASK; EXPLAIN prints the plan first."""

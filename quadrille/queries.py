@@ -56,6 +56,9 @@ TABLE_QUERIES: dict[str, tuple[str, str | None]] = {
     "subselect_limit": ("SELECT ?n ?r WHERE { ?x :n_regionkey ?y ; :n_name ?n { SELECT ?y ?r WHERE { ?y :r_name ?r } ORDER BY ?r LIMIT 2 } }", "select n_name as n, r_name as r from nation join (select * from region order by r_name limit 2) on n_regionkey = r_regionkey"),
     "graph_named": (f"SELECT ?n WHERE {{ GRAPH <{BASE}nation> {{ ?x :n_name ?n }} }}", "select n_name as n from nation"),
     "graph_variable": ("SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?x :r_name ?n1 } } GROUP BY ?g", f"select '{BASE}region' as g, count(*) as n from region"),
+    "same_column_in_tables": ("SELECT ?t (COUNT(*) AS ?n) WHERE { ?x :text ?text ; a ?t } GROUP BY ?t", f"select '{BASE}documents' as t, count(text) as n from documents union all select '{BASE}benchmark', count(text) from benchmark union all select '{BASE}conversations', count(text) from conversations"),
+    "labels_of_documents": ("SELECT ?d ?q ?l WHERE { ?x :doc_id ?d ; :lang ?l . ?y :doc_id ?d ; :quality ?q }", "select d.doc_id as d, cast(quality as bigint) as q, lang as l from documents d join labels l on d.doc_id = l.doc_id where lang is not null and quality is not null"),
+    "page_urls": ("SELECT ?k (STRBEFORE(STRAFTER(?u, \"://\"), \"/\") AS ?host) WHERE { ?p :page_id ?k ; :url ?u }", "select page_id as k, case when instr(substr(url, instr(url, '://') + 3), '/') > 0 and instr(url, '://') > 0 then split_part(substr(url, instr(url, '://') + 3), '/', 1) else '' end as host from pages where url is not null"),
     # filters and expressions
     "filter_and_or_not": ("SELECT ?k WHERE { ?p :p_partkey ?k ; :p_size ?s ; :p_retailprice ?r FILTER((?s < 5 || ?s >= 45) && !(?r > 1500) && ?s != 47) }", "select p_partkey as k from part where (p_size < 5 or p_size >= 45) and not (p_retailprice > 1500) and p_size <> 47"),
     "compare_all": ("SELECT ?k (?s = 10 AS ?eq) (?s != 10 AS ?ne) (?s < 10 AS ?lt) (?s > 10 AS ?gt) (?s <= 10 AS ?le) (?s >= 10 AS ?ge) WHERE { ?p :p_partkey ?k ; :p_size ?s }", "select p_partkey as k, p_size = 10 as eq, p_size <> 10 as ne, p_size < 10 as lt, p_size > 10 as gt, p_size <= 10 as le, p_size >= 10 as ge from part"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,11 +16,21 @@ from ..plans.algebra import RDF, Iri, Lit, Triple, Var
 
 @dataclass(frozen=True)
 class Table:
-    """A table: its frame, key columns (joined by ``-``), and foreign keys as column -> table name."""
+    """A table: its frame or what opens it, key columns (joined by ``-``), foreign keys as column -> table name, and the names
+    of its columns; with those it is opened only when a pattern reads it."""
 
-    frame: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     key: tuple[str, ...]
     links: dict[str, str] = field(default_factory=dict)
+    names: tuple[str, ...] | None = None
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
+
+    @cached_property
+    def columns(self) -> tuple[str, ...]:
+        return self.names or tuple(f.name for f in self.frame.schema.fields if type(f.dataType) in KINDS)
 
 
 KINDS = {T.LongType: "integer", T.IntegerType: "integer", T.ShortType: "integer", T.ByteType: "integer", T.DoubleType: "double", T.FloatType: "double", T.StringType: "string", T.BooleanType: "boolean", T.TimestampType: "dateTime", T.TimestampNTZType: "dateTime", T.DateType: "date", T.DecimalType: "decimal"}
@@ -31,7 +43,11 @@ class TableMapping:
 
     def __init__(self, tables: dict[str, Table], base: str = "http://example.org/"):
         self.tables, self.base = tables, base
-        self.columns = {base + c: (name, c) for name, t in tables.items() for c in t.frame.columns if type(t.frame.schema[c].dataType) in KINDS}
+        #: The tables that have each column.
+        self.columns: dict[str, set[str]] = {}
+        for name, t in tables.items():
+            for c in t.columns:
+                self.columns.setdefault(base + c, set()).add(name)
         self._quads = None
 
     def dataset(self, default: tuple[str, ...], named: tuple[str, ...]):
@@ -54,21 +70,20 @@ class TableMapping:
         return Value(kind, F.col(column).cast("bigint") if kind == "integer" else (from_fields(F.col(column)) if isinstance(table.frame.schema[column].dataType, T.TimestampNTZType) else F.col(column)) if kind == "dateTime" else F.col(column).cast("double") if kind == "double" else F.col(column))
 
     def _table_of(self, star: list[Triple], graph) -> str | None:
-        found = set()
+        """The one table whose rows can be the subject of all these triples; None if none or several can."""
+        found = set(self.tables)
         for t in star:
             if not isinstance(t.p, Iri):
                 return None
             if t.p.value == RDF + "type":
                 if not isinstance(t.o, Iri):
                     return None
-                found.add(t.o.value.removeprefix(self.base))
-            elif t.p.value in self.columns:
-                found.add(self.columns[t.p.value][0])
+                found &= {t.o.value.removeprefix(self.base)}
             else:
-                return None
+                found &= self.columns.get(t.p.value, set())
         if isinstance(graph, Iri):
-            found.add(graph.value.removeprefix(self.base))
-        return found.pop() if len(found) == 1 and found <= set(self.tables) else None
+            found &= {graph.value.removeprefix(self.base)}
+        return found.pop() if len(found) == 1 else None
 
     def bgp(self, triples: tuple[Triple, ...], graph, compiler):
         stars: dict = {}
@@ -98,7 +113,7 @@ class TableMapping:
         for t in star:
             if t.p.value == RDF + "type":
                 continue
-            column = self.columns[t.p.value][1]
+            column = t.p.value.removeprefix(self.base)
             v = self.value(name, column)
             if isinstance(t.o, Var):
                 df = df.where(F.col(column).isNotNull())
@@ -116,13 +131,23 @@ class TableMapping:
             cells[graph.name] = Value("iri", F.lit(self.base + name))
         return compiler.rel(df, cells)
 
+    def about(self, iris: tuple[str, ...]) -> DataFrame:
+        """The triples (s, p, o) of some subjects, from the rows of their tables alone."""
+        out = None
+        for name, table in self.tables.items():
+            keys = [i.removeprefix(self.template(name)) for i in iris if i.startswith(self.template(name))]
+            if keys:
+                one = TableMapping({name: Table(table.frame.where(self.key(name).cast("string").isin(keys)), table.key, table.links, table.names)}, self.base).everything()
+                out = one if out is None else out.unionAll(one)
+        return self.everything().where(F.lit(False)) if out is None else out
+
     def quads(self) -> DataFrame:
         """All triples as quads: a union of one scan for each predicate of each table."""
         if self._quads is None:
             parts = []
             for name, table in self.tables.items():
                 subject = as_term(Value("key", self.key(name), self.template(name)))
-                cells = {RDF + "type": Value("iri", F.lit(self.base + name))} | {self.base + c: self.value(name, c) for c in table.frame.columns if self.base + c in self.columns}
+                cells = {RDF + "type": Value("iri", F.lit(self.base + name))} | {self.base + c: self.value(name, c) for c in table.columns}
                 # A part for each predicate: a pattern with a constant one prunes all other parts, and so their columns.
                 for p, v in cells.items():
                     parts.append(table.frame.select(F.lit(self.base + name).alias("g"), subject.alias("s"), F.lit(p).alias("p"), as_term(v).alias("o")).where(F.col("o").isNotNull()))
@@ -133,8 +158,7 @@ class TableMapping:
         return self._quads
 
     def graph_names(self) -> DataFrame:
-        first = next(iter(self.tables.values())).frame.sparkSession
-        return first.createDataFrame([(self.base + n,) for n in self.tables], "g string")
+        return SparkSession.active().createDataFrame([(self.base + n,) for n in self.tables], "g string")
 
     def everything(self) -> DataFrame:
         return self.quads().drop("g")
