@@ -669,3 +669,42 @@ def test_odd_rows_have_defined_results(spark, odd_docs):
     page = spark.createDataFrame([(5, "u", "y" * 2000), (9, None, "y" * 2000), (9, None, "y" * 2000), (None, "u", "y" * 2000), (3, "u", "z"), (4, "u", "z"), (6, "u", None)], "page_id bigint, url string, html string")
     rows = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(warc.write_archives(page)).collect()), key=str)
     assert rows == sorted([(5, "revisit", 9, 2000), (9, "response", None, 2000), (9, "response", None, 2000), (None, "revisit", 9, 2000), (3, "response", None, 1), (4, "response", None, 1), (6, "response", None, 0)], key=str)
+
+
+def test_every_odd_row_has_the_result_of_its_text(spark, odd_docs, odd_labels):
+    """Each row, null or repeated ids included, gives what its text alone gives; clashing columns change nothing."""
+    import public_tokenizers as P
+    import tiktoken
+
+    rows = [(r.doc_id, r.text or "") for r in odd_docs.select("doc_id", "text").collect()]
+    same = lambda found, expected: sorted(map(str, found)) == sorted(map(str, expected))
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.parse_ranks(byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))), special_tokens={})
+    coded = byte_bpe.encode_documents(odd_docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True)
+    assert same([(r.doc_id, r.n_tokens, list(r.ids), r.decoded_sha256) for r in coded.collect()], [(k, len(ids := reference.encode_ordinary(t)), ids, sha(t.encode())) for k, t in rows])
+    padded = lambda t: t.encode() + b" " * (-len(t.encode()) % 192 if t else 192)
+    media = flac.digest_column(flac.stored(flac.encode_column(odd_docs), "media", flac.MEDIA_OPTIONS))
+    assert same([(r.doc_id, r.n_bytes, r.payload_sha256) for r in media.collect()], [(k, len(t.encode()), sha(padded(t))) for k, t in rows])
+    words = [(k, WORDS.findall(t)) for k, t in rows]
+    judged = quality_rules.judge(odd_docs, odd_labels).collect()
+    assert same([(r.doc_id, r.n_words, r.word_chars) for r in judged], [(k, len(w), sum(map(len, w))) for k, w in words])
+    assert not any(r.kept for r in judged if r.n_words < 10) and all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in judged)
+    scored = quality_knn.classify(odd_docs, odd_labels).collect()
+    of_text = {}
+    for r, (_, t) in zip(sorted(scored, key=lambda r: str(r.doc_id)), sorted(rows, key=lambda x: str(x[0])), strict=True):
+        if r.doc_id is not None:
+            assert of_text.setdefault(t, r.score) == r.score and 0 <= r.score <= 1
+        assert r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0)
+    mixed = mixing.mix(odd_docs).collect()
+    assert same([(r.doc_id, r["size"]) for r in mixed], [(k, len(w)) for k, w in words]) and all(r.copies in (0, 1, 2) for r in mixed)
+    assert len({r.copies for r in mixed if r.doc_id == 7}) == 1
+    # Windows that also start in a smaller id go, and rows of equal id keep theirs; null ids come last.
+    order = lambda k: (k is None, k or 0)
+    first = {}
+    for k, w in sorted(words, key=lambda x: order(x[0])):
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), k)
+    expected = []
+    for k, w in words:
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] != k for j in range(i, i + 13)}
+        expected.append((k, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone).encode())))
+    assert same([tuple(r) for r in substring_dedup.duplicates(odd_docs).collect()], expected)
