@@ -3,7 +3,9 @@
 Encoding tries the fixed predictors of order 0 to 4 for each frame of 192 samples and codes the residual with one
 Rice parameter. Streams carry a seek table with a point every 8 frames. Decoding starts at every seek point at
 once and goes through the frames in lockstep: it parses headers, reads Rice codes, runs the linear predictor
-(fixed or stored coefficients), and verifies both checksums of every frame and the MD5 of the stream.
+(fixed or stored coefficients), and verifies both checksums of every frame and the MD5 of the stream. Streams of any
+other form that FLAC allows (more channels, other sample sizes and blocks, several Rice partitions) are read too, frame
+after frame, with the same checks.
 """
 
 from __future__ import annotations
@@ -188,8 +190,12 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return [_stream(frames, offsets[a : b + 1], signed[a * BLOCK : b * BLOCK]) for a, b in zip(firsts, firsts[1:], strict=False)]
 
 
+class OtherForm(ValueError):
+    """A valid stream of another form than ``encode`` writes."""
+
+
 def header(media: bytes) -> dict:
-    """Stream header and seek points of a file."""
+    """Stream header and seek points of a file; ``plain`` where it may be of the form that ``encode`` writes."""
     if media[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
     at, last, out = 4, False, {"points": np.zeros((0, 2), np.int64)}
@@ -204,11 +210,152 @@ def header(media: bytes) -> dict:
             out["points"] = np.stack([table["sample"].astype(np.int64), table["byte"].astype(np.int64)], 1)
         at += 4 + size
     out["audio"] = at
-    if (out["channels"], out["bits"], out["block"]) != (1, 8, BLOCK):
-        raise ValueError("only mono streams of 8-bit samples in blocks of 192 are read")
+    if "samples" not in out:
+        raise ValueError("a FLAC stream without a stream header")
+    out["plain"] = (out["channels"], out["bits"], out["block"], out["samples"] % BLOCK) == (1, 8, BLOCK, 0) and out["samples"] > 0
+    return out
+
+
+#: Block sizes, sample rates and sample sizes by the codes of frame headers; None: written after the header.
+BLOCK_SIZES = (None, 192, 576, 1152, 2304, 4608, None, None, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768)
+SAMPLE_BITS = (None, 8, 12, None, 16, 20, 24, 32)
+
+
+class _Bits:
+    """Reads numbers bit by bit."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.end = data, at * 8, len(data) * 8
+
+    def take(self, n: int) -> int:
+        a, self.at = self.at, self.at + n
+        if self.at > self.end:
+            raise ValueError("a frame is cut off")
+        return int.from_bytes(self.data[a >> 3 : self.at + 7 >> 3], "big") >> (-self.at & 7) & (1 << n) - 1 if n else 0
+
+    def signed(self, n: int) -> int:
+        v = self.take(n)
+        return v - (1 << n) if n and v >> n - 1 else v
+
+    def zeros(self) -> int:
+        """The length of a run of zeros; the one that ends it is read too."""
+        n = 0
+        while True:
+            step = min(32, self.end - self.at)
+            if step <= 0:
+                raise ValueError("a residual never ends")
+            v = self.take(step)
+            if v:
+                self.at -= v.bit_length() - 1
+                return n + step - v.bit_length()
+            n += step
+
+
+def _residual(b: _Bits, block: int, order: int) -> list[int]:
+    """Rice residuals in any number of partitions; a partition may hold plain numbers instead."""
+    method = b.take(2)
+    if method > 1:
+        raise ValueError("an unknown coding method")
+    width, partitions, out = 4 + method, 1 << b.take(4), []
+    for i in range(partitions):
+        n = block // partitions - (order if i == 0 else 0)
+        k = b.take(width)
+        if k == (1 << width) - 1:
+            size = b.take(5)
+            out += [b.signed(size) for _ in range(n)]
+            continue
+        for _ in range(n):
+            z = b.zeros() << k | b.take(k)
+            out.append(z >> 1 ^ -(z & 1))
     return out
 
 
+def _subframe(b: _Bits, block: int, bits: int) -> list[int]:
+    if b.take(1):
+        raise ValueError("a subframe of unknown kind")
+    kind = b.take(6)
+    wasted = b.zeros() + 1 if b.take(1) else 0
+    bits -= wasted
+    if kind == 0:
+        x = [b.signed(bits)] * block
+    elif kind == 1:
+        x = [b.signed(bits) for _ in range(block)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 31 if kind >= 32 else kind - 8
+        x = [b.signed(bits) for _ in range(order)]
+        weights, shift = FIXED[order] if kind < 32 else (), 0
+        if kind >= 32:
+            precision, shift = b.take(4) + 1, b.signed(5)
+            weights = [b.signed(precision) for _ in range(order)]
+        for r in _residual(b, block, order):
+            x.append(r + (sum(w * x[-1 - i] for i, w in enumerate(weights)) >> shift))
+    else:
+        raise ValueError("a subframe of unknown kind")
+    return [v << wasted for v in x] if wasted else x
+
+
+def _any_frame(b: _Bits, head: dict) -> list[list[int]]:
+    """The channels of the next frame."""
+    begin = b.at >> 3
+    if b.take(15) != 0x7FFC:
+        raise ValueError("a frame header is missing")
+    b.take(1)
+    size, rate, channels, bits = b.take(4), b.take(4), b.take(4), b.take(3)
+    b.take(1)
+    for _ in range(_more_bytes(b)):
+        b.take(8)
+    block = BLOCK_SIZES[size] if size not in (6, 7) else b.take(8 if size == 6 else 16) + 1
+    if rate >= 12:
+        b.take(8 if rate == 12 else 16)
+    width = SAMPLE_BITS[bits] if bits else head["bits"]
+    if block is None or width is None or channels > 10:
+        raise ValueError("a frame header of unknown form")
+    data = np.frombuffer(b.data, np.uint8)
+    end = b.at >> 3
+    if header_crcs(data, np.array([begin]), np.array([end]))[0] != b.take(8):
+        raise ValueError("a frame header's checksum is wrong")
+    side = {8: 1, 9: 0, 10: 1}.get(channels)
+    x = [_subframe(b, block, width + (i == side)) for i in range(2 if channels >= 8 else channels + 1)]
+    b.at += -b.at & 7
+    end = b.at >> 3
+    if frame_crcs(data, np.array([begin]), np.array([end]))[0] != b.take(16):
+        raise ValueError("a frame's checksum is wrong")
+    if channels == 8:
+        x[1] = [p - q for p, q in zip(*x, strict=True)]
+    elif channels == 9:
+        x[0] = [p + q for p, q in zip(*x, strict=True)]
+    elif channels == 10:
+        x = [list(z) for z in zip(*(((2 * m + (s & 1) + s) >> 1, (2 * m + (s & 1) - s) >> 1) for m, s in zip(*x, strict=True)), strict=True)]
+    return x
+
+
+def _more_bytes(b: _Bits) -> int:
+    """How many bytes follow the first of a frame's number, which is read."""
+    lead = b.take(8)
+    return 0 if lead < 0x80 else 7 - (0xFF ^ lead).bit_length()
+
+
+def decode_any(media: bytes) -> np.ndarray:
+    """The samples of a stream of any form, int32: one dimension, or samples x channels of several channels."""
+    head, parts, n = header(media), [], 0
+    b = _Bits(media + bytes(2), head["audio"])
+    b.end -= 16
+    while n < head["samples"] or not head["samples"] and b.end - b.at >= 48:
+        frame = np.array(_any_frame(b, head), np.int64).T
+        parts.append(frame)
+        n += len(frame)
+    x = np.concatenate(parts).astype(np.int32) if parts else np.zeros((0, head["channels"]), np.int32)
+    size = (head["bits"] + 7) // 8
+    if any(head["md5"]) and hashlib.md5(pcm_bytes(x, size)).digest() != head["md5"]:
+        raise ValueError("the samples' MD5 is wrong")
+    return x[:, 0] if x.shape[1] == 1 else x
+
+
+def pcm_bytes(x: np.ndarray, size: int) -> bytes:
+    """Samples as signed little-endian numbers of ``size`` bytes, the channels of a sample together."""
+    return x.astype("<i4").reshape(-1, 1).view(np.uint8)[:, :size].tobytes()
+
+
 #: Leading zeros of each 16-bit number.
 _ZEROS = (16 - np.frexp(np.arange(1 << 16))[1]).astype(np.uint8)
 
@@ -233,7 +380,7 @@ def _decode_chains(data: np.ndarray, at: np.ndarray, frames: np.ndarray, numbers
         own = np.flatnonzero(frames > step)
         begin = at[own]
         if (data[begin] != 0xFF).any() or (data[begin + 1] != 0xF8).any() or (data[begin + 2] != 0x10).any() or (data[begin + 3] != 0x02).any():
-            raise ValueError("a frame header is missing or of another form")
+            raise OtherForm("a frame header is missing or of another form")
         lead = data[begin + 4].astype(np.int64)
         extra = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC], [0, 1, 2, 3, 4], 5)
         number = np.where(extra == 0, lead, lead & (0x3F >> extra))
@@ -293,7 +440,7 @@ def _rice(kind: np.ndarray, q: np.ndarray, o: int, take, at_bit) -> tuple[np.nda
             weights[i, lin] = c - ((c >> (precision - 1)) << precision)
             q[lin] += precision
     if (take(q, 6) != 0).any():
-        raise ValueError("only one Rice partition of 4-bit parameters is read")
+        raise OtherForm("more than one Rice partition, or other parameters")
     k = take(q + 6, 4)
     q = q + 10
     k64, one, top, flip = k.astype(np.uint64), np.uint64(1), np.uint64(48), (63 - k).astype(np.uint64)
@@ -326,8 +473,22 @@ def _rice(kind: np.ndarray, q: np.ndarray, o: int, take, at_bit) -> tuple[np.nda
 
 
 def decode(media: list[bytes]) -> list[np.ndarray]:
-    """The samples (int16) of each stream; raises ValueError where a checksum or a header is wrong."""
+    """The samples of each stream; raises ValueError where a checksum or a header is wrong.
+
+    Streams of the form that ``encode`` writes are decoded together (int16), others one by one (see ``decode_any``).
+    """
     heads = [header(m) for m in media]
+    plain = [i for i, h in enumerate(heads) if h["plain"]]
+    out: list = [None] * len(media)
+    try:
+        for i, x in zip(plain, _decode_together([media[i] for i in plain], [heads[i] for i in plain]), strict=True):
+            out[i] = x
+    except OtherForm:
+        pass
+    return [decode_any(m) if x is None else x for x, m in zip(out, media, strict=True)]
+
+
+def _decode_together(media: list[bytes], heads: list[dict]) -> list[np.ndarray]:
     audio = [np.frombuffer(m, np.uint8, offset=h["audio"]) for m, h in zip(media, heads, strict=True)]
     firsts = np.concatenate([[0], np.cumsum([len(a) for a in audio])]).astype(np.int64)
     at, frames, numbers = [], [], []
@@ -380,17 +541,19 @@ def _in_groups(column: pa.Array, limit: int = 3 << 20):
 
 
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", block_samples: int = 8 * BLOCK) -> DataFrame:
-    """The decoded samples in blocks: ``id_col``, sample_offset and pcm (bytes of signed 8-bit samples)."""
+    """The decoded samples in blocks: ``id_col``, sample_offset and pcm (signed little-endian samples of whole
+    bytes, the channels of a sample together)."""
 
     def run(batches):
         for batch in batches:
             for first, group in _in_groups(batch.column(1)):
                 ids, at, pcm = [], [], []
                 for i, x in enumerate(decode(group), first):
+                    size = (header(group[i - first])["bits"] + 7) // 8
                     for begin in range(0, len(x), block_samples):
                         ids.append(i)
                         at.append(begin)
-                        pcm.append(x[begin : begin + block_samples].astype(np.int8).tobytes())
+                        pcm.append(pcm_bytes(x[begin : begin + block_samples], size))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(at, pa.int64()), pa.array(pcm, pa.binary())], names=[id_col, "sample_offset", "pcm"])
 
     return media.select(id_col, "media").mapInArrow(run, f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, sample_offset bigint, pcm binary")

@@ -467,6 +467,67 @@ def test_flac_stored_coefficients():
     assert flac.decode([stream])[0].tolist() == samples
 
 
+def general_stream(x, bits, block, assignment):
+    """A stream written bit by bit from the format's description: two channels, predictor order 2, Rice partitions of which
+    one is plain, and checksums from their definitions."""
+
+    def crc(data, width, poly):
+        c = 0
+        for byte in data:
+            c ^= byte << width - 8
+            for _ in range(8):
+                c = (c << 1 ^ poly if c >> width - 1 & 1 else c << 1) & (1 << width) - 1
+        return c
+
+    word = lambda v, n: format(v & (1 << n) - 1, f"0{n}b") if n else ""
+    frames = b""
+    for number, at in enumerate(range(0, len(x), block)):
+        part = x[at : at + block]
+        left, right = part[:, 0].astype(int), part[:, 1].astype(int)
+        channels = {1: (left, right), 8: (left, left - right), 9: (left - right, right), 10: (left + right >> 1, left - right)}[assignment]
+        head = word(0x7FFC, 15) + "0" + word(7, 4) + word(0, 4) + word(assignment, 4) + word(4, 3) + "0" + word(number, 8) + word(len(part) - 1, 16)
+        head = int(head, 2).to_bytes(len(head) // 8, "big")
+        out = ""
+        for i, c in enumerate(channels):
+            width, n = bits + (assignment != 1 and i == (0 if assignment == 9 else 1)), len(c)
+            out += "0" + word(10, 6) + "0" + word(c[0], width) + word(c[1], width) + word(1, 2) + word(2, 4)
+            r = [int(c[j]) - 2 * int(c[j - 1]) + int(c[j - 2]) for j in range(2, n)]
+            for k in range(4):
+                own = r[max(0, n // 4 * k - 2) : n // 4 * (k + 1) - 2]
+                if k == 2:
+                    out += word(31, 5) + word(20, 5) + "".join(word(v, 20) for v in own)
+                else:
+                    out += word(6 + k, 5)
+                    for v in own:
+                        z = 2 * v if v >= 0 else -2 * v - 1
+                        out += "0" * (z >> 6 + k) + "1" + word(z, 6 + k)
+        out += "0" * (-len(out) % 8)
+        body = head + bytes([crc(head, 8, 7)]) + int(out, 2).to_bytes(len(out) // 8, "big")
+        frames += body + crc(body, 16, 0x8005).to_bytes(2, "big")
+    md5 = hashlib.md5(x.astype("<i2").tobytes()).digest()
+    info = block.to_bytes(2, "big") * 2 + bytes(6) + (44100 << 44 | 1 << 41 | bits - 1 << 36 | len(x)).to_bytes(8, "big") + md5
+    return b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info + frames
+
+
+@pytest.mark.parametrize("assignment", [1, 8, 9, 10])
+def test_flac_streams_of_other_forms(spark, assignment):
+    n = 1000
+    x = np.stack([3000 * np.sin(np.arange(n) / 9), 2900 * np.sin(np.arange(n) / 9 + 0.1)], 1).astype(np.int32)
+    stream = general_stream(x, 16, 400, assignment)
+    own = flac.encode([b"ab" * 96])[0]
+    both = flac.decode([stream, own])
+    assert (both[0] == x).all() and bytes((both[1] + 128).astype(np.uint8)) == b"ab" * 96
+    for at in (len(stream) // 2, len(stream) - 1):
+        broken = bytearray(stream)
+        broken[at] ^= 8
+        with pytest.raises(ValueError):
+            flac.decode([bytes(broken)])
+    if assignment == 10:
+        df = spark.createDataFrame([(1, bytearray(stream))], "doc_id bigint, media binary")
+        rows = flac.pcm_blocks(df, block_samples=300).orderBy("sample_offset").collect()
+        assert [r.sample_offset for r in rows] == [0, 300, 600, 900] and b"".join(bytes(r.pcm) for r in rows) == x.astype("<i2").tobytes()
+
+
 def test_warc_reader():
     big = b"<p>" + b"x" * 300_000
     archive = warc.write_record(1, "http://a/\r\nX: y", big) + warc.write_record(2, None, b"") + warc.write_record(3, "http://b/", big, 1)
