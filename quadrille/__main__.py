@@ -16,6 +16,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-F", "--data-format", default="guess", choices=["guess", "ntriples", "turtle", "trig", "rdfxml"])
     p.add_argument("-r", "--results", default="table", help="format of the results")
     p.add_argument("-R", "--read", help="read this stored result instead of running a query")
+    p.add_argument("--compare", help="compare the result that -R names with this one; exit code 1 if they differ")
+    p.add_argument("--diff", default="unified", choices=["unified", "json", "xml"], help="how to print differences")
     p.add_argument("-i", "--language", default="sparql")
     p.add_argument("-n", "--dry-run", action="store_true", help="check the query only")
     p.add_argument("-d", "--dump", choices=["algebra", "sparql"], help="print the query")
@@ -27,6 +29,13 @@ def main(argv: list[str] | None = None) -> int:
     if a.read:
         content = Path(a.read).read_text()
         found = formats.read(content, formats.guess(a.read, content=content))
+        if a.compare:
+            from .compare import difference
+
+            other = Path(a.compare).read_text()
+            told = difference(found, formats.read(other, formats.guess(a.compare, content=other)), a.diff)
+            print(told, end="")
+            return int(bool(told))
         print(formats.write_boolean(found, a.results) if isinstance(found, bool) else formats.write_bindings(*found, a.results), end="")
         return 0
     text = a.exec or (sys.stdin.read() if a.query in (None, "-") else Path(a.query).read_text())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections import Counter
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from .plans import writer
 from .plans.algebra import BNode, Iri, Query, Slice, Triple, Var, tree
 from .plans.parser import LANGUAGES, SparqlSyntaxError, parse, parse_update
 from .sources import formats
+from .sources.protocol import Source
 from .sources.quads import SCHEMA, QuadsFrame, format_of, from_triples, read_document, read_ntriples
 from .sources.tables import TableMapping
 
@@ -73,7 +75,7 @@ class Prepared:
             if isinstance(x, Var):
                 return as_term(r.cells[x.name]) if x.name in r.cells else none
             if isinstance(x, BNode):
-                return F.struct(F.lit(BLANK).cast("tinyint").alias("kind"), F.concat(F.lit(f"{x.label}r"), F.col("_row").cast("string")).alias("lex"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("dt"))
+                return F.struct(F.lit(BLANK).cast("tinyint").alias("kind"), self.engine.blank_label(x.label, F.col("_row")).alias("lex"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("dt"))
             kind, lex, lang, dt = formats.cell(x)
             return F.struct(F.lit(kind).cast("tinyint").alias("kind"), F.lit(lex).alias("lex"), F.lit(lang).cast("string").alias("lang"), F.lit(dt).cast("string").alias("dt"))
 
@@ -131,9 +133,17 @@ class Prepared:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, source=None, *, service=None, network: bool = True, seed: int | None = None, unknown_functions_false: bool = False, warn: bool = True):
+    """Runs queries and updates over a graph source (see ``sources.protocol.Source``).
+
+    ``warn`` is the highest level of warnings that is told: 0 none, 10 variables that are selected but never bound, 50 (the
+    default; also True) those that are bound but stand only once and are not selected. ``blank_label`` makes the labels of
+    CONSTRUCT's blank nodes from the label in the template and the number of the row, as a column.
+    """
+
+    def __init__(self, spark: SparkSession, source: Source | None = None, *, service=None, network: bool = True, seed: int | None = None, unknown_functions_false: bool = False, warn: bool | int = 10, blank_label=None):
         self.spark, self.source, self.service = spark, source, service if network else None
-        self.seed, self.unknown_false, self.warn = seed, unknown_functions_false, warn
+        self.seed, self.unknown_false, self.warn = seed, unknown_functions_false, 50 if warn is True else int(warn)
+        self.blank_label = blank_label or (lambda label, row: F.concat(F.lit(f"{label}r"), row.cast("string")))
 
     def load(self, path: str, graph: str | None = None, format: str = "guess") -> None:
         """Adds triples of a file to the default graph or the graph named. ``format``: turtle, trig, rdfxml, ntriples (quads
@@ -151,7 +161,12 @@ class Engine:
 
     def prepare(self, text: str, base: str | None = None, prefixes: dict | None = None, language: str = "sparql") -> Prepared:
         q = parse(text, base, prefixes, language)
-        if self.warn and q.form == "select" and not q.wildcard:
+        if self.warn >= 50 and q.form == "select" and not q.wildcard:
+            met = Counter(x.name for x in _nodes(q.root) if isinstance(x, Var))
+            once = [n for n, k in met.items() if k == 1 and n not in q.names and not n.startswith(("_:", "."))]
+            if once:
+                warnings.warn(f"bound but not used: {', '.join('?' + n for n in once)}", stacklevel=2)
+        if self.warn >= 10 and q.form == "select" and not q.wildcard:
             unknown = [n for n in q.names if n not in q.variables and not any(n == getattr(x, "var", None) for x in _nodes(q.root))]
             if unknown:
                 warnings.warn(f"selected but never bound: {', '.join('?' + n for n in unknown)}", stacklevel=2)

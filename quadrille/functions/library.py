@@ -186,8 +186,19 @@ def iri(a, base: str | None = None):
     lex = text(a) if a.kind in ("iri", "key", "string") else F.when((a.col["kind"] == IRI) | is_plain(a.col), a.col["lex"]) if a.kind == "term" else lit_null()
     if base is None:
         return Value("iri", lex)
-    folder, host = urljoin(base, "."), urljoin(base, "/")
-    return Value("iri", F.when(lex.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), lex).when(lex.startswith("/"), F.concat(F.lit(host.rstrip("/")), lex)).when(lex.startswith("#"), F.concat(F.lit(base.split("#")[0]), lex)).when(lex == "", F.lit(base)).otherwise(F.concat(F.lit(folder), lex)))
+    folder, host, bare = urljoin(base, "."), urljoin(base, "/"), base.split("#")[0]
+    out = F.when(lex.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), lex).when(lex == "", F.lit(bare)).when(lex.startswith("#"), F.concat(F.lit(bare), lex)).when(lex.startswith("?"), F.concat(F.lit(bare.split("?")[0]), lex))
+    out = out.when(lex.startswith("//"), F.concat(F.lit(host.split(":")[0] + ":"), lex)).when(lex.startswith("/"), F.concat(F.lit(host.rstrip("/")), _without_dots(lex)))
+    return Value("iri", out.otherwise(F.concat(F.lit(host.rstrip("/")), _without_dots(F.concat(F.lit("/" + folder.removeprefix(host)), lex)))))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root, with its query and fragment, without the segments ``.`` and ``..``."""
+    own = F.regexp_extract(path, r"^([^?#]*)", 1)
+    steps = F.split(F.regexp_replace(own, r"/(\.\.?)$", "/$1/"), "/")
+    add = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.array(F.lit("")), add)
+    return F.concat(F.array_join(kept, "/"), F.regexp_extract(path, r"^[^?#]*(.*)$", 1))
 
 
 @builtin("BNODE")

@@ -187,6 +187,34 @@ class Query:
     def variables(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(x.name for x in walk(self.root) if isinstance(x, Var)))
 
+    @property
+    def order_conditions(self) -> tuple:
+        """(expression, descending) of ORDER BY."""
+        return next((x.keys for x in self._outer() if isinstance(x, OrderBy)), ())
+
+    @property
+    def group_conditions(self) -> tuple:
+        """(name, expression) of GROUP BY."""
+        return next((x.keys for x in self._outer() if isinstance(x, Group)), ())
+
+    @property
+    def having_conditions(self) -> tuple:
+        """The conditions of HAVING: the filters above a group."""
+        above = []
+        for x in self._outer():
+            if isinstance(x, Group):
+                return tuple(above)
+            if isinstance(x, Filter):
+                above.append(x.expr)
+        return ()
+
+    def _outer(self):
+        """The nodes from the root on to the first that has no single child."""
+        node = self.root
+        while node is not None:
+            yield node
+            node = getattr(node, "child", None) if not isinstance(node, Graph | Service) else None
+
     @property
     def triples(self) -> tuple[Triple, ...]:
         return tuple(x for x in walk(self.root) if isinstance(x, Triple))
@@ -290,7 +318,8 @@ def show(x) -> str:
             return f"{head}({', '.join(map(show, args))})"
         case Aggregate(name, args, distinct, separator):
             tail = f"; SEPARATOR={show(Lit(separator))}" if name == "GROUP_CONCAT" and separator != " " else ""
-            return f"{name}({'DISTINCT ' if distinct else ''}{', '.join(map(show, args)) or '*'}{tail})"
+            head = f"<{name}>" if ":" in name else name
+            return f"{head}({'DISTINCT ' if distinct else ''}{', '.join(map(show, args)) or '*'}{tail})"
         case Exists(_, negated):
             return f"{'NOT ' if negated else ''}EXISTS {{...}}"
         case tuple():

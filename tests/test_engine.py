@@ -242,3 +242,46 @@ def test_user_aggregates(engine):
 
     register_aggregate("http://e/longest", lambda c: F.max_by(c, F.length(c)))
     assert ask(engine, "SELECT (:longest(?q) AS ?l) (COUNT(*) AS ?n) { ?x :q ?q FILTER(LANG(?q) != 'en' && STRLEN(STR(?q)) != 3) }") == ["('01', 3)"]
+
+
+def test_iris_resolve_against_the_base(engine):
+    from urllib.parse import urljoin
+
+    base = "http://h.org/a/b/c?q#f"
+    for rel in ("x", "./x", "../x", "../../x", "../../../x", "/x/../y", "x/./y/..", "?z", "#z", "", "//i.org/x", "mailto:a", "..", "x?y=../z"):
+        got = ask(engine, f"BASE <{base}> SELECT (STR(IRI('{rel}')) AS ?i) {{}}")
+        assert got == [str((urljoin(base, rel).split("#f")[0] if rel == "" else urljoin(base, rel),))], rel
+
+
+def test_differences_and_limits(tmp_path, capsys):
+    from quadrille.compare import CompareLimit, difference
+
+    a, b = (("x", "y"), [[Lit("1"), None], [Iri("http://e/a"), BNode("b")]]), (("y", "x"), [[BNode("c"), Iri("http://e/a")], [None, Lit("1")]])
+    assert difference(a, b) == "" and difference(True, True) == ""
+    other = (("x", "y"), [[Lit("2"), None], [Iri("http://e/a"), Lit("q")]])
+    assert '+"2"' in difference(a, other) and json.loads(difference(a, other, "json"))["equal"] is False and difference(a, other, "xml").startswith("<comparison")
+    nodes = [(BNode(str(i)), Iri("p"), BNode(str((i + 1) % 40))) for i in range(40)]
+    two = [(BNode(str(i)), Iri("p"), BNode(str(i // 20 * 20 + (i + 1) % 20))) for i in range(40)]
+    with pytest.raises(CompareLimit):
+        isomorphic(nodes, two, nodes_at_most=10)
+    for name, rows in (("a.tsv", a), ("b.srj", b), ("c.csv", other)):
+        (tmp_path / name).write_text(formats.write_bindings(*rows, name.rsplit(".")[-1]))
+    assert main(["-R", str(tmp_path / "a.tsv"), "--compare", str(tmp_path / "b.srj")]) == 0
+    assert main(["-R", str(tmp_path / "a.tsv"), "--compare", str(tmp_path / "c.csv"), "--diff", "json"]) == 1
+    assert "differences" in capsys.readouterr().out
+
+
+def test_sources_introspection_and_hooks(spark, engine):
+    from pyspark.sql import functions as F
+
+    from quadrille.sources.protocol import Source
+    from quadrille.sources.tables import TableMapping
+
+    assert isinstance(engine.source, Source) and isinstance(TableMapping({}), Source)
+    q = engine.prepare(P + "SELECT ?x (COUNT(*) AS ?n) { ?x :p ?v } GROUP BY ?x HAVING(COUNT(*) > 1) ORDER BY DESC(?n)").query
+    assert len(q.order_conditions) == len(q.group_conditions) == len(q.having_conditions) == 1 and q.order_conditions[0][1]
+    named = Engine(spark, engine.source, blank_label=lambda label, row: F.concat(F.lit("own"), row.cast("string")))
+    made = named.query(P + "CONSTRUCT { [] :is ?v } WHERE { :a :p ?v }").collect()
+    assert made[0].s.lex.startswith("own")
+    with pytest.warns(UserWarning, match="bound but not used: [?]v"):
+        Engine(spark, engine.source, warn=50).prepare(P + "SELECT ?x { ?x :p ?v }")
