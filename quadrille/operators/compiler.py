@@ -1,10 +1,11 @@
 """Algebra to DataFrames. Every node becomes a relation: a DataFrame, and per variable a cell and whether it is
-certainly bound. Certainly bound variables join by plain equality; others split into bound and unbound parts, so no
-join ever needs an ``OR IS NULL``."""
+certainly bound. Certainly bound variables join by plain equality; others split into bound and unbound parts, so a
+join needs an ``OR IS NULL`` only for more than SPLIT of them."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,11 @@ class Rel:
     df: DataFrame
     cells: dict[str, Value]
     certain: frozenset[str]
+    maybe: frozenset[str] = frozenset()  # of a part: variables that it was not split by
+
+
+#: Variables that may be unbound by which a side of a join is split at most; the others are conditions of its joins.
+SPLIT = 3
 
 
 class CompileError(ValueError):
@@ -123,21 +129,25 @@ class Compiler:
         return out
 
     def _parts(self, r: Rel, names) -> list[tuple[Rel, frozenset]]:
-        """The relation split by which of ``names`` are bound, with the bound ones; certain names do not split."""
-        open_names = [n for n in names if n not in r.certain]
+        """The relation split by which of ``names`` are bound, with the bound ones; certain names do not split, and neither do
+        those beyond SPLIT, which count as bound and are ``maybe``."""
+        open_names = sorted(n for n in names if n not in r.certain)
+        maybe, open_names = frozenset(open_names[SPLIT:]), open_names[:SPLIT]
         out = []
         for bound in product((True, False), repeat=len(open_names)):
             df = r.df
             for n, yes in zip(open_names, bound, strict=True):
                 df = df.where(r.cells[n].col.isNotNull() if yes else r.cells[n].col.isNull())
-            have = frozenset(n for n in names if n in r.certain) | {n for n, yes in zip(open_names, bound, strict=True) if yes}
-            out.append((Rel(df, r.cells, r.certain), have))
+            have = frozenset(n for n in names if n in r.certain) | maybe | {n for n, yes in zip(open_names, bound, strict=True) if yes}
+            out.append((Rel(df, r.cells, r.certain, maybe), have))
         return out
 
     def _on(self, a: Rel, b: Rel, names) -> Column | None:
         on = None
-        for x, y in self._aligned(a, b, sorted(names)).values():
+        for n, (x, y) in self._aligned(a, b, sorted(names)).items():
             test = same_key(x) == same_key(y)
+            if n in a.maybe | b.maybe:
+                test = x.col.isNull() | y.col.isNull() | test
             on = test if on is None else on & test
         return on
 
@@ -170,7 +180,7 @@ class Compiler:
         both = lambda on: extra if on is None else on if extra is None else on & extra
         left, right = self._parts(a, shared), self._parts(b, shared)
         if len(left) == len(right) == 1:
-            df = self._joined(a, b, both(self._on(a, b, shared)), "left")
+            df = self._joined(a, b, both(self._on(left[0][0], right[0][0], shared)), "left")
             return self.rel(df, merged, a.certain)
         out = None
         for x, p in left:
@@ -201,7 +211,11 @@ class Compiler:
             df = x.df
             for y, q in self._parts(b, shared):
                 if p & q:
-                    df = df.join(y.df, self._on(x, y, p & q), "left_anti")
+                    on = self._on(x, y, p & q)
+                    if p & q <= x.maybe | y.maybe:
+                        met = [x.cells[n].col.isNotNull() & y.cells[n].col.isNotNull() for n in sorted(p & q)]
+                        on = on & reduce(Column.__or__, met)
+                    df = df.join(y.df, on, "left_anti")
             out = df if out is None else out.unionAll(df)
         return Rel(out, a.cells, a.certain)
 

@@ -285,3 +285,18 @@ def test_sources_introspection_and_hooks(spark, engine):
     assert made[0].s.lex.startswith("own")
     with pytest.warns(UserWarning, match="bound but not used: [?]v"):
         Engine(spark, engine.source, warn=50).prepare(P + "SELECT ?x { ?x :p ?v }")
+
+
+def test_many_variables_that_may_be_unbound(engine, monkeypatch):
+    """Joins split by such variables and joins on conditions give the same rows."""
+    from quadrille.operators import compiler
+
+    data = "VALUES (?a ?b ?c ?d) { (1 UNDEF 3 4) (UNDEF 2 UNDEF 4) (1 2 UNDEF UNDEF) (UNDEF UNDEF UNDEF UNDEF) (5 2 3 4) }"
+    other = "VALUES (?a ?b ?c ?d ?e) { (1 2 3 4 'x') (UNDEF 2 UNDEF 4 'y') (UNDEF UNDEF UNDEF UNDEF 'z') (5 UNDEF 9 UNDEF 'w') }"
+    texts = [f"SELECT * {{ {{ {data} }} {how} {{ {other} }} }}" for how in ("", "OPTIONAL", "MINUS")]
+    texts += [f"SELECT * {{ {{ {data} }} FILTER {how} {{ {other} FILTER(?e != 'z') }} }}" for how in ("EXISTS", "NOT EXISTS")]
+    found = []
+    for split in (2, 0):
+        monkeypatch.setattr(compiler, "SPLIT", split)
+        found.append([ask(engine, t) for t in texts])
+    assert found[0] == found[1] and len(found[0][0]) > 8 and 0 < len(found[0][2]) < 5
