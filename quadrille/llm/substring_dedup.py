@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .blocks import Block, null_ids, pack, unpacked
-from .common import STEP_BYTES, gram_hashes, word_hashes, words_of
+from .common import STEP_BYTES, gram_hashes, stored, word_hashes, words_of
 
 WINDOW = 13
 #: Blocks of text whose window entries meet in one group of the exchange.
@@ -147,8 +147,9 @@ def duplicates(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text
         return pa.table({**{c: table.column(c) for c in ("run", "shard", "blocks", "sizes")}, "earlier": pa.array(answers, pa.binary())})
 
     entries = blocks.mapInArrow(send, "shard int, run bigint, blocks binary, sizes binary, h binary, g binary, ids binary, index binary")
-    answers = entries.groupBy("shard").applyInArrow(group, "run bigint, shard int, blocks binary, sizes binary, earlier binary")
-    # An answer has one bit an entry; those of a run go along with each of its blocks.
+    # An answer has one bit an entry; those of a run go along with each of its blocks. Stored, so that the entries' shuffle
+    # files are gone before the blocks are shuffled.
+    answers = stored(entries.groupBy("shard").applyInArrow(group, "run bigint, shard int, blocks binary, sizes binary, earlier binary"), "windows-answers")
     answers = answers.groupBy("run").agg(F.collect_list(F.struct("shard", "blocks", "sizes", "earlier")).alias("answers"))
     fields = "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string" * with_text
 
