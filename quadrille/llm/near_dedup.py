@@ -389,8 +389,12 @@ def candidates(signed: DataFrame, keep: int = BEST) -> tuple[DataFrame, DataFram
     members = signed.where(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), "node", "signature")
     rows, before = None, None
     while True:
-        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE)
-        dealt = members.join(sizes, "bucket", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PIECE)), F.lit(-1)))
+        # Stored, so that its size is known: a few large buckets are broadcast, and the members are shuffled once.
+        sizes = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE), "large-buckets")
+        if sizes.isEmpty():
+            dealt = members.withColumn("piece", F.lit(-1).cast("bigint"))
+        else:
+            dealt = members.join(sizes, "bucket", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PIECE)), F.lit(-1)))
         dealt = dealt.select("bucket", "piece", "node", "signature").repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "node")
         found = stored(dealt.mapInArrow(lambda batches: _propose(batches, keep), "a binary, b binary, bucket bigint, signature binary"), "candidates")
         pairs = found.where("b IS NOT NULL").select("a", "b")
@@ -706,13 +710,12 @@ def _members(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", node("text"))
     total, n = _sketch(docs, text_col)
     idf = docs.sparkSession.sparkContext.broadcast(rough_idf(total, n))
-    every = stored(signatures(named.select("node", "text"), idf), "signatures")
-    signed = every.dropDuplicates(["node"])
+    signed = stored(signatures(named.select("node", "text"), idf).dropDuplicates(["node"]), "signatures")
     links, unlike = candidates(signed)
     needed = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).unionAll(unlike).distinct()
     texts = stored(_maybe_in(named, needed).groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi"), "texts")
     fine = stored(finer(signed, weighed(texts, docs, text_col, n, int(total.sum())), idf), "signed")
-    emptied(every, texts)
+    emptied(signed, texts)
     labels = linked(links, fine, idf, least)
     members = stored(named.select("id", "node").join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label")), "members")
     emptied(links, fine)
