@@ -40,6 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
 WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
+#: No file marks a finished table: only the query that wrote it reads it.
+NO_MARK = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
 @contextmanager
 def set_for(spark: SparkSession, settings: dict[str, str]):
     """The settings hold within the block."""
@@ -62,7 +66,7 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with set_for(spark, WHILE_STORED):
-        df.write.options(**{"compression": "zstd", **(options or {})}).parquet(path)
+        df.write.options(**{"compression": "zstd", **NO_MARK, **(options or {})}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,7 +80,7 @@ def emptied(*tables: DataFrame) -> None:
     """Deletes the files of stored tables that nothing reads any more: each is written anew without rows."""
     for df in tables:
         if files := df.inputFiles():
-            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").options(**NO_MARK).parquet(files[0].rpartition("/")[0])
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -511,10 +511,8 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.toDF("of", "next")
         after = stored(spread.join(jump, spread["label"] == jump["of"], "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         changed = not after.where("old <> label").isEmpty()
-        emptied(labels)
         labels = after.select("node", "label")
         if not changed:
-            emptied(both)
             return labels
 
 
@@ -718,7 +716,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     emptied(signed, texts)
     labels = linked(links, fine, idf, least)
     members = stored(named.select("id", "node").join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label")), "members")
-    emptied(links, fine)
+    emptied(fine)
     return members
 
 
