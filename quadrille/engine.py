@@ -225,8 +225,8 @@ class Engine:
         self.source = QuadsFrame(self._cut(quads))
 
     def _cut(self, quads: DataFrame) -> DataFrame:
-        """The quads as a checkpoint where the session names a folder for those, so that plans do not grow with every update."""
-        return quads.checkpoint() if self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir() else quads
+        """The quads as a checkpoint where the context has a folder for those, so that plans do not grow with every update."""
+        return quads.checkpoint() if self.spark.sparkContext.getCheckpointDir() else quads
 
     def _instances(self, q: Query, graph, t: Triple) -> DataFrame:
         p = Prepared(self, replace(q, template=(t,)))
