@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="quadrille-")
-    spark.conf.set("spark.checkpoint.dir", made)
+    context.setCheckpointDir(made)
     return made
 
 
