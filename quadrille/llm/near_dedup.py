@@ -45,7 +45,7 @@ PIECE = 4096
 AREA_CHARS, AREA_BLOCKS = 1 << 21, 8
 #: Cells of the document frequency sketch, the same for any input.
 CELL_BITS = 20
-CELL_SHARDS = 16
+CELL_SHARDS, CELL_PLACES = 16, 256
 STEP = 1 << 18
 #: Bits of the filter on texts that have proposed links.
 FILTER_BITS = 26
@@ -125,15 +125,17 @@ def _sketch(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
                 own[0] += np.frombuffer(plain, np.int32 if len(plain) == 4 * size else np.int64)
                 own[1] += n.as_py()
         for shard, (total, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["shard", "counts", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()), pa.array([n], pa.int64())], names=["shard", "counts", "n"])
 
     kinds = "shard int, counts binary, n bigint"
-    # CELL_SHARDS rows of a fixed size come back.
-    rows = collected(docs.select(text_col).mapInArrow(count, kinds).repartition(CELL_SHARDS, "shard").mapInArrow(add, kinds))
+    # A shard's counts are added up in up to CELL_PLACES places first; CELL_SHARDS rows of a fixed size come back.
+    placed = docs.select(text_col).mapInArrow(count, kinds).withColumn("place", F.pmod(F.spark_partition_id(), F.lit(CELL_PLACES)))
+    sums = placed.repartition("shard", "place").drop("place").mapInArrow(add, kinds)
+    rows = collected(sums.repartition(CELL_SHARDS, "shard").mapInArrow(add, kinds))
     total = np.zeros(1 << CELL_BITS, np.int64)
     for r in rows:
         size = (1 << CELL_BITS) // CELL_SHARDS
-        total[r["shard"] * size : (r["shard"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
+        total[r["shard"] * size : (r["shard"] + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     return total, rows[0]["n"] if rows else 0
 
 
