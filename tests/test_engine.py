@@ -300,3 +300,9 @@ def test_many_variables_that_may_be_unbound(engine, monkeypatch):
         monkeypatch.setattr(compiler, "SPLIT", split)
         found.append([ask(engine, t) for t in texts])
     assert found[0] == found[1] and len(found[0][0]) > 8 and 0 < len(found[0][2]) < 5
+
+
+def test_years_of_more_than_four_digits(engine):
+    """They have no sign before them, as XSD writes them, and are read again; those before the year 0 keep theirs."""
+    text = "SELECT (STR(?t) AS ?a) (STR(xsd:date(?t)) AS ?b) (xsd:dateTime(STR(?t)) = ?t AS ?c) (xsd:date(STR(xsd:date(?t))) = xsd:date(?t) AS ?d) { VALUES ?s { 777600000000 -62198755200 } BIND(FROM_UNIXTIME(?s) AS ?t) }"
+    assert ask(engine, text) == ["('-0001-01-01T00:00:00Z', '-0001-01-01', True, True)", "('26611-03-02T00:00:00Z', '26611-03-02', True, True)"]
