@@ -32,6 +32,10 @@ class CompileError(ValueError):
     pass
 
 
+def _conjuncts(e) -> list:
+    return [x for arg in e.args for x in _conjuncts(arg)] if isinstance(e, Call) and e.name == "&&" else [e]
+
+
 @dataclass(frozen=True)
 class _Outer:
     """The distinct values that outer rows have for some variables, as a pattern."""
@@ -263,8 +267,9 @@ class Compiler:
     def exists(self, a: Rel, pattern, graph, negated: bool) -> Rel:
         """A semi or anti join on the shared variables; outer filters of the pattern are its condition."""
         tests = []
+        pattern = self._filters_out(pattern)
         while isinstance(pattern, Filter):
-            tests.append(pattern.expr)
+            tests += _conjuncts(pattern.expr)
             pattern = pattern.child
         for e in tests:
             if any(isinstance(x, Exists) for x in walk(e)):
@@ -275,7 +280,7 @@ class Compiler:
         simple = [e for e in tests if not {x.name for x in walk(e) if isinstance(x, Var)} - set(inner.cells)]
         for e in simple:
             inner = self.filter(inner, e, graph)
-        rest = [e for e in tests if e not in simple]
+        inner, rest = self._extreme(a, inner, [e for e in tests if e not in simple], given, graph)
         b = self._right(inner)
         shared = [n for n in a.cells if n in b.cells and n not in given]
         of_outer = [same_key(x).eqNullSafe(same_key(y)) for x, y in self._aligned(a, b, sorted(given)).values()]
@@ -303,6 +308,46 @@ class Compiler:
             out = df if out is None else out.unionAll(df)
         return Rel(out, a.cells, a.certain)
 
+    def _filters_out(self, node):
+        """The pattern with the filters at the top of a GRAPH, or of a filter's child, moved out of it."""
+        if isinstance(node, Filter):
+            return Filter(node.expr, self._filters_out(node.child))
+        if isinstance(node, Graph):
+            child, tests = self._filters_out(node.child), []
+            while isinstance(child, Filter) and not any(isinstance(x, Exists) for x in walk(child.expr)):
+                tests.append(child.expr)
+                child = child.child
+            node = Graph(node.name, child)
+            for e in reversed(tests):
+                node = Filter(e, node)
+        return node
+
+    def _extreme(self, a: Rel, inner: Rel, tests, given, graph) -> tuple[Rel, list]:
+        """The pattern of EXISTS and the tests left to do with each outer row. If that is one test that an inner value is
+        less or greater than an outer one, the greatest or least value of each key tells, so one row a key is left."""
+        match tests:
+            case [Call("<" | ">" | "<=" | ">=" as op, (x, y))]:
+                pass
+            case _:
+                return inner, tests
+        if any(not isinstance(n, Var | Lit) and not (isinstance(n, Call) and n.name in ("+", "-", "*", "/", "NEG")) for e in (x, y) for n in walk(e)):
+            return inner, tests
+        names = [{n.name for n in walk(e) if isinstance(n, Var)} for e in (x, y)]
+        own = [i for i in (0, 1) if names[i] and names[i] <= set(inner.cells) and not names[1 - i] & set(inner.cells)]
+        if not own:
+            return inner, tests
+        v, w = (self.expression((x, y)[i], (inner if i == own[0] else a).cells, graph) for i in (own[0], 1 - own[0]))
+        w = w.native or w
+        if not (v.kind in RANKS and w.kind in RANKS or v.kind == w.kind and v.kind in ("string", "boolean", "dateTime", "date")):
+            return inner, tests
+        keys = {n: k for n, k in inner.cells.items() if n in a.cells}
+        columns = {n: f"k{i}" for i, n in enumerate(keys)}
+        pick = F.max if (op in (">", ">=")) == (own[0] == 0) else F.min
+        rows = inner.df.select(*[k.col.alias(columns[n]) for n, k in keys.items()], v.col.alias("x")).groupBy(*columns.values()).agg(pick("x").alias("x"))
+        cells = {n: Value(k.kind, F.col(columns[n]), k.template, k.number) for n, k in keys.items()}
+        made = self.rel(rows, {**cells, ".x": Value(v.kind, F.col("x"))}, inner.certain & set(keys))
+        return made, [Call(op, (Var(".x"), y) if own[0] == 0 else (x, Var(".x")))]
+
     def union(self, a: Rel, b: Rel) -> Rel:
         names = [*a.cells, *[n for n in b.cells if n not in a.cells]]
         forms = {n: unify(a.cells[n], b.cells[n]) if n in a.cells and n in b.cells else None for n in names}

@@ -306,3 +306,17 @@ def test_years_of_more_than_four_digits(engine):
     """They have no sign before them, as XSD writes them, and are read again; those before the year 0 keep theirs."""
     text = "SELECT (STR(?t) AS ?a) (STR(xsd:date(?t)) AS ?b) (xsd:dateTime(STR(?t)) = ?t AS ?c) (xsd:date(STR(xsd:date(?t))) = xsd:date(?t) AS ?d) { VALUES ?s { 777600000000 -62198755200 } BIND(FROM_UNIXTIME(?s) AS ?t) }"
     assert ask(engine, text) == ["('-0001-01-01T00:00:00Z', '-0001-01-01', True, True)", "('26611-03-02T00:00:00Z', '26611-03-02', True, True)"]
+
+
+def test_exists_with_an_order_test_keeps_one_row_a_key(spark, small):
+    """EXISTS in a GRAPH tests its filter at the join, against the greatest or least value of each key."""
+    from quadrille.queries import QUERIES
+
+    for name in ("exists_graph", "not_exists_graph"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "max(" in plan and plan.count("Join") == 1, name
+    data = "VALUES (?k ?b) { (1 5) (2 5) (3 5) (4 5) } FILTER %s { VALUES (?k ?t) { (1 4) (1 6) (2 5) (3 4) (3 UNDEF) } FILTER(%s) }"
+    for test, kept in (("?t > ?b", "1"), ("?b < ?t", "1"), ("?t >= ?b", "12"), ("?t < ?b", "13"), ("?t + 1 <= ?b", "13"), ("?b > ?t && ?t < 5", "13"), ("?t != ?b", "13"), ("?t > ?b * 0.5 && ?t < ?b", "13"), ("?t > ?none", "")):
+        for how, ks in (("EXISTS", kept), ("NOT EXISTS", "".join(k for k in "1234" if k not in kept))):
+            got = ask(Engine(spark, QuadsFrame(from_triples(spark, [])), warn=False), f"SELECT ?k {{ {data % (how, test)} }}")
+            assert got == [f"({k},)" for k in ks], (how, test)
