@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,8 @@ KINDS = {T.LongType: "integer", T.IntegerType: "integer", T.ShortType: "integer"
 class TableMapping:
     """The direct mapping: subject ``base + table/key``, predicate ``base + column``, class ``base + table``. Foreign
     keys are IRIs of their table. Each table is also a named graph of its class IRI; nulls make no triple. All
-    patterns of one subject become a single scan of its table; everything else falls back on ``quads``."""
+    patterns of one subject become a single scan of its table, or the union of one scan for each table that it may be of;
+    everything else falls back on ``quads``."""
 
     def __init__(self, tables: dict[str, Table], base: str = "http://example.org/"):
         self.tables, self.base = tables, base
@@ -69,33 +70,33 @@ class TableMapping:
         kind = KINDS[type(table.frame.schema[column].dataType)]
         return Value(kind, F.col(column).cast("bigint") if kind == "integer" else (from_fields(F.col(column)) if isinstance(table.frame.schema[column].dataType, T.TimestampNTZType) else F.col(column)) if kind == "dateTime" else F.col(column).cast("double") if kind == "double" else F.col(column))
 
-    def _table_of(self, star: list[Triple], graph) -> str | None:
-        """The one table whose rows can be the subject of all these triples; None if none or several can."""
+    def _tables_of(self, star: list[Triple], graph) -> list[str]:
+        """The tables whose rows can be the subject of all these triples; none if a predicate is a variable."""
         found = set(self.tables)
         for t in star:
             if not isinstance(t.p, Iri):
-                return None
-            if t.p.value == RDF + "type":
-                if not isinstance(t.o, Iri):
-                    return None
-                found &= {t.o.value.removeprefix(self.base)}
-            else:
+                return []
+            if t.p.value != RDF + "type":
                 found &= self.columns.get(t.p.value, set())
+            elif isinstance(t.o, Iri):
+                found &= {t.o.value.removeprefix(self.base)}
         if isinstance(graph, Iri):
             found &= {graph.value.removeprefix(self.base)}
-        return found.pop() if len(found) == 1 else None
+        # Subjects of two tables differ where no name goes on after the other and a slash.
+        apart = len(found) < 2 or not any("/" in n for n in found)
+        return [n for n in self.tables if n in found] if apart else []
 
     def bgp(self, triples: tuple[Triple, ...], graph, compiler):
         stars: dict = {}
         for t in triples:
             stars.setdefault(t.s, []).append(t)
-        owners = {s: self._table_of(star, graph) for s, star in stars.items()}
-        if any(o is None or not isinstance(s, Var | Iri) for s, o in owners.items()):
+        owners = {s: self._tables_of(star, graph) for s, star in stars.items()}
+        if any(not o or not isinstance(s, Var | Iri) for s, o in owners.items()):
             from .quads import QuadsFrame
 
             quads = self.quads()
             return QuadsFrame(quads if graph is not None else quads.withColumn("g", F.lit(None).cast("string"))).bgp(triples, graph, compiler)
-        scans = [self._scan(owners[s], s, star, graph, compiler) for s, star in stars.items()]
+        scans = [reduce(compiler.union, [self._scan(o, s, star, graph, compiler) for o in owners[s]]) for s, star in stars.items()]
         rel = scans.pop(0)
         while scans:
             scans.sort(key=lambda r: not set(r.cells) & set(rel.cells))
@@ -112,6 +113,14 @@ class TableMapping:
             df = df.where(own.col.cast("string") == subject.value.removeprefix(own.template) if subject.value.startswith(own.template) else F.lit(False))
         for t in star:
             if t.p.value == RDF + "type":
+                if isinstance(t.o, Var):
+                    own_class = Value("iri", F.lit(self.base + name))
+                    if t.o.name in cells:
+                        df = df.where(compiler.same(cells[t.o.name], own_class))
+                    else:
+                        cells[t.o.name] = own_class
+                elif not (isinstance(t.o, Iri) and t.o.value == self.base + name):
+                    df = df.where(F.lit(False))
                 continue
             column = t.p.value.removeprefix(self.base)
             v = self.value(name, column)
@@ -128,7 +137,11 @@ class TableMapping:
             else:
                 df = df.where(compiler.same(v, constant(t.o)))
         if isinstance(graph, Var):
-            cells[graph.name] = Value("iri", F.lit(self.base + name))
+            own_graph = Value("iri", F.lit(self.base + name))
+            if graph.name in cells:
+                df = df.where(compiler.same(cells[graph.name], own_graph))
+            else:
+                cells[graph.name] = own_graph
         return compiler.rel(df, cells)
 
     def about(self, iris: tuple[str, ...]) -> DataFrame:

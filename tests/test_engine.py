@@ -320,3 +320,20 @@ def test_exists_with_an_order_test_keeps_one_row_a_key(spark, small):
         for how, ks in (("EXISTS", kept), ("NOT EXISTS", "".join(k for k in "1234" if k not in kept))):
             got = ask(Engine(spark, QuadsFrame(from_triples(spark, [])), warn=False), f"SELECT ?k {{ {data % (how, test)} }}")
             assert got == [f"({k},)" for k in ks], (how, test)
+
+
+def test_a_column_of_several_tables_is_scanned_once_in_each(spark, small):
+    """A subject that may be of several tables is a union of their scans, without a join."""
+    from quadrille.queries import QUERIES
+    from quadrille.sources.tables import Table, TableMapping
+
+    plan = QUERIES["same_column_in_tables"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 3
+    own = "http://e/"
+    t = TableMapping({"a": Table(spark.sql("select 1 as id, 'x' as n, 2 as b_id"), ("id",), {"b_id": "b"}), "b": Table(spark.sql("select * from values (2, 'y', 1.5d), (3, null, 2.5d) as t(id, n, v)"), ("id",))}, own)
+    e = Engine(spark, t, warn=False)
+    assert ask(e, "SELECT ?x ?n ?t { ?x :n ?n ; a ?t }") == ["('http://e/a/1', 'x', 'http://e/a')", "('http://e/b/2', 'y', 'http://e/b')"]
+    assert ask(e, "SELECT ?g ?i { GRAPH ?g { ?x :id ?i ; a ?g } }") == ["('http://e/a', 1)", "('http://e/b', 2)", "('http://e/b', 3)"]
+    assert ask(e, "SELECT ?n ?m { ?x :b_id ?y ; :n ?n . ?y :n ?m ; a ?c }") == ["('x', 'y')"]
+    assert ask(e, "SELECT ?n { :b\\/2 :n ?n ; a ?c }") == ["('y',)"] and ask(e, "SELECT ?n { ?x :n ?n ; a <b> }") == []
+    assert ask(e, "SELECT ?x { ?x :id 2 ; a ?t }") == ["('http://e/b/2',)"] and ask(e, "SELECT ?x { ?x :id ?i ; a :c }") == []
