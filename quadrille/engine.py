@@ -16,12 +16,9 @@ from .plans.algebra import BNode, Iri, Query, Slice, Triple, Var, tree
 from .plans.parser import LANGUAGES, SparqlSyntaxError, parse, parse_update
 from .sources import formats
 from .sources.protocol import Source
-from .sources.quads import SCHEMA, QuadsFrame, format_of, from_triples, read_document, read_ntriples
+from .sources.quads import SCHEMA, Changed, QuadsFrame, format_of, from_triples, inside, read_document, read_ntriples
 from .sources.tables import TableMapping
 
-#: What tells quads apart.
-KEY = ["kg", "ks", "p", "ko"]
-
 
 @dataclass
 class Prepared:
@@ -156,8 +153,7 @@ class Engine:
 
     def add(self, quads: DataFrame) -> None:
         """Adds quads; a graph is a set, so what is there already, or comes twice, is added once."""
-        have = self.source.quads if isinstance(self.source, QuadsFrame) else None
-        self.source = QuadsFrame(self._with(have, quads))
+        self.source = self._changed().plus(quads.select("g", "s", "p", "o"))
 
     def prepare(self, text: str, base: str | None = None, prefixes: dict | None = None, language: str = "sparql") -> Prepared:
         q = parse(text, base, prefixes, language)
@@ -187,18 +183,21 @@ class Engine:
         for u in parse_update(text, **options):
             self._update(u)
 
+    def _changed(self) -> Changed:
+        """The quads as a base and its changes."""
+        return self.source if isinstance(self.source, Changed) else Changed(self.source.quads if isinstance(self.source, QuadsFrame) else None)
+
     def _update(self, u) -> None:
-        quads = self.source.quads if isinstance(self.source, QuadsFrame) else self.spark.createDataFrame([], SCHEMA)
-        g = F.col("g")
-        inside = lambda ref: {"ALL": F.lit(True), "DEFAULT": g.isNull(), "NAMED": g.isNotNull()}.get(ref, g == ref)
-        renamed = lambda df, ref: df.withColumn("g", F.lit(None if ref == "DEFAULT" else ref).cast("string"))
+        old = new = self._changed()
+        graph_of = lambda x: "DEFAULT" if x is None else x.value if isinstance(x, Iri) else None
+        predicates = lambda triples: frozenset(t.p.value for _, t in triples) if all(isinstance(t.p, Iri) for _, t in triples) else None
         match u.kind:
             case "insert":
-                quads = self._with(quads, from_triples(self.spark, [(getattr(x, "value", None), t) for x, t in u.insert]))
+                new = new.plus(from_triples(self.spark, [(getattr(x, "value", None), t) for x, t in u.insert]), predicates(u.insert), few=True)
             case "delete":
-                quads = self._without(quads, from_triples(self.spark, [(getattr(x, "value", None), t) for x, t in u.delete]))
+                new = new.without(from_triples(self.spark, [(getattr(x, "value", None), t) for x, t in u.delete]), predicates(u.delete), few=True)
             case "clear" | "drop":
-                quads = quads.where(~F.coalesce(inside(u.target), F.lit(False)))
+                new = new.without_graph(u.target)
             case "load":
                 try:
                     self.load(u.source, u.target)
@@ -209,24 +208,19 @@ class Engine:
             case "add" | "copy" | "move":
                 if u.source == u.target:
                     return
-                own = renamed(quads.where(inside(u.source)), u.target)
-                keep = quads if u.kind == "add" else quads.where(~F.coalesce(inside(u.target), F.lit(False)))
-                keep = keep.where(~F.coalesce(inside(u.source), F.lit(False))) if u.kind == "move" else keep
-                quads = self._with(keep, own)
+                own = old.quads.where(inside(u.source)).withColumn("g", F.lit(None if u.target == "DEFAULT" else u.target).cast("string"))
+                new = new if u.kind == "add" else new.without_graph(u.target)
+                new = new.without_graph(u.source) if u.kind == "move" else new
+                new = new.plus(own, graph=u.target)
             case "modify":
                 named = u.using_named or ()
                 q = Query("construct", u.where, default_graphs=u.using, named_graphs=named)
-                gone = [self._instances(q, x, t) for x, t in u.delete]
-                made = [self._instances(q, x, t) for x, t in u.insert]
-                for df in gone:
-                    quads = self._without(quads, df)
-                for df in made:
-                    quads = self._with(quads, df)
-        self.source = QuadsFrame(self._cut(quads))
-
-    def _cut(self, quads: DataFrame) -> DataFrame:
-        """The quads as a checkpoint where the context has a folder for those, so that plans do not grow with every update."""
-        return quads.checkpoint() if self.spark.sparkContext.getCheckpointDir() else quads
+                for x, t in u.delete:
+                    new = new.without(self._instances(q, x, t), predicates([(x, t)]), few=False)
+                for x, t in u.insert:
+                    new = new.plus(self._instances(q, x, t), predicates([(x, t)]), graph_of(x))
+        # Where the context has a folder, what changed is written, and plans do not grow with every update.
+        self.source = new.cut(old) if self.spark.sparkContext.getCheckpointDir() else new
 
     def _instances(self, q: Query, graph, t: Triple) -> DataFrame:
         p = Prepared(self, replace(q, template=(t,)))
@@ -236,23 +230,9 @@ class Engine:
             name = text(r.cells[graph.name])
             cells = [as_term(r.cells[x.name]) if isinstance(x, Var) else None for x in (t.s, t.p, t.o)]
             consts = [formats.literal_struct(x) if c is None else c for c, x in zip(cells, (t.s, t.p, t.o), strict=True)]
-            return r.df.select(name.alias("g"), consts[0].cast(TERM).alias("s"), consts[1]["lex"].alias("p"), consts[2].cast(TERM).alias("o")).where("g is not null and s is not null and p is not null and o is not null")
+            return r.df.select(name.alias("g"), consts[0].cast(TERM).alias("s"), consts[1]["lex"].alias("p"), consts[2].cast(TERM).alias("o")).where(f"g is not null and s.kind != {LITERAL} and p is not null and o is not null")
         return p.graph().withColumn("g", F.lit(getattr(graph, "value", None)).cast("string")).select("g", "s", "p", "o")
 
-    def _keyed(self, quads: DataFrame) -> DataFrame:
-        """Quads with columns KEY that are equal for equal ones."""
-        return quads.withColumns({"kg": F.coalesce("g", F.lit("")), "ks": F.struct("s.kind", "s.lex"), "ko": F.struct("o.kind", "o.lex", F.coalesce(F.lower("o.lang"), F.lit("")).alias("x"), F.coalesce("o.dt", F.lit("")).alias("y"))})
-
-    def _without(self, quads: DataFrame, gone: DataFrame) -> DataFrame:
-        return self._keyed(quads).join(self._keyed(gone).select(*KEY).distinct(), KEY, "left_anti").select("g", "s", "p", "o")
-
-    def _with(self, quads: DataFrame | None, more: DataFrame) -> DataFrame:
-        """The union of two sets of quads."""
-        more = self._keyed(more.select("g", "s", "p", "o")).dropDuplicates(KEY)
-        if quads is None:
-            return more.select("g", "s", "p", "o")
-        return quads.select("g", "s", "p", "o").unionByName(more.join(self._keyed(quads).select(*KEY), KEY, "left_anti").select("g", "s", "p", "o"))
-
 
 def _nodes(root):
     from .plans.algebra import walk

@@ -165,4 +165,95 @@ class QuadsFrame:
         return self.visible(None).drop("g")
 
 
-__all__ = ["QuadsFrame", "cell", "format_of", "from_triples", "parse_turtle", "read_document", "read_ntriples", "read_turtle"]
+#: What tells quads apart, with a number made of it first, by which rows sort fast.
+KEY = ["h", "kg", "sk", "sl", "p", "ok", "ol", "ox", "oy"]
+
+
+def keyed(quads: DataFrame) -> DataFrame:
+    """Quads as columns KEY, which are equal for equal ones, and the language tag as it is written."""
+    rows = quads.select(F.coalesce("g", F.lit("")).alias("kg"), F.col("s.kind").alias("sk"), F.col("s.lex").alias("sl"), "p", F.col("o.kind").alias("ok"), F.col("o.lex").alias("ol"), F.coalesce(F.lower("o.lang"), F.lit("")).alias("ox"), F.coalesce("o.dt", F.lit("")).alias("oy"), F.col("o.lang").alias("lang"))
+    return rows.withColumn("h", F.xxhash64(*KEY[1:]))
+
+
+def unkeyed(rows: DataFrame) -> DataFrame:
+    """The quads of ``keyed`` rows. A subject has no language and no datatype."""
+    none = F.lit(None).cast("string")
+    s = F.struct(F.col("sk").alias("kind"), F.col("sl").alias("lex"), none.alias("lang"), none.alias("dt"))
+    o = F.struct(F.col("ok").alias("kind"), F.col("ol").alias("lex"), "lang", F.nullif("oy", F.lit("")).alias("dt"))
+    return rows.select(F.nullif("kg", F.lit("")).alias("g"), s.alias("s"), "p", o.alias("o"))
+
+
+def inside(graph: str):
+    """Whether a quad is in a graph: its IRI, DEFAULT, NAMED or ALL."""
+    g = F.col("g")
+    return {"ALL": F.lit(True), "DEFAULT": g.isNull(), "NAMED": g.isNotNull()}.get(graph, F.coalesce(g == graph, F.lit(False)))
+
+
+class Changed(QuadsFrame):
+    """Quads after updates: those of ``base`` that are not in the graphs ``cleared`` and not ``gone`` (columns KEY), and those
+    ``made``. Only what updates take out and put in is kept beside ``base``, which is read again and never copied.
+
+    ``predicates`` are those that ``gone`` may have, None for any; ``few``: it has the triples of DELETE DATA alone.
+    """
+
+    def __init__(self, base: DataFrame | None, made: DataFrame | None = None, gone: DataFrame | None = None, cleared: frozenset = frozenset(), predicates: frozenset | None = frozenset(), few: bool = True):
+        self.base, self.made, self.gone, self.cleared, self.predicates, self.few = base, made, gone, cleared, predicates, few
+        parts = [d for d in (self._kept(), made) if d is not None]
+        super().__init__(parts[0].select("g", "s", "p", "o").unionAll(parts[1]) if len(parts) == 2 else parts[0] if parts else SparkSession.active().createDataFrame([], SCHEMA))
+
+    def _kept(self) -> DataFrame | None:
+        if self.base is None:
+            return None
+        df = self.base
+        for g in sorted(self.cleared):
+            df = df.where(~inside(g))
+        if self.gone is None:
+            return df
+        if self.few:
+            return self._less(df, F.broadcast(self.gone))
+        if self.predicates is None:
+            return self._less(df, self.gone)
+        hit = F.col("p").isin(*sorted(self.predicates))
+        return df.where(~hit).select("g", "s", "p", "o").unionAll(self._less(df.where(hit), self.gone))
+
+    @staticmethod
+    def _less(df: DataFrame, keys: DataFrame) -> DataFrame:
+        return unkeyed(keyed(df).join(keys, KEY, "left_anti"))
+
+    def without(self, gone: DataFrame, predicates: frozenset | None, few: bool) -> Changed:
+        """Less the quads ``gone``, of which all have one of ``predicates`` (None: any)."""
+        keys = keyed(gone).select(*KEY)
+        made = None if self.made is None else self._less(self.made, F.broadcast(keys) if few else keys)
+        if self.base is None:
+            return Changed(None, made)
+        every = keys if self.gone is None else self.gone.unionAll(keys)
+        either = None if predicates is None or self.predicates is None else self.predicates | predicates
+        return Changed(self.base, made, every, self.cleared, either, few and self.few)
+
+    def without_graph(self, graph: str) -> Changed:
+        if graph == "ALL":
+            return Changed(None)
+        made = None if self.made is None else self.made.where(~inside(graph))
+        return Changed(self.base, made, self.gone, self.cleared | {graph}, self.predicates, self.few)
+
+    def plus(self, more: DataFrame, predicates: frozenset | None = None, graph: str | None = None, few: bool = False) -> Changed:
+        """With the quads ``more``, each once, that are not there: all have one of ``predicates`` and are in ``graph`` (None:
+        any). ``few``: they are so few that any task can hold them."""
+        have = self.quads if graph is None else self.quads.where(inside(graph))
+        have = have if predicates is None else have.where(F.col("p").isin(*sorted(predicates)))
+        new, have = keyed(more), keyed(have).select(*KEY)
+        if few:
+            have = have.join(F.broadcast(new.select(*KEY)), KEY, "left_semi")
+        else:
+            new = new.repartition(*[F.col(k) for k in KEY])  # once for both steps, and no sort before it
+        new = unkeyed(new.dropDuplicates(KEY).join(have, KEY, "left_anti"))
+        return Changed(self.base, new if self.made is None else self.made.unionAll(new), self.gone, self.cleared, self.predicates, self.few)
+
+    def cut(self, old: Changed) -> Changed:
+        """With what is not as in ``old`` written to the context's checkpoint folder, so that plans do not grow."""
+        made = self.made if self.made is old.made or self.made is None else self.made.checkpoint()
+        gone = self.gone if self.gone is old.gone or self.gone is None else self.gone.checkpoint()
+        return Changed(self.base, made, gone, self.cleared, self.predicates, self.few)
+
+
+__all__ = ["Changed", "QuadsFrame", "cell", "format_of", "from_triples", "parse_turtle", "read_document", "read_ntriples", "read_turtle"]

@@ -337,3 +337,28 @@ def test_a_column_of_several_tables_is_scanned_once_in_each(spark, small):
     assert ask(e, "SELECT ?n ?m { ?x :b_id ?y ; :n ?n . ?y :n ?m ; a ?c }") == ["('x', 'y')"]
     assert ask(e, "SELECT ?n { :b\\/2 :n ?n ; a ?c }") == ["('y',)"] and ask(e, "SELECT ?n { ?x :n ?n ; a <b> }") == []
     assert ask(e, "SELECT ?x { ?x :id 2 ; a ?t }") == ["('http://e/b/2',)"] and ask(e, "SELECT ?x { ?x :id ?i ; a :c }") == []
+
+
+def test_updates_keep_what_changed_only(spark, small, tmp_path):
+    """Neither the quads of the start are copied nor those read that an update can't touch."""
+    from quadrille.sources.catalog import BASE, mapping
+    from quadrille.sources.quads import Changed
+
+    base = mapping(spark, small, ("region", "nation", "orders")).quads()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    e = Engine(spark, QuadsFrame(base), warn=False)
+    e.update(f"PREFIX : <{BASE}> INSERT DATA {{ GRAPH :nation {{ :new :n_name 'x', 'x'@en, 'x'@EN }} }}; INSERT {{ GRAPH :k {{ ?x :seen 1 }} }} WHERE {{ GRAPH ?g {{ ?x :r_name ?n }} }}")
+    assert isinstance(e.source, Changed) and e.source.base is base and "o_orderkey" not in plan(e.source.made)
+    assert sorted((r.o.lang or "").lower() for r in e.source.quads.where("s.lex like '%new'").collect()) == ["", "en"]
+    names = f"SELECT ?x ?n {{ GRAPH ?g {{ ?x <{BASE}r_name> ?n }} }}"
+    e.update(f"PREFIX : <{BASE}> DELETE {{ GRAPH ?g {{ ?x :r_name ?n }} }} INSERT {{ GRAPH ?g {{ ?x :r_name 'new' . ?n :r_name ?x }} }} WHERE {{ GRAPH ?g {{ ?x :r_name ?n }} }}")
+    assert ask(e, names) == [f"('{BASE}region/{i}', 'new')" for i in range(5)]
+    assert "Join" not in plan(e.source.base.where(f"p = '{BASE}o_custkey'")) and "Join LeftAnti" not in plan(e.source.quads.where(f"p = '{BASE}o_custkey'"))
+    # What was taken out can be put in again, in a graph that was cleared too, and goes with it.
+    e.update(f"PREFIX : <{BASE}> DELETE DATA {{ GRAPH :region {{ <{BASE}region/0> :r_name 'new' }} }}; INSERT DATA {{ GRAPH :region {{ <{BASE}region/0> :r_name 'AFRICA' }} }}; CLEAR GRAPH :orders; ADD :region TO :orders; INSERT DATA {{ GRAPH :orders {{ :a :b :c }} }}")
+    assert ask(e, f"SELECT ?n {{ GRAPH <{BASE}orders> {{ <{BASE}region/0> <{BASE}r_name> ?n }} }}") == ["('AFRICA',)"]
+    assert e.source.quads.where(f"g = '{BASE}orders'").count() == e.source.quads.where(f"g = '{BASE}region'").count() + 1 == 16
+    e.update(f"PREFIX : <{BASE}> MOVE :orders TO :region; DROP DEFAULT")
+    assert e.source.quads.where(f"g = '{BASE}region'").count() == 16 and e.source.quads.where(f"g = '{BASE}orders'").count() == 0
+    e.update("CLEAR ALL; INSERT DATA { <a> <p> 1 }")
+    assert e.source.base is None and e.source.quads.count() == 1
